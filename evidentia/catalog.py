@@ -1,0 +1,15 @@
+"""Registered queries with their SQL twins."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
