@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import mixing, quality, sharding
 
-MODULES = [quality, sharding]
+MODULES = [mixing, quality, sharding]
 
 
 def queries() -> dict:
