@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding
 
-MODULES = [mixing, quality, sharding]
+MODULES = [decontaminate, mixing, quality, sharding]
 
 
 def queries() -> dict:
