@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality, sharding
+from . import chat, decontaminate, minhash, mixing, quality, sharding
 
-MODULES = [decontaminate, minhash, mixing, quality, sharding]
+MODULES = [chat, decontaminate, minhash, mixing, quality, sharding]
 
 
 def queries() -> dict:
