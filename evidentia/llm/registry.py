@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, minhash, mixing, quality, sharding
+from . import chat, decontaminate, langid, minhash, mixing, quality, sharding, toxicity
 
-MODULES = [chat, decontaminate, langid, minhash, mixing, quality, sharding]
+MODULES = [chat, decontaminate, langid, minhash, mixing, quality, sharding, toxicity]
 
 
 def queries() -> dict:
