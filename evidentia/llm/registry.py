@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, lm, minhash, mixing, quality, sharding, toxicity
+from . import chat, decontaminate, html, langid, lm, minhash, mixing, quality, sharding, toxicity
 
-MODULES = [chat, decontaminate, langid, lm, minhash, mixing, quality, sharding, toxicity]
+MODULES = [chat, decontaminate, html, langid, lm, minhash, mixing, quality, sharding, toxicity]
 
 
 def queries() -> dict:
