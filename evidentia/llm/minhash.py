@@ -7,10 +7,10 @@ misses every band with a probability of (1 - 0.8^4)^26, about one in a million.
 Documents with one set of shingles are one class, known by a digest of the whole set, before any bucket is built; its
 copies never meet each other. In each bucket every class is compared with the bucket's hub, its smallest id, so a
 bucket of n classes makes n - 1 pairs. Similarity is confirmed on the full sets: pairs are dealt by hub, a hub with
-many partners by salts of ``SALT`` of them, and each task reads one hub's text and streams its partners' texts past it.
+many partners by salts of ``SALT`` of them, and each task reads one hub's set and streams its partners' sets past it.
 Then connected components are found; a bucket whose classes still lie in several components gets its remaining pairs,
-those between different components, compared in the same way, so a link between two classes that a hub doesn't show
-isn't lost. No link, component or fingerprint reaches the driver.
+those between different components that counts of shared shingles don't rule out, compared in the same way, so a link
+between two classes that a hub doesn't show isn't lost. No link, component or fingerprint reaches the driver.
 
 Null or empty texts have no shingles: alone and kept. Texts shorter than a shingle are one shingle of their own. Rows
 with equal ids are one document for links. A null doc_id is its own smallest id. An empty table gives no rows.
@@ -107,18 +107,33 @@ def _prints(width: int):
     return run
 
 
-def _confirm(width: int, percent: int):
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at, hub = WordHashes(), None, None
+        known, last = WordHashes(), None
         for batch in batches:
-            left, right = [], []
-            for a, b, text in zip(batch.column("hub").to_pylist(), batch.column("did").to_pylist(), batch.column("text")):
+            ids, sets = [], []
+            for did, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if did != last:  # sorted by id: repeated rows follow each other
+                    ids.append(did)
+                    sets.append(shingles(text.as_py(), width, known).view(np.int64))
+                last = did
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["did", "set"])
+
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = hub = None
+        for batch in batches:
+            left, right, sets = [], [], batch.column("set")
+            for k, (a, b) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("did").to_pylist())):
+                h = np.asarray(sets[k].values)
                 if a == b:  # the hub's own row comes first of its group
-                    at, hub = a, shingles(text.as_py(), width, known)
+                    at, hub = a, h
                     continue
                 if a != at:
                     raise ValueError("a group without its hub")
-                h = shingles(text.as_py(), width, known)
                 if not len(h) or 100 * min(len(h), len(hub)) < percent * max(len(h), len(hub)):
                     continue
                 both = len(np.intersect1d(hub, h, assume_unique=True))
@@ -130,13 +145,39 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among ``pairs`` of ids, by the full sets of ``docs`` (did, text)."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` of ids, by their full ``sets`` (did, set)."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     there = pairs.join(salts, "a").select(F.col("b").alias("did"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     hubs = salts.select(F.col("a").alias("did"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    roles = docs.join(there.union(hubs), "did").repartition("hub", "salt").withColumn("first", F.col("hub") != F.col("did"))
-    return roles.sortWithinPartitions("hub", "salt", "first").select("hub", "did", "text").mapInArrow(_confirm(width, percent), "a long, b long").distinct()
+    roles = sets.join(there.union(hubs).hint("merge"), "did").repartition("hub", "salt").withColumn("first", F.col("hub") != F.col("did"))
+    return roles.sortWithinPartitions("hub", "salt", "first").select("hub", "did", "set").mapInArrow(_confirm(percent), "a long, b long").distinct()
+
+
+def _torn(rows: DataFrame) -> DataFrame:
+    """Rows (key, component, n, ...) of buckets that lie in several components, with the bucket's smallest set as ``low_n``."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("low_n")).where("low != high").select("key", "low_n")
+    return rows.drop("low_n").join(keys, "key")
+
+
+def rest_pairs(shared: DataFrame, found: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may still be links.
+
+    Two sets of n and m share at most what each shares with anyone, s and t; a link needs
+    percent * (n + m) <= (100 + percent) * min(s, t). So a copy whose own changes already cost it every link is left out
+    before pairs are made, whatever the size of its bucket; a pair is made in the first of its common buckets alone.
+    """
+    placed = shared.join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
+    torn = cut(_torn(placed.select("key", "did", "n", "component")))
+    seen = sets.join(torn.select("did").distinct().hint("merge"), "did").select("did", F.explode("set").alias("h"))
+    own = seen.groupBy("h").agg(F.min("did").alias("did"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
+    may = lambda n, m, s: percent * (n + m) <= (100 + percent) * s
+    rows = torn.join(own, "did", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+    rows = cut(_torn(rows.where(may(F.col("n"), F.col("low_n"), F.col("s"))).select("key", "did", "n", "component", "s")).join(classes.select("did", "keys"), "did"))
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("did", "n", "component", "s", "keys")]) for x in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    possible = (F.col("did_a") < F.col("did_b")) & (F.col("component_a") != F.col("component_b")) & may(n, m, F.least("s_a", "s_b"))
+    return left.join(right, "key").where(possible & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))).select(F.col("did_a").alias("a"), F.col("did_b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +203,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     shared = cut(rows.join(buckets, "key").select("key", "did", "n", F.col("hub.did").alias("hub"), F.col("hub.n").alias("hub_n")))
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = shared.where((F.col("hub") != F.col("did")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("did").alias("b")).distinct()
-    links = cut(confirm(cut(star), source, width, percent))
+    # Sets of what shares a bucket are made once; both joins below shuffle, as they would at any size.
+    sets = cut(source.join(shared.select("did").distinct().hint("merge"), "did").select("did", "text").mapInArrow(_sets(width), "did long, set array<long>"))
+    links = cut(confirm(cut(star), sets, percent))
     found = components(links)
-    # What a hub doesn't show: pairs of a bucket that still lie in different components.
-    placed = shared.join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    torn = cut(placed.join(torn, "key").select("key", "did", "n", "hub", "component"))
-    left, right = (torn.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("did", "n", "hub", "component")]) for s in "ab")
-    rest = left.join(right, "key").where((F.col("did_a") < F.col("did_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("did_a") != F.col("hub_b")) & alike(F.col("n_a"), F.col("n_b")))
-    rest = cut(rest.select(F.col("did_a").alias("a"), F.col("did_b").alias("b")).distinct())
+    # What a hub doesn't show.
+    rest = cut(rest_pairs(shared, found, sets, classes, percent))
     if not rest.isEmpty():
-        links = cut(links.union(confirm(rest, source, width, percent)))
+        links = cut(links.union(confirm(rest, sets, percent)))
         found = components(links)
     ends = classes.select("digest", "did").join(found.withColumnRenamed("node", "did"), "did", "left").select("digest", F.coalesce("component", "did").alias("component"))
     back = lambda c: F.when(c == LEAST, None).otherwise(c)
