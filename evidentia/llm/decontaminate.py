@@ -6,9 +6,10 @@ words at ignored positions were substituted. Masked windows of benchmark items a
 counts when at least ``MATCH_PERCENT`` of ``CONTEXT`` aligned words are equal (of all aligned words, in an item
 with fewer). Words are lower-cased (A-Z) and lose punctuation at either end.
 
-The benchmark's hashes are broadcast only after they were counted and found to be at most ``BROADCAST_HASHES``; beyond
-that the same join is left to Spark, which shuffles both sides. Documents are read once and their windows are never
-stored.
+The benchmark's hashes are counted, and dealt into blocks of about ``BLOCK_HASHES``: a block is a set that each document's
+windows are looked up in, where they lie, and a broadcast side of the join with the few windows that hit, each with
+``REACH`` words around it. Both are bounded by the block; a larger benchmark takes more passes over the documents, not more
+memory. Documents aren't shuffled and their windows are never stored.
 
 Items of fewer than ``SPAN`` words are matched as whole sequences if they have ``MIN_ITEM`` words, else never, as a
 phrase so short proves nothing. Null and empty texts match nothing. Repeated items and rows each give their own
@@ -29,7 +30,9 @@ MASKS = ((0, 1, 3, 4, 7, 8, 10, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 2, 5, 7,
 MIN_ITEM = 8
 CONTEXT = 13
 MATCH_PERCENT = 80
-BROADCAST_HASHES = 1_000_000
+#: Words around a hit that are compared, and the benchmark's hashes that are sought in one pass over the documents.
+REACH = 3 * CONTEXT
+BLOCK_HASHES = 50_000
 
 
 def hashed_words(text: Column) -> Column:
@@ -38,29 +41,37 @@ def hashed_words(text: Column) -> Column:
     return F.transform(F.array_remove(bare, ""), lambda w: F.xxhash64(w))
 
 
-def _starts(ws: Column, span: int) -> Column:
-    """Where windows of ``span`` words start; no filter stands before it, as Spark would compute the words again there."""
-    return F.explode(F.when(F.size(ws) >= span, F.sequence(F.lit(0), F.size(ws) - span)))
-
-
-def _masked(ws: Column, at: Column, mask: tuple[int, ...], m: int) -> Column:
-    return F.xxhash64(F.lit(m), *[F.get(ws, at + k) for k in mask])
+def _masked(at: str, m: int) -> str:
+    """SQL of the hash of mask ``m`` over the window that starts at ``at`` in ``w``."""
+    return f"xxhash64({m}, {', '.join(f'get(w, {at} + {k})' for k in MASKS[m])})"
 
 
 def item_hashes(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(span, hash, item, item_at, item_words): every masked window of every item; short items whole."""
-    b = items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("item_words")).withColumn("n", F.size("item_words")).where(F.col("n") >= MIN_ITEM)
-    long = b.withColumn("item_at", _starts(F.col("item_words"), SPAN))
-    long = long.select("item", "item_words", "item_at", F.explode(F.array(*[_masked(F.col("item_words"), F.col("item_at"), m, i) for i, m in enumerate(MASKS)])).alias("hash"))
-    short = b.where(F.col("n") < SPAN).select("item", "item_words", F.lit(0).alias("item_at"), F.xxhash64("item_words").alias("hash"))
-    return long.withColumn("span", F.lit(SPAN)).unionByName(short.withColumn("span", F.size("item_words"))).select("span", "hash", "item", "item_at", "item_words")
+    """(span, hash, item, q, iw): masked windows of every item, short items whole, with the words around each."""
+    b = items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("w"))
+    size = F.size("w")
+    starts = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN)).when(size >= MIN_ITEM, F.array(F.lit(0)))
+    rows = b.select("item", "w", F.explode(starts).alias("p"))
+    keys = F.when(F.size("w") >= SPAN, F.expr(f"array({', '.join(_masked('p', m) for m in range(len(MASKS)))})")).otherwise(F.array(F.xxhash64("w")))
+    around = F.greatest(F.col("p") - CONTEXT, F.lit(0))
+    return rows.select("item", F.least(F.size("w"), F.lit(SPAN)).alias("span"), (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"), F.explode(keys).alias("hash"))
+
+
+def _hits(spans: dict[int, list[int]]) -> str:
+    """SQL of a text's hits: (hash, at, words around) of windows whose hash is among the items'; few, so the text isn't copied."""
+    found = []
+    for span, hashes in sorted(spans.items()):
+        among = f"IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'bigint(-9223372036854775808)' for h in hashes)})"
+        for key in [_masked("p", m) for m in range(len(MASKS))] if span == SPAN else [f"xxhash64(slice(w, p + 1, {span}))"]:
+            found.append(f"transform(filter(CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END, p -> {key} {among}), p -> named_struct('hash', {key}, 'span', {span}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
+    return f"concat({', '.join(found)})"
 
 
 def _overlap(hit: Column) -> Column:
     """(equal, aligned) words on the diagonal, in the CONTEXT-word window around the hit that holds the most equal ones."""
-    dw, iw, p, q = hit["w"], hit["iw"], hit["p"], hit["q"]
-    back = F.least(p, q, F.lit(CONTEXT))
-    ahead = F.least(F.size(dw) - p, F.size(iw) - q, F.lit(2 * CONTEXT))
+    dw, iw, p, q = hit["dw"], hit["iw"], hit["p"], hit["q"]
+    back = F.least(p, q)
+    ahead = F.least(F.size(dw) - p, F.size(iw) - q)
     same = F.transform(F.sequence(F.lit(0), back + ahead - 1), lambda k: (F.get(dw, p - back + k) == F.get(iw, q - back + k)).cast("int"))
 
     def best(s: Column) -> Column:
@@ -71,25 +82,24 @@ def _overlap(hit: Column) -> Column:
     return let(same, best)
 
 
-def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """(doc, item_id, hits, equal, aligned): documents with the benchmark items that they hold, and the best overlap."""
     hashes = item_hashes(items).cache()
-    n, spans = hashes.count(), [r[0] for r in hashes.select("span").distinct().collect()]  # at most SPAN values
-    bounded = n <= broadcast_hashes
+    blocks = max(1, -(-hashes.count() // block_hashes))
     d = docs.select(F.col(doc).alias("doc"), hashed_words(F.col(text)).alias("w"))
-    parts = []
-    for span in sorted(spans):
-        at = d.select("doc", "w", _starts(F.col("w"), span).alias("p"))
-        keys = [_masked(F.col("w"), F.col("p"), m, i) for i, m in enumerate(MASKS)] if span == SPAN else [F.xxhash64(F.slice(F.col("w"), F.col("p") + 1, span))]
-        side = hashes.where(F.col("span") == span).select("hash", "item", F.col("item_at").alias("q"), F.col("item_words").alias("iw"))
-        at = at.select("doc", "w", "p", F.explode(F.array(*keys)).alias("hash"))
-        parts.append(at.join(F.broadcast(side) if bounded else side, "hash"))
-    if not parts:
-        return d.where(F.lit(False)).select("doc", F.lit(0).cast("long").alias("item_id"), *[F.lit(0).alias(c) for c in ("hits", "equal", "aligned")])
-    hit = parts[0]
-    for p in parts[1:]:
-        hit = hit.union(p)
-    found = hit.select("doc", "item", F.col("p") - F.col("q"), _overlap(F.struct("w", "iw", "p", "q")).alias("o")).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
+    found = None
+    for k in range(blocks):
+        block = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
+        spans: dict[int, list[int]] = {}
+        for span, h in block.select("span", "hash").distinct().collect():  # about block_hashes at most
+            spans.setdefault(span, []).append(h)
+        if not spans:
+            continue
+        hit = d.select("doc", F.explode(F.expr(_hits(spans))).alias("h")).select("doc", "h.*").join(F.broadcast(block), ["hash", "span"])
+        part = hit.select("doc", "item", _overlap(F.struct("dw", "iw", "p", "q")).alias("o")).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
+        found = part if found is None else found.union(part)
+    if found is None:
+        return d.select("doc", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("equal"), F.lit(0).alias("aligned")).where(F.lit(False))
     best = F.max(F.struct("o.equal", "o.aligned"))
     return found.groupBy("doc", F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"), best.alias("o")).select("doc", "item_id", "hits", "o.equal", "o.aligned")
 
