@@ -8,9 +8,9 @@ Documents with one set of shingles are one class, known by a digest of the whole
 copies never meet each other. In each bucket every class is compared with the bucket's hub, its smallest id, so a
 bucket of n classes makes n - 1 pairs. Similarity is confirmed on the full sets: pairs are dealt by hub, a hub with
 many partners by salts of ``SALT`` of them, and each task reads one hub's set and streams its partners' sets past it.
-Then connected components are found; a bucket whose classes still lie in several components gets its remaining pairs,
-those between different components that counts of shared shingles don't rule out, compared in the same way, so a link
-between two classes that a hub doesn't show isn't lost. No link, component or fingerprint reaches the driver.
+Then connected components are found. Classes that share a bucket and still lie in different components are compared
+too, so a link that a hub doesn't show isn't lost: in tiles of bounded size, by matrix products of their sets, where a
+pair is a number and never a row. No link, component or fingerprint reaches the driver.
 
 Null or empty texts have no shingles: alone and kept. Texts shorter than a shingle are one shingle of their own. Rows
 with equal ids are one document for links. A null doc_id is its own smallest id. An empty table gives no rows.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from .common import cut, table
 SHINGLE, PERCENT = 5, 80
 PERMS, ROWS = 52, 4
 SALT = 32
+TILE, VOCABULARY = 384, 4096
 SEED = 20240229
 CACHE_WORDS = 300_000
 LEAST = -(1 << 63)
@@ -154,30 +156,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return roles.sortWithinPartitions("hub", "salt", "first").select("hub", "did", "set").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
-def _torn(rows: DataFrame) -> DataFrame:
-    """Rows (key, component, n, ...) of buckets that lie in several components, with the bucket's smallest set as ``low_n``."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("low_n")).where("low != high").select("key", "low_n")
-    return rows.drop("low_n").join(keys, "key")
+def _tiles(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One tile: every left row against every right row of another component, by products of 0/1 matrices."""
+        batch = pa.Table.from_batches(list(batches)).combine_chunks().to_batches()
+        found: list[tuple[int, int]] = []
+        if batch:
+            b = batch[0]
+            ids, comp, left = (np.asarray(b.column(c)) for c in ("did", "component", "lefts"))
+            n = np.asarray(pc.list_value_length(b.column("set")), np.int64)
+            values, at = np.asarray(b.column("set").flatten()), np.repeat(np.arange(len(ids)), n)
+            _, word, times = np.unique(values, return_inverse=True, return_counts=True)
+            keep = times[word] > 1  # shingles of one row alone are no overlap
+            word, at = np.unique(word[keep], return_inverse=True)[1], at[keep]
+            rows, cols = np.flatnonzero(left), np.arange(len(ids))
+            both = np.zeros((len(rows), len(cols)), np.float32)
+            order = np.argsort(word, kind="stable")
+            word, at = word[order], at[order]
+            for low in range(0, int(word[-1]) + 1 if len(word) else 0, VOCABULARY):
+                a, z = np.searchsorted(word, (low, low + VOCABULARY))
+                x = np.zeros((len(ids), VOCABULARY), np.float32)
+                x[at[a:z], word[a:z] - low] = 1
+                both += x[rows] @ x.T
+            union = n[rows][:, None] + n[None, :] - both
+            link = (100 * both >= percent * union) & (comp[rows][:, None] != comp[None, :]) & (both > 0)
+            found = [(int(ids[rows[i]]), int(ids[j])) for i, j in zip(*np.nonzero(link))]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
-def rest_pairs(shared: DataFrame, found: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may still be links.
+def unseen_links(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket that lie in different components of ``found``.
 
-    Two sets of n and m share at most what each shares with anyone, s and t; a link needs
-    percent * (n + m) <= (100 + percent) * min(s, t). So a copy whose own changes already cost it every link is left out
-    before pairs are made, whatever the size of its bucket; a pair is made in the first of its common buckets alone.
+    Classes that share buckets of one hub are a group. Those that aren't in the hub's component, the rest, are compared with
+    the whole group in tiles of about ``TILE`` by ``TILE`` sets: rows are copied to the tiles of their line, pairs are never rows.
     """
-    placed = shared.join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-    torn = cut(_torn(placed.select("key", "did", "n", "component")))
-    seen = sets.join(torn.select("did").distinct().hint("merge"), "did").select("did", F.explode("set").alias("h"))
-    own = seen.groupBy("h").agg(F.min("did").alias("did"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
-    may = lambda n, m, s: percent * (n + m) <= (100 + percent) * s
-    rows = torn.join(own, "did", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-    rows = cut(_torn(rows.where(may(F.col("n"), F.col("low_n"), F.col("s"))).select("key", "did", "n", "component", "s")).join(classes.select("did", "keys"), "did"))
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("did", "n", "component", "s", "keys")]) for x in "ab")
-    n, m = F.col("n_a"), F.col("n_b")
-    possible = (F.col("did_a") < F.col("did_b")) & (F.col("component_a") != F.col("component_b")) & may(n, m, F.least("s_a", "s_b"))
-    return left.join(right, "key").where(possible & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))).select(F.col("did_a").alias("a"), F.col("did_b").alias("b"))
+    members = shared.select("hub", "did").distinct().join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
+    own = members.where("hub = did").select("hub", F.col("component").alias("main"))
+    members = cut(members.join(own, "hub").withColumn("left", F.col("component") != F.col("main")).drop("main"))
+    sizes = members.groupBy("hub").agg(F.ceil(F.count_if("left") / TILE).cast("int").alias("nl"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nr")).where("nl > 0")
+    dealt = members.join(sizes, "hub")
+    line = lambda n: F.pmod(F.xxhash64("did"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = dealt.where("left").select("hub", "did", "component", line("nl").alias("i"), every("nr").alias("j"), F.lit(True).alias("lefts"))
+    rights = dealt.select("hub", "did", "component", every("nl").alias("i"), line("nr").alias("j"), F.lit(False).alias("lefts"))
+    tiles = lefts.union(rights).groupBy("hub", "i", "j", "did").agg(F.first("component").alias("component"), F.max("lefts").alias("lefts"))
+    rows = sets.join(cut(tiles).hint("merge"), "did")
+    return rows.groupBy("hub", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_tiles(percent)(iter(t.to_batches()))), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,10 +234,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     links = cut(confirm(cut(star), sets, percent))
     found = components(links)
     # What a hub doesn't show.
-    rest = cut(rest_pairs(shared, found, sets, classes, percent))
-    if not rest.isEmpty():
-        links = cut(links.union(confirm(rest, sets, percent)))
-        found = components(links)
+    more = cut(unseen_links(shared, found, sets, percent))
+    if not more.isEmpty():
+        found = components(cut(links.union(more)))
     ends = classes.select("digest", "did").join(found.withColumnRenamed("node", "did"), "did", "left").select("digest", F.coalesce("component", "did").alias("component"))
     back = lambda c: F.when(c == LEAST, None).otherwise(c)
     return prints.drop("keys").join(ends, "digest", "left").select(back(F.col("did")).alias("doc"), "n_shingles", back(F.coalesce("component", "did")).alias("component"))
