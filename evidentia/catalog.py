@@ -1,15 +1,247 @@
-"""Registered queries with their SQL twins."""
+"""Registered queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import dims
+from .functions import text as X
+from .operators import jobs, network, report, rules, scoring, triage
+from .plans import sql as S
+from .schemas import DYNAMIC, NETWORK, STATIC
 
 
-def queries():
-    return {}
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def oracle_sql():
-    return {}
+def docs(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def bytes_of(text):
+    """Text as bytes of one character each, as the byte scans read it."""
+    return X.latin1(text.cast("binary"))
+
+
+# ---- indicators
+def ioc_ips(spark, sf):
+    return docs(spark, sf).select("doc_id", F.explode(X.ips(bytes_of(F.col("text")))).alias("ip"))
+
+
+def ioc_emails(spark, sf):
+    return docs(spark, sf).select("doc_id", F.explode(X.emails(bytes_of(F.col("text")))).alias("email"))
+
+
+def ioc_domains(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.explode(X.domains(bytes_of(F.concat_ws(" ", "url", "html")))).alias("domain"))
+
+
+def ioc_urls(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.explode(X.urls(bytes_of(F.concat_ws(" ", "url", "html")))).alias("url"))
+
+
+def ioc_rollup_by_lang(spark, sf):
+    d = docs(spark, sf).select("lang", "doc_id", F.explode(X.ips(bytes_of(F.col("text")))).alias("ip"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("ips"), F.countDistinct("doc_id").alias("docs"))
+
+
+def ioc_benign_antijoin(spark, sf):
+    host = t(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("host"))
+    return host.where((F.col("host") != "") & ~X.is_benign_domain(F.col("host")) & ~F.endswith("host", F.lit(".example.org")))
+
+
+# ---- content functions
+def text_entropy(spark, sf):
+    return docs(spark, sf).select("doc_id", X.entropy_of_text(F.col("text")).alias("entropy"))
+
+
+def longest_line(spark, sf):
+    return docs(spark, sf).select("doc_id", X.longest_line(F.col("text")).cast("bigint").alias("longest"), X.line_count(F.col("text")).cast("bigint").alias("lines"))
+
+
+def keyword_hits(spark, sf):
+    d = t(spark, sf, "pages").select("page_id", F.explode(X.keyword_hits(F.coalesce("html", F.lit("")), dims.ABUSE_KEYWORDS)).alias("keyword"))
+    return d.groupBy("keyword").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def keyword_count(spark, sf):
+    words = ["the", "/a", "script"]
+    h = F.coalesce(F.col("html"), F.lit(""))
+    return t(spark, sf, "pages").select("page_id", *[X.count_of(h, w).cast("bigint").alias(f"n_{w.strip('/')}") for w in words])
+
+
+def is_text(spark, sf):
+    head = F.substring("text", 1, 65536)
+    return docs(spark, sf).select("doc_id", X.is_text(head).alias("is_text"), F.round(F.when(F.length("text") > 0, X.printable_ratio(head)), 6).alias("ratio"))
+
+
+def script_family(spark, sf):
+    return t(spark, sf, "pages").select("page_id", X.script_language(F.coalesce("html", F.lit(""))).alias("family"))
+
+
+def magic_family(spark, sf):
+    family, label = triage.magic(F.col("html").cast("binary"))
+    return t(spark, sf, "pages").select("page_id", F.coalesce(family, F.lit("unknown")).alias("family"), F.coalesce(label, F.lit("unknown")).alias("label"))
+
+
+def ext_and_flags(spark, sf):
+    url = F.coalesce(F.regexp_replace("url", "[?#].*$", ""), F.lit(""))
+    return t(spark, sf, "pages").select("page_id", triage.extension(url).alias("ext"), triage.extension(url).isin(dims.DANGEROUS_EXTS).alias("dangerous"), F.size(triage.name_flags(url)).cast("bigint").alias("flags"))
+
+
+def url_rules(spark, sf):
+    u = F.coalesce(F.col("url"), F.lit(""))
+    host = F.regexp_extract(u, "^https?://([^/?#:]+)", 1)
+    tld = F.exists(X.array_of(dims.ABUSED_TLDS), lambda x: F.endswith(host, x))
+    run = F.exists(X.array_of(dims.EXECUTABLE_URL_EXTS), lambda x: F.endswith(F.lower(F.substring_index(u, "?", 1)), x))
+    return t(spark, sf, "pages").select("page_id", tld.alias("bad_tld"), u.rlike(r"^https?://\d{1,3}(\.\d{1,3}){3}").alias("raw_ip"), run.alias("runs"))
+
+
+def hashes(spark, sf):
+    b = F.col("text").cast("binary")
+    return docs(spark, sf).select("doc_id", F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"))
+
+
+def defang_text(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.defang(F.col("text")).cast("binary")).alias("defanged"))
+
+
+def defang_hosts(spark, sf):
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), "^https?://([^/?#:]+)", 1)
+    return t(spark, sf, "pages").select("page_id", X.defang_host(host).alias("host"), X.defang(F.coalesce("url", F.lit(""))).alias("url"))
+
+
+def strings_runs(spark, sf):
+    return docs(spark, sf).select("doc_id", F.explode(X.distinct(X.found(bytes_of(F.col("text")), r"([\x20-\x7e]{6,})"), 400)).alias("run"))
+
+
+def deobfuscate(spark, sf):
+    said = F.concat(F.lit('x = "'), F.substring("text", 1, 20), F.lit('" + "'), F.substring("text", 21, 20), F.lit('"; y = "'), F.substring("text", 1, 12), F.lit('".split("").reverse'))
+    d = docs(spark, sf).withColumn("s", F.regexp_replace(said, '(?<=[^ =.+(]{3})[\\n]', " "))
+    return d.select("doc_id", F.array_join(X.joined_literals(F.col("s"), "+", 60, 6), "|").alias("joined"), F.array_join(X.reversed_literals(F.col("s")), "|").alias("reversed"))
+
+
+def base64_decode(spark, sf):
+    from .functions import binary as B
+
+    said = F.concat(F.lit("run "), F.base64(F.substring("text", 1, 60).cast("binary")))
+    d = docs(spark, sf).where("length(text) >= 60").select("doc_id", F.explode(B.decoded_blobs(X.base64_blobs(said))).alias("b"))
+    return d.select("doc_id", "b.encoded_length", "b.encoding", "b.looks_like_text", "b.entropy", F.md5(F.col("b.decoded_preview").cast("binary")).alias("preview"))
+
+
+def triage_documents(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("attachment "), F.col("doc_id"), F.lit(".pdf")).alias("name"), F.col("text").cast("binary").alias("content"))
+    f = F.col("file")
+    return triage.triage(d).select("doc_id", f["size"].alias("size"), f["family"].alias("family"), f["label"].alias("label"), f["extension"].alias("extension"), f["extension_mismatch"].alias("mismatch"), f["sha256"].alias("sha256"), f["head_hex"].alias("head_hex"))
+
+
+# ---- flows
+WINDOW = "INTERVAL 6 HOURS"
+
+
+def _flow_jobs(spark, sf):
+    """A job for each user: the six hours from its first event on."""
+    return t(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("started_at")).select(F.col("user_id").alias("job_id"), F.col("user_id").alias("worker_ip"), "started_at", (F.col("started_at") + F.expr(WINDOW)).alias("finished_at"))
+
+
+def flow_window_join(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "ts", "event_type", F.col("user_id").alias("src"))
+    return network.match(e, _flow_jobs(spark, sf)).select("job_id", "event_id", "event_type")
+
+
+def flow_distinct_first(spark, sf):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return t(spark, sf, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id")
+
+
+def flow_split_counts(spark, sf):
+    e = t(spark, sf, "events")
+    kinds = ["click", "purchase", "view"]
+    return e.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds], F.count(F.lit(1)).alias("n"))
+
+
+def contacted_users(spark, sf):
+    return t(spark, sf, "events").groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda x: x.cast("string")), ",").alias("users"))
+
+
+# ---- rules and scores
+def _severities(spark, sf):
+    """A job for each order: its lines' severities, 5 to 85, by part."""
+    li = t(spark, sf, "lineitem").select("l_orderkey", (F.pmod("l_partkey", F.lit(17)) * 5 + 5).cast("int").alias("sev"))
+    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("sev"), asc=False).alias("sevs"))
+
+
+def rule_scores(spark, sf):
+    return _severities(spark, sf).select("l_orderkey", scoring.score(F.col("sevs")).alias("score"))
+
+
+def verdict_levels(spark, sf):
+    s = rule_scores(spark, sf).select(scoring.level(F.col("score")).alias("level"), "score")
+    return s.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+def confidence(spark, sf):
+    return _severities(spark, sf).select("l_orderkey", scoring.confidence(F.col("sevs")).alias("confidence"))
+
+
+def signature_topk(spark, sf):
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("sev"), "l_linenumber")
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.pmod("l_partkey", F.lit(17)) * 5 + 5).alias("sev"))
+    return li.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("l_orderkey", "l_linenumber", "sev", F.col("rank").cast("bigint").alias("rank"))
+
+
+def rule_list(spark, sf):
+    return rules.catalogue(spark).select("id", "name", "severity", "description")
+
+
+def observed(spark, sf, table="pages"):
+    """Observations of pages as if they were attachments: named by their url, indicators from their text."""
+    p = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("job_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    body = bytes_of(F.concat_ws(" ", "url", "html"))
+    file = F.struct(F.col("url").alias("name"), F.lit("text").alias("family"), triage.extension(F.col("url")).alias("extension"), F.lit(None).cast("string").alias("extension_mismatch"), triage.extension(F.col("url")).isin(dims.DANGEROUS_EXTS).alias("extension_is_dangerous"), triage.name_flags(F.col("url")).alias("filename_flags"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("bigint").alias("size"), F.lit("plain text").alias("label"))
+    static = F.struct(F.lit("generic").alias("engine"), X.iocs(body).alias("file_iocs"), (X.longest_line(F.col("html")) > 1000).alias("single_line_obfuscation"), X.longest_line(F.col("html")).alias("longest_line"))
+    from .schemas import ddl
+
+    p = p.withColumn("file", file).withColumn("s", static)
+    fill = lambda kind, src, names: F.struct(*[(F.col(f"{src}.{f.name}") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in ddl(f"x:{kind}")[0].dataType])
+    return p.select("job_id", "file", fill(STATIC, "s", {"engine", "file_iocs", "single_line_obfuscation", "longest_line"}).alias("static"), F.lit(None).cast(DYNAMIC).alias("dynamic"), F.lit(None).cast(NETWORK).alias("network"))
+
+
+def page_reports(spark, sf):
+    r = report.build(observed(spark, sf))
+    v = F.col("verdict")
+    return r.select(F.col("job_id").cast("bigint").alias("page_id"), v["score"].alias("score"), v["level"].alias("level"), F.size("signatures").cast("bigint").alias("fired"))
+
+
+def flagship(spark, sf):
+    return page_reports(spark, sf).orderBy(F.desc("score"), "page_id")
+
+
+# ---- jobs
+def job_listing(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
+    return jobs.listing(o, 50)
+
+
+def job_retention(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("modified_at"))
+    return jobs.expired(o, F.lit("1998-01-01 00:00:00").cast("timestamp")).groupBy(F.year("modified_at").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def child_rollup(spark, sf):
+    li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("bigint").alias("depth"), F.bool_or(F.col("l_returnflag") == "R").alias("runs"))
+    o = t(spark, sf, "orders").select("o_orderkey")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"), F.coalesce("runs", F.lit(False)).alias("runs"))
+
+
+QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, rule_scores, verdict_levels, confidence, signature_topk, rule_list, page_reports, job_listing, job_retention, child_rollup]
+
+
+def queries() -> dict:
+    return {q.__name__: q for q in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return S.oracles()

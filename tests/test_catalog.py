@@ -1,0 +1,36 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from evidentia import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    c.sql("SET timezone = 'UTC'")
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def rows(df):
+    cols = sorted(df.columns)
+    return sorted(tuple(repr(x) for x in r) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    got = catalog.queries()[name](spark, SF).toPandas()
+    want = duck.sql(catalog.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_runs(spark):
+    assert len(entry.entry(spark).take(5)) == 5
