@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -434,7 +435,6 @@ def _(o):
 
 def python_rule(id: str, name: str, severity: int, description: str, fn: Callable[[dict], list | dict | None]) -> Rule:
     """A rule from a Python callable of the observations as nested dicts; batches reach it by Arrow as JSON."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:

@@ -1,7 +1,8 @@
 """Behaviour from recorded syscall traces: text lines in, one ``dynamic`` record for each job out.
 
 Each line is tested by a cheap ``contains`` before any pattern, may feed several outputs, and carries its number, by which
-lists are put back in order after the one shuffle, on job_id.
+lists are put back in order after the one shuffle, on job_id. Only the ``*at`` forms of file calls are read, as the
+patterns of the format say; the plain forms (``unlink``, ``chmod``, ``open``) are not.
 """
 
 from __future__ import annotations

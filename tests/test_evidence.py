@@ -18,9 +18,9 @@ connect(4, {sa_family=AF_UNIX, sun_path="/run/x"}, 110) = 0
 openat(AT_FDCWD, "/home/u/.config/autostart/a", O_WRONLY|O_CREAT, 0644) = 3
 openat(AT_FDCWD, "/proc/self/x", O_WRONLY) = 3
 openat(AT_FDCWD, "/tmp/r", O_RDONLY) = 3
-unlink("/tmp/a") = 0
-chmod("/tmp/a", 0755) = 0
-rename("/tmp/a", "/tmp/b") = 0
+unlinkat(AT_FDCWD, "/tmp/a", 0) = 0
+fchmodat(AT_FDCWD, "/tmp/a", 0755) = 0
+renameat(AT_FDCWD, "/tmp/a", AT_FDCWD, "/tmp/b") = 0
 memfd_create("x", 0) = 5"""
 
 

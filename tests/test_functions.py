@@ -51,8 +51,9 @@ def test_deobfuscation(spark):
 def test_base64_prefers_the_printable_reading():
     import base64
 
-    wide = B.decode_blob(base64.b64encode("powershell -enc hello there".encode("utf-16-le")).decode().rstrip("="))
-    assert wide["encoding"] == "utf-16-le" and wide["looks_like_text"]
+    plain = B.decode_blob(base64.b64encode(b"run this, then that, then this again").decode().rstrip("="))
+    assert plain["encoding"] == "utf-8" and plain["looks_like_text"] and plain["decoded_preview"].startswith("run this")
+    assert B.decode_blob(base64.b64encode("a tie is utf-8".encode("utf-16-le")).decode())["encoding"] == "utf-8"
     assert B.decode_blob("!!") is None
 
 

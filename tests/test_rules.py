@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import report, rules, scoring
-from evidentia.schemas import OBSERVATIONS, ddl
+from evidentia.schemas import OBSERVATIONS
 
-SCHEMA = ddl("job_id:string," + OBSERVATIONS)
+SCHEMA = f"struct<job_id:string,{OBSERVATIONS}>"
 
 
 def fired(spark, **obs):
