@@ -82,7 +82,7 @@ def rules(c: dict[str, Column], text: Column) -> list[Rule]:
     return [
         Rule("too_few_words", n < MIN_WORDS),
         Rule("repeated_windows", 100 * c["n_repeat_words"] > 30 * n),
-        Rule("repeated_lines", 100 * c["n_dup_lines"] > 30 * F.greatest(F.size(F.split(text, "\n")), F.lit(4))),
+        Rule("repeated_lines", (c["n_dup_lines"] >= 3) & (100 * c["n_dup_lines"] > 30 * F.size(F.split(text, "\n")))),
         Rule("symbols", 100 * c["n_symbols"] > 25 * n),
         Rule("long_words", c["word_chars"] > 40 * n),
         Rule("shouting", F.regexp_count(text, F.lit("\\p{Lu}")) > F.regexp_count(text, F.lit("\\p{Ll}"))),
@@ -160,7 +160,7 @@ m AS (SELECT l.doc_id, text, n_lines, CAST(n AS BIGINT) AS n_words, CAST(length(
       FROM l LEFT JOIN c ON l.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * greatest(n_lines, 4)
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines
             OR 100 * n_symbols > 25 * n_words OR word_chars > 40 * n_words
             OR len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{Ll}'))) AS kept
 FROM m
