@@ -34,7 +34,7 @@ def test_trace(spark):
     assert r.unix_sockets == ["/run/x"] and r.files_written == ["/home/u/.config/autostart/a"]
     assert r.files_deleted == ["/tmp/a"] and r.made_executable[0].mode == "0755" and r.anonymous_executables == ["x"]
     assert r.files_renamed[0]["to"] == "/tmp/b" and r.lolbins_invoked == ["curl"] and r.trace_lines == 12
-    assert [(p.path, p.meaning) for p in r.persistence_paths] == [("/home/u/.config/autostart/a", "user autostart")]
+    assert [(p.path, p.meaning) for p in r.persistence_paths] == [("/home/u/.config/autostart/a", "user autostart"), ("/tmp/a", "staging directory")]
 
 
 def _flows(spark):
