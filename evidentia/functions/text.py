@@ -120,17 +120,28 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each distinct code point occurs: by removing each, or by sorting them all where an alphabet is large."""
+    by_letter = lambda letters: F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+
+    def by_runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(starts, lambda at: F.transform(at, lambda p, i: F.coalesce(F.get(at, i + 1), F.size(s)) - p))
+
+    split = F.array_remove(F.split(text, ""), "")
+    return _let(F.array_distinct(split), lambda letters: F.when(F.size(letters) == 0, F.array().cast("array<int>")).when(F.size(letters) <= 256, by_letter(letters)).otherwise(_let(F.array_sort(split), by_runs)))
+
+
 def entropy_of_text(text: Column) -> Column:
-    """Bits a code point, rounded to 3 places; 0 for no text. Equal letters are counted by sorting them."""
-    letters = F.array_sort(F.split(text, ""))
-    runs = F.aggregate(
-        letters,
-        F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("all")),
-        lambda a, c: F.when(c == "", a).when(c == a["last"], F.struct(a["last"].alias("last"), (a["n"] + 1).alias("n"), a["all"].alias("all"))).otherwise(F.struct(c.alias("last"), F.lit(1).cast("long").alias("n"), F.when(a["n"] > 0, F.array_append(a["all"], a["n"])).otherwise(a["all"]).alias("all"))),
-        lambda a: F.when(a["n"] > 0, F.array_append(a["all"], a["n"])).otherwise(a["all"]),
-    )
+    """Bits a code point, rounded to 3 places; 0 for no text."""
     total = F.length(text).cast("double")
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(-F.aggregate(F.array_sort(runs), F.lit(0.0), lambda s, c: s + c / total * F.log2(c / total)), 3))
+    bits = F.aggregate(F.array_sort(letter_counts(text)), F.lit(0.0), lambda a, c: a + c / total * F.log2(c / total))
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(-bits, 3))
 
 
 def printable_ratio(text: Column) -> Column:

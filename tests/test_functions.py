@@ -38,6 +38,7 @@ def test_entropy(spark):
     assert one(spark, "a" * 1000, X.entropy_of_text) < 0.1
     assert one(spark, "", X.entropy_of_text) == 0.0
     assert one(spark, "abcd", X.entropy_of_text) == 2.0
+    assert one(spark, "".join(map(chr, range(0x4E00, 0x5000))) * 3, X.entropy_of_text) == 9.0
     assert B.entropy_of(bytes(range(256)) * 4) == 8.0
 
 
