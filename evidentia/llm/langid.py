@@ -31,6 +31,7 @@ SEED = 5
 MARGIN = 0.02
 FOLDS, HELD_OUT = 5, 0
 _KEEP = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normal(text: str) -> str:
@@ -76,7 +77,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         plain = normal(text) if text else ""
-        if not plain or not self.langs:
+        if not self.langs or not _LETTER.search(plain):
             return UND, 0.0, True
         data = plain.encode("utf-8", "ignore")
         sizes = [len(c.compress(data)) for c in self.by]
