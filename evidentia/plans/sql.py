@@ -41,11 +41,13 @@ def _cases(rows, otherwise: str) -> str:
 _IPS = _found("doc_id", DOCS, IPV4, "ip", keep=f"v NOT IN ({', '.join(map(_q, dims.BENIGN_IPS))})")
 _TEXT_RATIO = r"length(regexp_replace(head, '[^\x20-\x7E\t\n\r]', '', 'g')) / length(head)"
 
+_BYTE_RATIO = _TEXT_RATIO.replace("/ length(head)", "/ strlen(head)")
 
-def _magic(what: int) -> str:
+
+def _magic(what: int, column: str = "html") -> str:
     rows = []
     for sig, at, fam, lab in dims.MAGIC:
-        rows.append((f"upper(substr(hex(encode(coalesce(html, ''))), {2 * at + 1}, {len(sig)})) = '{sig}'", (fam, lab)[what]))
+        rows.append((f"upper(substr(hex(encode(coalesce({column}, ''))), {2 * at + 1}, {len(sig)})) = '{sig}'", (fam, lab)[what]))
     return _cases(rows, "'unknown'")
 
 
@@ -86,6 +88,12 @@ SELECT d.doc_id, CASE WHEN d.text = '' THEN 0.0 ELSE round(e, 3) END AS entropy
         "defang_hosts": rf"SELECT page_id, CASE WHEN regexp_full_match({host}, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') THEN replace({host}, '.', '[.]') ELSE regexp_replace({host}, '\.([^.]*)$', '[.]\1') END AS host, regexp_replace(coalesce(url, ''), '^http(s?)://', 'hxxp\1://')[:8] || '' || CASE WHEN url IS NULL THEN '' ELSE replace(regexp_extract(regexp_replace(url, '^http(s?)://', 'hxxp\1://')[9:], '^([^/:]*)', 1), '.', '[.]') || regexp_extract(regexp_replace(url, '^http(s?)://', 'hxxp\1://')[9:], '^[^/:]*(.*)$', 1) END AS url FROM pages",
         "strings_runs": rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1)) AS v, generate_subscripts(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1), 1) AS i FROM {DOCS}),
 d AS (SELECT doc_id, v, min(i) AS i FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM d) SELECT doc_id, v AS run FROM r WHERE k <= 400""",
+        # Documents as attachments named *.pdf: a signature, else a script by its content, else text; text families never mismatch.
+        "triage_documents": rf"""WITH d AS (SELECT doc_id, text, text[:65536] AS head, lower(text[:4096]) AS low, {_magic(0, "text")} AS m, {_magic(1, "text")} AS ml FROM {DOCS}),
+f AS (SELECT *, m = 'unknown' AND length(head) > 0 AND NOT contains(head[:1024], chr(0)) AND {_BYTE_RATIO} > 0.9 AS textual, {_cases(scripts, 'NULL')} AS script FROM d)
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN textual THEN coalesce(script, 'text') ELSE m END AS family,
+  CASE WHEN textual THEN coalesce(script || ' script (by content)', 'plain text') ELSE ml END AS label, '.pdf' AS extension, CAST(NULL AS VARCHAR) AS mismatch,
+  sha256(text) AS sha256, lower(hex(encode(text))[:64]) AS head_hex FROM f""",
         "flow_window_join": f"SELECT job_id, event_id, event_type FROM events JOIN {FLOW_JOBS} ON user_id = job_id AND ts BETWEEN a AND z",
         "flow_distinct_first": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1",
         "flow_split_counts": "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view, count(*) AS n FROM events GROUP BY 1",
