@@ -51,6 +51,14 @@ def is_pe(content: Column) -> Column:
     return F.coalesce((F.substring(content, 1, 2) == F.unhex(F.lit("4D5A"))) & (le < 4092) & (F.substr(content, (le + 1).cast("int"), F.lit(4)) == F.unhex(F.lit("50450000"))), F.lit(False))
 
 
+def elf_header(content: Column) -> Column:
+    """(bits, type, machine) of an ELF file; null for anything else."""
+    number = lambda at: F.conv(F.when(F.substring(content, 6, 1) == F.unhex(F.lit("02")), F.hex(F.substring(content, at + 1, 2))).otherwise(F.concat(F.hex(F.substring(content, at + 2, 1)), F.hex(F.substring(content, at + 1, 1)))), 16, 10).cast("int")
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.ELF_TYPES.items() for x in kv]), number(16))
+    bits = F.when(F.substring(content, 5, 1) == F.unhex(F.lit("02")), 64).otherwise(32)
+    return F.when(F.substring(content, 1, 4) == F.unhex(F.lit("7F454C46")), F.struct(bits.alias("bits"), kind.alias("type"), number(18).alias("machine")))
+
+
 def mismatch(family: Column, label: Column, ext: Column) -> Column:
     known, ok = F.lit(False), F.lit(False)
     for fam, exts in dims.EXPECTED_EXTS.items():
