@@ -12,7 +12,7 @@ task holds a leaf: tokens are summed by the first ``NIBBLES`` hex digits of the
 in which single documents are ranked.
 
 Null domain, language or source count as the value ``''``; a null text has no tokens, and is taken whenever the prefix
-reaches it. Repeated rows tie and are taken each on its own by (md5, doc_id, tokens). An empty table gives no rows.
+reaches it. Repeated rows tie, and are taken together or not at all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import cut, table, words
 
 SEED = 17
 MAX_EPOCHS = 2
@@ -65,30 +65,38 @@ def budgets(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int =
         nodes = nodes.withColumn("_rest", F.max(F.when(~F.col("_full"), F.col("_left"))).over(free)).withColumn("_of", F.max(F.when(~F.col("_full"), F.col("_wsum"))).over(free))
         given = F.when(F.col("_full"), F.col("_cap")).otherwise(F.expr("_rest * _w div _of"))
         out = out.drop("_budget").join(nodes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(here)], given.alias("_budget")), [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(here)]).drop(*[f"_k{i}" for i in range(len(here))])
+        out = cut(out)  # a row for each leaf; the next level reads it twice
     return out.withColumnRenamed("_budget", "budget")
 
 
 def mix(docs: DataFrame, tokens: Column, domain: Column, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weigh=weight) -> DataFrame:
     """Rows of ``docs`` in the mixture, with ``mix_copies``: how many epochs take the row; plus the leaf and its budget.
 
-    ``docs`` needs doc_id, lang and source; its own columns are kept below ``row``.
+    ``docs`` needs doc_id, lang and source; its own columns are kept below ``row``. Prefixes are found on narrow rows; the
+    rows themselves meet only the small table of leaves.
     """
-    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), tokens.cast("long").alias("tokens"), domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-    leaves = budgets(d.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), percent, max_epochs, weigh)
-    leaves = leaves.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("long")).withColumn("_rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    d = d.join(leaves.withColumnRenamed("tokens", "leaf_tokens"), list(LEVELS))
-    d = d.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs"), F.col("_id")).cast("binary"))).withColumn("_bucket", F.substring("_order", 1, NIBBLES))
-    sums = d.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_sum"))
+    keys = [tokens.cast("long").alias("tokens"), domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")]
+    narrow = cut(docs.select(*keys))
+    leaves = budgets(cut(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))), percent, max_epochs, weigh).withColumnRenamed("tokens", "leaf_tokens")
+    epochs = F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(F.lit(0)).cast("long")
+    leaves = cut(leaves.withColumn("epochs", epochs).withColumn("_rest", F.col("budget") - epochs * F.col("leaf_tokens")))
+
+    def ordered(rows: DataFrame, table: DataFrame) -> DataFrame:
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs"), F.col("_id")).cast("binary"))
+        return rows.join(table, list(LEVELS)).withColumn("_at", F.struct(order.alias("order"), F.col("_id").alias("id"), F.col("tokens").alias("tokens"))).withColumn("_bucket", F.substring("_at.order", 1, NIBBLES))
+
+    # The bucket in which a leaf's prefix ends, and the last row in it that still fits.
+    sums = ordered(narrow, leaves).groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_sum"), F.first("_rest").alias("_rest"))
     run = Window.partitionBy(*LEVELS).orderBy("_bucket")
-    sums = sums.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum"))
-    d = d.join(sums, [*LEVELS, "_bucket"])
-    whole = F.col("_before") + F.col("_sum") <= F.col("_rest")
-    partly = ~whole & (F.col("_before") <= F.col("_rest"))
-    inside = Window.partitionBy(*LEVELS, "_bucket").orderBy("_order", "_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    columns = ["row", *LEVELS, "tokens", "budget", "epochs"]
-    sure = d.where(~partly).select(*columns, whole.cast("long").alias("_more"))
-    ranked = d.where(partly).select(*columns, (F.col("_before") + F.sum("tokens").over(inside) <= F.col("_rest")).cast("long").alias("_more"))
-    return sure.union(ranked).withColumn("mix_copies", F.col("epochs") + F.col("_more")).where("mix_copies > 0").drop("_more", "epochs")
+    ends = sums.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum")).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
+    ends = cut(ends.select(*LEVELS, F.col("_bucket").alias("_end"), "_before"))
+    inside = ordered(narrow, leaves.join(ends, list(LEVELS))).where("_bucket = _end")
+    fits = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("_at"))
+    last = inside.withColumn("_fits", F.col("_before") + fits <= F.col("_rest")).where("_fits").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
+    table = cut(leaves.join(ends.drop("_before"), list(LEVELS), "left").join(last, list(LEVELS), "left"))
+    rows = ordered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys), table)
+    more = F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)))
+    return rows.withColumn("mix_copies", F.col("epochs") + more.cast("long")).where("mix_copies > 0").select("row", *LEVELS, "tokens", "budget", "mix_copies")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +127,7 @@ l0 AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(
 {",".join(_level_sql(k) for k in range(len(LEVELS)))},
 e AS (SELECT * EXCLUDE (tokens), tokens AS lt, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS ep FROM l{len(LEVELS)}),
 s AS (SELECT doc_id, domain, lang, source, d.tokens AS n_tokens, budget, ep, budget - ep * lt AS rest,
-  sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || ep || ':' || doc_id), CAST(doc_id AS VARCHAR), d.tokens ROWS UNBOUNDED PRECEDING) AS run
+  sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || ep || ':' || doc_id), CAST(doc_id AS VARCHAR), d.tokens) AS run
   FROM d JOIN e USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, budget, CAST(ep + (run <= rest)::INT AS BIGINT) AS mix_copies FROM s WHERE ep + (run <= rest)::INT > 0
 """
