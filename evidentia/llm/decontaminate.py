@@ -47,23 +47,23 @@ def _masked(at: str, m: int) -> str:
 
 
 def item_hashes(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(span, hash, item, q, iw): masked windows of every item, short items whole, with the words around each."""
+    """(span, mask, hash, item, q, iw): masked windows of every item, short items whole, with the words around each."""
     b = items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("w"))
     size = F.size("w")
     starts = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN)).when(size >= MIN_ITEM, F.array(F.lit(0)))
     rows = b.select("item", "w", F.explode(starts).alias("p"))
     keys = F.when(F.size("w") >= SPAN, F.expr(f"array({', '.join(_masked('p', m) for m in range(len(MASKS)))})")).otherwise(F.array(F.xxhash64("w")))
     around = F.greatest(F.col("p") - CONTEXT, F.lit(0))
-    return rows.select("item", F.least(F.size("w"), F.lit(SPAN)).alias("span"), (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"), F.explode(keys).alias("hash"))
+    return rows.select("item", F.least(F.size("w"), F.lit(SPAN)).alias("span"), (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"), F.posexplode(keys).alias("mask", "hash"))
 
 
-def _hits(spans: dict[int, list[int]]) -> str:
+def _hits(sought: dict[tuple[int, int], list[int]]) -> str:
     """SQL of a text's hits: (hash, at, words around) of windows whose hash is among the items'; few, so the text isn't copied."""
     found = []
-    for span, hashes in sorted(spans.items()):
+    for (span, mask), hashes in sorted(sought.items()):
         among = f"IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'bigint(-9223372036854775808)' for h in hashes)})"
-        for key in [_masked("p", m) for m in range(len(MASKS))] if span == SPAN else [f"xxhash64(slice(w, p + 1, {span}))"]:
-            found.append(f"transform(filter(CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END, p -> {key} {among}), p -> named_struct('hash', {key}, 'span', {span}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
+        key = _masked("p", mask) if span == SPAN else f"xxhash64(slice(w, p + 1, {span}))"
+        found.append(f"transform(filter(CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END, p -> {key} {among}), p -> named_struct('hash', {key}, 'span', {span}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
     return f"concat({', '.join(found)})"
 
 
@@ -90,12 +90,12 @@ def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     found = None
     for k in range(blocks):
         block = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
-        spans: dict[int, list[int]] = {}
-        for span, h in block.select("span", "hash").distinct().collect():  # about block_hashes at most
-            spans.setdefault(span, []).append(h)
-        if not spans:
+        sought: dict[tuple[int, int], list[int]] = {}
+        for span, mask, h in block.select("span", "mask", "hash").distinct().collect():  # about block_hashes at most
+            sought.setdefault((span, mask), []).append(h)
+        if not sought:
             continue
-        hit = d.select("doc", F.explode(F.expr(_hits(spans))).alias("h")).select("doc", "h.*").join(F.broadcast(block), ["hash", "span"])
+        hit = d.select("doc", F.explode(F.expr(_hits(sought))).alias("h")).select("doc", "h.*").join(F.broadcast(block.drop("mask")), ["hash", "span"])
         part = hit.select("doc", "item", _overlap(F.struct("dw", "iw", "p", "q")).alias("o")).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
         found = part if found is None else found.union(part)
     if found is None:
