@@ -10,8 +10,8 @@ shape times (count + 1) / (sum over the shape's words of (count + 1), plus 1 for
 the whole text over the whole vocabulary, comparable with the base.
 
 Fitting. A bounded warm start on the driver (``WARM_DOCS`` training documents with the smallest seeded hash, at most
-``WARM_TOKENS`` tokens) is followed by a pass that grows with the corpus: one in ``SHARE`` of all training documents are
-learned from where they lie, each task from the same start, and the weights are averaged by tokens.
+``WARM_TOKENS`` tokens) is followed by a pass over the corpus: every training document is learned from where it lies, each
+task from the same start, and the weights are averaged by tokens.
 
 Null text: no words, the end alone. Each row is scored on its own, repeated rows too. Without training rows every word
 is unseen and scores are finite. Extra columns are ignored.
@@ -35,7 +35,7 @@ from .gru import Gru
 END = b"\n"  # no word holds one
 TOP, SYMBOLS, SHAPES = 150_000, 1_000, 64
 WARM_DOCS, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 150_000, 3, 6e-3
-SHARE, SHARE_RATE, SEED = 64, 1e-3, 23
+PASS_RATE, SEED = 1e-3, 23
 FLUSH = 200_000
 FOLDS, HELD_OUT = 7, 2
 LOG10 = math.log(10)
@@ -152,7 +152,7 @@ def _tune(held: _Held):
         seen = 0
         for b in batches:
             docs = [lexicon.encode(t.as_py())[1] for t in b.column(0)]
-            seen += model.train(docs, 1, SHARE_RATE, lanes=16)
+            seen += model.train(docs, 1, PASS_RATE, lanes=16)
         if seen:
             flat = model.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, np.int64))], ["k", "x", "n"])
@@ -236,8 +236,7 @@ def fit(train: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_
             break
     model.train(docs, WARM_EPOCHS, WARM_RATE)
     held = _Held(train.sparkSession.sparkContext.broadcast((lexicon, model.flat())))
-    share = rows.where(F.pmod(F.shiftright("h", 32), F.lit(SHARE)) == 0).select("text")
-    mean = share.mapInArrow(_tune(held), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # a row for each weight
+    mean = rows.select("text").mapInArrow(_tune(held), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # a row for each weight
     if mean.num_rows == len(model.flat()):
         flat = np.empty(mean.num_rows, np.float32)
         flat[np.asarray(mean.column("k"))] = np.asarray(mean.column("x"))

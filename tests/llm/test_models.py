@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import chat, gru, html, langid, lm, minhash, toxicity
 from tests.llm.helpers import DOCS, crc, empty_docs, odd_docs, prose, save
@@ -149,6 +150,22 @@ def test_lm_base_and_score(spark, tmp_path):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_every_document(spark):
+    """Two corpora of equal counts, apart only in documents beyond the warm start and beyond one in 64."""
+    rows, at = 600, spark.range(600).select("id", F.xxhash64(F.lit(lm.SEED), "id").alias("h"))
+    far = {r.id for r in at.where((F.pmod("h", F.lit(1 << 30)) >= 1.2 * lm.WARM_DOCS / rows * (1 << 30)) & (F.pmod(F.shiftright("h", 32), F.lit(64)) != 0)).collect()}
+    said = ("yin yang " * 100, "yin yin yang yang " * 50)
+    assert len(far) > 100
+
+    def learned(text):
+        docs = spark.createDataFrame([(i, text if i in far else prose(20, i)) for i in range(rows)], "doc_id long, text string").repartition(2)
+        lexicon = lm.lexicon_of(lm.counted(docs))
+        return lexicon.ready(), gru.Gru(lexicon.freq(), lexicon.end).load(lm.fit(docs, lexicon))
+
+    got = [[m.score([x.encode(t)[1]])[0] for t in said] for x, m in map(learned, said)]
+    assert got[0][0] - got[0][1] > got[1][0] - got[1][1] + 0.1  # each prefers what it was trained on
+
+
 def test_lm_of_odd_rows(spark, tmp_path):
     for docs, n in ((odd_docs(spark), 10), (empty_docs(spark), 0)):
         got = lm.op6_lm_score(spark, save(docs, tmp_path, "documents")).collect()
