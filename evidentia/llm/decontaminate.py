@@ -1,18 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame expressions alone.
 
-A mask keeps some positions of a window of ``SPAN`` words and ignores the rest, so a window still hashes alike after
+A mask keeps some positions of a window of words and ignores the rest, so a window still hashes alike after
 words at ignored positions were substituted. Masked windows of benchmark items and of documents are joined on
 (mask, hash); around each hit the words of both sides are compared one by one on the hit's diagonal, and the overlap
-counts when at least ``MATCH_PERCENT`` of ``CONTEXT`` aligned words are equal (of all aligned words, in an item
-with fewer). Words are lower-cased (A-Z) and lose punctuation at either end.
+counts when at least ``MATCH_PERCENT`` of ``CONTEXT`` aligned words are equal (of all aligned words where the item or the
+document has fewer there, but not below ``SPAN``, or the whole item if it is shorter). Every overlap that counts is hit:
+see ``MASKS``. Words are lower-cased (A-Z) and lose punctuation at either end.
 
 The benchmark's hashes are counted, and dealt into blocks of about ``BLOCK_HASHES``: a block is a set that each document's
 windows are looked up in, where they lie, and a broadcast side of the join with the few windows that hit, each with
 ``REACH`` words around it. Both are bounded by the block; a larger benchmark takes more passes over the documents, not more
 memory. Documents aren't shuffled and their windows are never stored.
 
-Items of fewer than ``SPAN`` words are matched as whole sequences if they have ``MIN_ITEM`` words, else never, as a
-phrase so short proves nothing. Null and empty texts match nothing. Repeated items and rows each give their own
+Items of fewer than ``SPAN`` words are matched as a whole, by lighter masks, if they have ``MIN_ITEM`` words, else never, as
+a phrase so short proves nothing. Null and empty texts match nothing. Repeated items and rows each give their own
 result; extra columns are ignored.
 """
 
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import let, lower_ascii, table, words
 
 SPAN = 12
-#: Kept positions of each mask. Fixed, so that both sides hash alike; every run of 12 words with one substitution, and
-#: most with two or three, is hit by one of them.
-MASKS = ((0, 1, 3, 4, 7, 8, 10, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 2, 5, 7, 8, 9, 11))
+#: Kept positions of each mask, fixed so that both sides hash alike. Of 12 or 13 aligned words two may differ. Four blocks of
+#: three words hold two blocks without a difference, side by side, one or two blocks apart: one of the first three masks hits.
+#: Of 10 or 11 words two may differ, of 8 or 9 one: among five blocks of two words, three without a difference hold two that
+#: are side by side or one block apart, and 8 words with one difference hold a run of four: one of the last two hits.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11), (0, 1, 2, 3), (0, 1, 4, 5))
+LONG, SHORT = (0, 1, 2), (3, 4)  # masks of items of SPAN words or more, and of fewer
 MIN_ITEM = 8
 CONTEXT = 13
 MATCH_PERCENT = 80
@@ -46,24 +50,30 @@ def _masked(at: str, m: int) -> str:
     return f"xxhash64({m}, {', '.join(f'get(w, {at} + {k})' for k in MASKS[m])})"
 
 
+def _starts(m: int) -> str:
+    """SQL of the starts of mask ``m``'s windows in ``w``."""
+    span = MASKS[m][-1] + 1
+    return f"CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END"
+
+
 def item_hashes(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(span, mask, hash, item, q, iw): masked windows of every item, short items whole, with the words around each."""
+    """(mask, hash, item, q, iw): masked windows of every item, with the words around each."""
     b = items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("w"))
-    size = F.size("w")
-    starts = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN)).when(size >= MIN_ITEM, F.array(F.lit(0)))
-    rows = b.select("item", "w", F.explode(starts).alias("p"))
-    keys = F.when(F.size("w") >= SPAN, F.expr(f"array({', '.join(_masked('p', m) for m in range(len(MASKS)))})")).otherwise(F.array(F.xxhash64("w")))
+    seed = lambda m: f"transform({_starts(m)}, p -> named_struct('mask', {m}, 'p', p, 'hash', {_masked('p', m)}))"
+    seeds = lambda ms: F.expr(f"concat({', '.join(map(seed, ms))})")
+    found = F.when(F.size("w") >= SPAN, seeds(LONG)).when(F.size("w") >= MIN_ITEM, seeds(SHORT))
+    rows = b.select("item", "w", F.explode(found).alias("s")).select("item", "w", "s.*")
     around = F.greatest(F.col("p") - CONTEXT, F.lit(0))
-    return rows.select("item", F.least(F.size("w"), F.lit(SPAN)).alias("span"), (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"), F.posexplode(keys).alias("mask", "hash"))
+    return rows.select("mask", "hash", "item", (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"))
 
 
-def _hits(sought: dict[tuple[int, int], list[int]]) -> str:
+def _hits(sought: dict[int, list[int]]) -> str:
     """SQL of a text's hits: (hash, at, words around) of windows whose hash is among the items'; few, so the text isn't copied."""
     found = []
-    for (span, mask), hashes in sorted(sought.items()):
+    for mask, hashes in sorted(sought.items()):
         among = f"IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'bigint(-9223372036854775808)' for h in hashes)})"
-        key = _masked("p", mask) if span == SPAN else f"xxhash64(slice(w, p + 1, {span}))"
-        found.append(f"transform(filter(CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END, p -> {key} {among}), p -> named_struct('hash', {key}, 'span', {span}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
+        key = _masked("p", mask)
+        found.append(f"transform(filter({_starts(mask)}, p -> {key} {among}), p -> named_struct('hash', {key}, 'mask', {mask}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
     return f"concat({', '.join(found)})"
 
 
@@ -90,13 +100,13 @@ def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     found = None
     for k in range(blocks):
         block = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
-        sought: dict[tuple[int, int], list[int]] = {}
-        for span, mask, h in block.select("span", "mask", "hash").distinct().collect():  # about block_hashes at most
-            sought.setdefault((span, mask), []).append(h)
+        sought: dict[int, list[int]] = {}
+        for mask, h in block.select("mask", "hash").distinct().collect():  # about block_hashes at most
+            sought.setdefault(mask, []).append(h)
         if not sought:
             continue
-        hit = d.select("doc", F.explode(F.expr(_hits(sought))).alias("h")).select("doc", "h.*").join(F.broadcast(block.drop("mask")), ["hash", "span"])
-        part = hit.select("doc", "item", _overlap(F.struct("dw", "iw", "p", "q")).alias("o")).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
+        hit = d.select("doc", F.explode(F.expr(_hits(sought))).alias("h")).select("doc", "h.*").join(F.broadcast(block), ["hash", "mask"])
+        part = hit.select("doc", "item", F.size("iw").alias("words"), _overlap(F.struct("dw", "iw", "p", "q")).alias("o")).where(F.col("o.aligned") >= F.least(F.lit(SPAN), F.col("words"))).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
         found = part if found is None else found.union(part)
     if found is None:
         return d.select("doc", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("equal"), F.lit(0).alias("aligned")).where(F.lit(False))

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def test_leaks_survive_substitutions(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(empty_docs(spark), items).count() == 0
 
 
+def test_every_overlap_that_counts_is_hit(spark):
+    """All placements of as many substitutions as verification accepts, in whole items of 8 to 13 words, and a long leaky copy."""
+    rows, items = [], []
+    for n, most in ((8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2)):
+        ws = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(ws)))
+        for k in range(most + 2):  # one more is rejected
+            for gone in combinations(range(n), k):
+                said = " ".join("other" if i in gone else w for i, w in enumerate(ws))
+                rows += [(len(rows), n, k <= most, said), (len(rows) + 1, n, k <= most, f"some words before {said} and after")]
+    fifth = prose(60, 90).split()
+    items.append((60, " ".join(fifth)))
+    rows += [(len(rows), 60, True, " ".join("other" if i % 5 == 4 else w for i, w in enumerate(fifth))), (len(rows) + 1, 60, False, " ".join(fifth[:9])), (len(rows) + 2, 60, True, " ".join(fifth[:12]))]
+    docs = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, text string")
+    got = {(r.doc, r.item_id) for r in decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n) for i, n, yes, _ in rows if yes}
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at = docs
