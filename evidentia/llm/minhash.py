@@ -13,7 +13,8 @@ too, so a link that a hub doesn't show isn't lost: in tiles of bounded size, by
 pair is a number and never a row. No link, component or fingerprint reaches the driver.
 
 Null or empty texts have no shingles: alone and kept. Texts shorter than a shingle are one shingle of their own. Rows
-with equal ids are one document for links. A null doc_id is its own smallest id. An empty table gives no rows.
+with equal ids are one document for links. A null doc_id is its own smallest id; ``deduplicate`` tells rows apart instead.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -243,10 +244,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
 
 
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: rows of ``docs`` whose id is their component's smallest; repeated rows once."""
-    found = near_duplicates(docs, doc, text, width, percent)
-    gone = found.where(~F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc] == F.col("_gone"), "left_anti").dropDuplicates([doc])
+    """One row of each group of near copies, that of the smallest id (a null one first); of texts without words, repeated rows once.
+
+    Rows are told apart by a number of their own, as ids may be null or repeat.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, "_row", text, width, percent).withColumnRenamed("doc", "_row")
+    lead = F.min(F.struct("_id", "_row")).alias("first")
+    ids = found.where("n_shingles > 0").join(rows.select("_row", F.col(doc).alias("_id")), "_row")
+    kept = ids.groupBy("component").agg(lead).select("first._row")
+    bare = rows.join(found.where("n_shingles = 0").select("_row"), "_row", "left_semi").groupBy(F.col(doc).alias("_id"), text).agg(F.min("_row").alias("_row"))
+    return rows.join(kept.union(bare.select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,18 @@ def test_every_overlap_that_counts_is_hit(spark):
     assert got == {(i, n) for i, n, yes, _ in rows if yes}
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    base, leak = prose(120, 31), prose(40, 32)
+    rows = [(None, prose(60, 33)), (None, prose(60, 34)), (None, prose(60, 35) + " " + leak), (None, None), (None, None), (5, base + " tail"), (7, base), (7, prose(60, 36)), (7, prose(60, 36)), (8, prose(60, 37)), (8, prose(50, 38) + " " + leak), (9, ""), (9, " ")]
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in rows], DOCS)
+    save(spark.createDataFrame([(0, leak)], "item_id long, text string"), tmp_path, "benchmark")
+    said = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    once = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns and said(once) == Counter({x: 1 for x in rows if x != (7, base)})
+    clean = Counter(x for x in rows if leak not in (x[1] or ""))
+    assert said(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == clean
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at = docs
