@@ -118,16 +118,18 @@ def strings_runs(spark, sf):
 
 
 def deobfuscate(spark, sf):
-    said = F.concat(F.lit('x = "'), F.substring("text", 1, 20), F.lit('" + "'), F.substring("text", 21, 20), F.lit('"; y = "'), F.substring("text", 1, 12), F.lit('".split("").reverse'))
-    d = docs(spark, sf).withColumn("s", F.regexp_replace(said, '(?<=[^ =.+(]{3})[\\n]', " "))
+    """Whole texts as joined literals of 60 characters and as one reversed literal; what ends a literal is replaced."""
+    text = F.translate("text", '"\n', "' ")
+    said = F.concat(F.lit("x = "), F.regexp_replace(text, "(?s)(.{1,60})", '"$1" + '), F.lit('""; y = "'), text, F.lit('".split("").reverse'))
+    d = docs(spark, sf).withColumn("s", said)
     return d.select("doc_id", F.array_join(X.joined_literals(F.col("s"), "+", 60, 6), "|").alias("joined"), F.array_join(X.reversed_literals(F.col("s")), "|").alias("reversed"))
 
 
 def base64_decode(spark, sf):
     from .functions import binary as B
 
-    said = F.concat(F.lit("run "), F.base64(F.substring("text", 1, 60).cast("binary")))
-    d = docs(spark, sf).where("length(text) >= 60").select("doc_id", F.explode(B.decoded_blobs(X.base64_blobs(said))).alias("b"))
+    said = F.concat(F.lit("run "), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", ""))  # one blob, not lines of 76
+    d = docs(spark, sf).select("doc_id", F.explode(B.decoded_blobs(X.base64_blobs(said))).alias("b"))
     return d.select("doc_id", "b.encoded_length", "b.encoding", "b.looks_like_text", "b.entropy", F.md5(F.col("b.decoded_preview").cast("binary")).alias("preview"))
 
 

@@ -164,7 +164,7 @@ def str_reverse(code: Column) -> Column:
 
 def joined_literals(text: Column, operator: str, piece: int, least: int) -> Column:
     """Literals joined by ``operator`` ("+" or "&"), put together."""
-    runs = found(text, rf'((?:"[^"\n]{{0,{piece}}}"\s*[{operator}]\s*){{1,}}"[^"\n]{{0,{piece}}}")')
+    runs = found(text, rf'("[^"\n]{{0,{piece}}}"(?:\s*[{operator}]\s*"[^"\n]{{0,{piece}}}")++)')  # possessive: no recursion over thousands of literals
     return F.filter(F.transform(runs, lambda r: F.array_join(found(r, r'"([^"\n]*)"'), "")), lambda s: F.length(s) >= least)
 
 

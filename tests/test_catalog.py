@@ -1,8 +1,12 @@
+import base64
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from evidentia import catalog
+from evidentia.functions import binary as B
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +38,20 @@ def test_every_oracle_has_a_query():
 
 def test_entry_runs(spark):
     assert len(entry.entry(spark).take(5)) == 5
+
+
+def test_scripts_are_read_whole(spark, tmp_path):
+    """deobfuscate and base64_decode over whole texts, against brute force."""
+    long = "x" * 200_000 + " 'the end' \U0001f600\r\n"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, long), (-2, None), (-3, ""), (-4, "ab$1")]
+    spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = {i: (t or "").replace('"', "'").replace("\n", " ") for i, t in rows}
+    got = {r.doc_id: (r.joined, r.reversed) for r in catalog.deobfuscate(spark, str(tmp_path)).collect()}
+    assert got == {i: (t, t[::-1]) if len(t) >= 6 else ("", "") for i, t in said.items()}
+    want = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        blob = base64.b64encode(raw).decode()
+        if len(blob.rstrip("=")) >= 40:
+            want[i] = (len(blob), hashlib.md5(B.decode_blob(blob)["decoded_preview"].encode()).hexdigest(), round(B.entropy_of(raw), 6))
+    assert {r.doc_id: (r.encoded_length, r.preview, round(r.entropy, 6)) for r in catalog.base64_decode(spark, str(tmp_path)).collect()} == want and max(w[0] for w in want.values()) > 200_000
