@@ -211,6 +211,18 @@ def test_wrappers_find_the_article(spark, tmp_path):
     assert sorted(t for i, t, _ in got if i in (8, 9, 10)) == ["", "", "alone", "deep text"]
 
 
+def test_copies_and_few_pages_make_no_boilerplate(spark):
+    page = "<html><body><div class=x><h1>{t}</h1><div>{lone}</div><p>{a}</p><p>{b}</p></div></body></html>"
+    copies = [(i, "http://copies.example/", page.format(t="Title", lone="lone block", a="one", b="two")) for i in range(4)]
+    large = [(10 + i, "http://large.example/", page.format(t=f"T{i}", lone="lone block", a=prose(9, i), b=prose(9, 50 + i)).replace("<div>lone block</div>", "<div>lone block</div>" if i < 3 else "")) for i in range(40)]
+    same = [(60 + i, "http://same.example/", page.format(t=f"T{i}", lone="lone block", a=prose(9, i), b=prose(9, 50 + i))) for i in range(40)]
+    pages = spark.createDataFrame(copies + large + same, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html.extract(pages).collect()}
+    assert all(got[i] == ["Title", "lone block", "one", "two"] for i in range(4))
+    assert all(got[10 + i] == [f"T{i}", *["lone block"] * (i < 3), prose(9, i), prose(9, 50 + i)] for i in range(40))
+    assert all(got[60 + i] == [f"T{i}", prose(9, i), prose(9, 50 + i)] for i in range(40))
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = ["<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><h1>t</h1><p>x</p>"]
     w = html.join(*[html.wrap(html.parse(p)) for p in pages])
