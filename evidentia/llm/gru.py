@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 
-EMBED, HIDDEN, WINDOW = 24, 32, 20
+EMBED, HIDDEN, WINDOW = 16, 16, 20
 SPAN = 50 * WINDOW
 NAMES = ("E", "Wx", "b", "U", "bu", "Wc", "bc", "Ww", "bw")
 
@@ -29,7 +29,42 @@ def classes_of(freq: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    """In place: numpy's exp is twice as fast as its tanh."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x):
+    x *= 2
+    x = _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
+
+
+def _exps(logits):
+    """exp of ``logits`` in place, and its sums over columns; logits of states within [-1, 1] are far from overflow."""
+    e = np.exp(np.minimum(logits, 80, out=logits), out=logits)
+    return e, e.sum(0)
+
+
+class Adam:
+    """Steps on ``weights`` in place: warmed up, then falling to a twentieth of ``rate`` over about ``steps``; gradients are clipped to norm 1."""
+
+    def __init__(self, weights: np.ndarray, rate: float, steps: int):
+        self.weights, self.rate, self.steps, self.at = weights, rate, steps, 0
+        self.m, self.v = np.zeros_like(weights), np.zeros_like(weights)
+
+    def step(self, g: np.ndarray) -> None:
+        self.at += 1
+        now = self.rate * min(1.0, self.at / 20) * max(0.05, 1 - self.at / (self.steps * 1.1 + 20))
+        g = g * np.float32(min(1.0, 1.0 / (np.sqrt(float(g @ g)) + 1e-9)))
+        self.m += np.float32(0.1) * (g - self.m)
+        self.v += np.float32(0.01) * (g * g - self.v)
+        self.weights -= np.float32(now / (1 - 0.9**self.at)) * self.m / (np.sqrt(self.v / np.float32(1 - 0.99**self.at)) + np.float32(1e-8))
 
 
 class Gru:
@@ -37,129 +72,152 @@ class Gru:
         rng, m = np.random.default_rng(seed), len(freq)
         self.end, self.cls, self.inputs = end, classes_of(freq), None
         c = int(self.cls.max()) + 1
-        self.members = [np.flatnonzero(self.cls == k) for k in range(c)]
-        self.place = np.empty(m, np.int64)
-        for w in self.members:
-            self.place[w] = np.arange(len(w))
+        # Rows of Ww and bw lie class by class, so a class is a slice of them.
+        order = np.argsort(self.cls, kind="stable")
+        self.starts = np.searchsorted(self.cls[order], np.arange(c + 1))
+        self.row = np.empty(m, np.int64)
+        self.row[order] = np.arange(m)
         f32 = lambda *s: (rng.normal(0, 1 / np.sqrt(s[0] if len(s) > 1 else 1), s)).astype(np.float32)
         p = np.log((freq + 1) / (freq.sum() + m))
-        mass = np.array([np.exp(p[w]).sum() for w in self.members])
-        self.p = {
-            "E": f32(m, EMBED) * np.float32(np.sqrt(m) * 0.3), "Wx": f32(EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32), "U": f32(HIDDEN, 3 * HIDDEN), "bu": np.zeros(3 * HIDDEN, np.float32),
-            "Wc": f32(HIDDEN, c) * np.float32(0.1), "bc": np.log(mass).astype(np.float32), "Ww": (rng.normal(0, 0.02, (m, HIDDEN))).astype(np.float32), "bw": (p - np.log(mass)[self.cls]).astype(np.float32),
+        mass = np.bincount(self.cls, np.exp(p), c)
+        start = {
+            "E": f32(m, EMBED) * np.float32(np.sqrt(m) * 0.3), "Wx": f32(EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN), "U": f32(HIDDEN, 3 * HIDDEN), "bu": np.zeros(3 * HIDDEN),
+            "Wc": f32(HIDDEN, c) * np.float32(0.1), "bc": np.log(mass), "Ww": rng.normal(0, 0.02, (m, HIDDEN)), "bw": (p - np.log(mass)[self.cls])[order],
         }
+        self.weights = np.concatenate([start[k].ravel() for k in NAMES]).astype(np.float32)
+        cuts = np.cumsum([start[k].size for k in NAMES])[:-1]
+        self.p = {k: v.reshape(start[k].shape) for k, v in zip(NAMES, np.split(self.weights, cuts))}  # views
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in NAMES])
+        return self.weights.copy()
 
     def load(self, flat: np.ndarray) -> "Gru":
-        at = 0
-        for k in NAMES:
-            n = self.p[k].size
-            self.p[k] = np.asarray(flat[at : at + n], np.float32).reshape(self.p[k].shape)
-            at += n
+        self.weights[:] = flat
         return self
 
+    def _inputs(self) -> np.ndarray:
+        return self.p["Wx"].T @ self.p["E"].T + self.p["b"][:, None]
+
     def _run(self, x, fresh, h, keep=False):
-        """States (T, B, H) of inputs x (T, B); where ``fresh``, the state starts at zero."""
-        p = self.p
-        g = self.inputs[x] if not keep else p["E"][x] @ p["Wx"] + p["b"]
-        hs, saved = np.empty((*x.shape, HIDDEN), np.float32), []
+        """States (H, T, B) of inputs x (T, B); where ``fresh``, the state starts at zero. Units come first, so what is done to a gate is done to whole rows."""
+        p, shape = self.p, x.shape
+        g = np.take(self._inputs() if keep else self.inputs, x, 1)
+        hs = np.empty((HIDDEN, *shape), g.dtype)
+        was, zr, cs, uc = (np.empty((w, *shape), g.dtype) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)) if keep else (None,) * 4
+        starts, left, bias = fresh.any(1), np.ascontiguousarray(p["U"].T), p["bu"][:, None]
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            u = h @ p["U"] + p["bu"]
-            zr = _sigmoid(g[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(g[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
+            if starts[t]:
+                h = np.where(fresh[t], g.dtype.type(0), h)
+            u = left @ h
+            u += bias
+            a = _sigmoid(u[: 2 * HIDDEN] + g[: 2 * HIDDEN, t])
+            z, r, last = a[:HIDDEN], a[HIDDEN:], u[2 * HIDDEN :]
+            c = r * last
+            c += g[2 * HIDDEN :, t]
+            c = _tanh(c)
             if keep:
-                saved.append((h, z, r, c, u[:, 2 * HIDDEN :]))
-            h = c + z * (h - c)
-            hs[t] = h
-        return hs, h, saved
-
-    def _out(self, hs, y, grads=None):
-        """Natural log-probabilities of symbols y given states; fills ``grads`` and returns the states' gradient too."""
-        p, n = self.p, len(y)
-        logits = hs @ p["Wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(1)
-        cls = self.cls[y]
-        lp = logits[np.arange(n), cls] - np.log(s)
-        dh = None
+                was[:, t], zr[:, t], cs[:, t], uc[:, t] = h, a, c, last
+            h = h - c
+            h *= z
+            h += c
+            hs[:, t] = h
+        return hs, h, (was, zr, cs, uc)
+
+    def _out(self, hs, y, live, grads=None):
+        """Natural log-probabilities of the live symbols y (T, B), row by row, given states; fills ``grads`` and returns the states' gradient too."""
+        p = self.p
+        cells = np.flatnonzero(live)
+        y = y.ravel()[cells]
+        order = np.argsort(self.cls[y].astype(np.int16), kind="stable")
+        y = y[order]
+        sorted_cells, cls, row, at = cells[order], self.cls[y], self.row[y], np.arange(len(y))
+        units = hs.reshape(HIDDEN, -1)
+        hs = np.take(units, sorted_cells, 1)
+        logits = p["Wc"].T @ hs
+        logits += p["bc"][:, None]
+        lp = logits[cls, at]
+        e, s = _exps(logits)
+        lp -= np.log(s)
+        d = None
         if grads is not None:
-            d = e / s[:, None]
-            d[np.arange(n), cls] -= 1
-            grads["Wc"], grads["bc"] = hs.T @ d, d.sum(0)
-            dh = d @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.members) + 1))
+            e /= s
+            e[cls, at] -= 1
+            grads["Wc"], grads["bc"] = hs @ e.T, e.sum(1)
+            d = p["Wc"] @ e
+        cuts = np.searchsorted(cls, np.arange(len(self.starts)))
         for k in np.flatnonzero(np.diff(cuts)):
-            at, words = order[cuts[k] : cuts[k + 1]], self.members[k]
-            if len(words) == 1:
+            a, z, first, last = cuts[k], cuts[k + 1], self.starts[k], self.starts[k + 1]
+            if last - first == 1:
                 continue
-            hk, place = hs[at], self.place[y[at]]
-            w = hk @ p["Ww"][words].T + p["bw"][words]
-            w -= w.max(1, keepdims=True)
-            ew = np.exp(w)
-            sw = ew.sum(1)
-            lp[at] += w[np.arange(len(at)), place] - np.log(sw)
+            hk, place, words = hs[:, a:z], row[a:z] - first, p["Ww"][first:last]
+            w = words @ hk
+            w += p["bw"][first:last, None]
+            mine = w[place, at[: z - a]]
+            w, sw = _exps(w)
+            lp[a:z] += mine - np.log(sw)
             if grads is not None:
-                dw = ew / sw[:, None]
-                dw[np.arange(len(at)), place] -= 1
-                grads["Ww"][words] += dw.T @ hk
-                grads["bw"][words] += dw.sum(0)
-                dh[at] += dw @ p["Ww"][words]
-        return lp, dh
+                w /= sw
+                w[place, at[: z - a]] -= 1
+                grads["Ww"][first:last] = w @ hk.T
+                grads["bw"][first:last] = w.sum(1)
+                d[:, a:z] += words.T @ w
+        out = np.empty_like(lp)
+        out[order] = lp
+        if d is not None:
+            back = np.zeros_like(units)
+            back[:, sorted_cells] = d
+            d = back
+        return out, d
 
     def _step(self, x, fresh, y, live, h):
         """Loss gradient over one window."""
         p = self.p
-        hs, last, saved = self._run(x, fresh, h, keep=True)
-        flat_live = live.ravel()
+        hs, last, (was, zr, cs, uc) = self._run(x, fresh, h, keep=True)
         g = {k: np.zeros_like(p[k]) for k in NAMES}
-        lp, d = self._out(hs.reshape(-1, HIDDEN)[flat_live], y.ravel()[flat_live], g)
-        n = max(1, int(flat_live.sum()))
-        dhs = np.zeros((x.size, HIDDEN), np.float32)
-        dhs[flat_live] = d
-        dhs, dg, nxt = dhs.reshape(hs.shape), np.empty((*x.shape, 3 * HIDDEN), np.float32), np.zeros_like(last)
+        lp, d = self._out(hs, y, live, g)
+        n = max(1, len(lp))
+        dhs, du, dcs, nxt = d.reshape(hs.shape), np.empty((3 * HIDDEN, *x.shape), hs.dtype), np.empty_like(hs), np.zeros_like(last)
+        # What each step multiplies by, for all steps at once.
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        rest = 1 - z
+        by_z, by_c, by_r = (was - cs) * z * rest, rest * (1 - cs * cs), uc * r * (1 - r)
+        starts = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, c, uc = saved[t]
-            dh = dhs[t] + nxt
-            dz, dc = dh * (h0 - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
-            dr = dc * uc * r * (1 - r)
-            dg[t] = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            g["U"] += h0.T @ du
-            g["bu"] += du.sum(0)
-            nxt = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ p["U"].T)
-        flat = dg.reshape(-1, 3 * HIDDEN)
-        e = p["E"][x.ravel()]
-        g["Wx"], g["b"] = e.T @ flat, flat.sum(0)
-        np.add.at(g["E"], x.ravel(), flat @ p["Wx"].T)
+            dh = dhs[:, t] + nxt
+            dc = dh * by_c[:, t]
+            dcs[:, t] = dc
+            np.multiply(dh, by_z[:, t], out=du[:HIDDEN, t])
+            np.multiply(dc, by_r[:, t], out=du[HIDDEN : 2 * HIDDEN, t])
+            np.multiply(dc, r[:, t], out=du[2 * HIDDEN :, t])
+            nxt = p["U"] @ du[:, t]
+            dh *= z[:, t]
+            nxt += dh
+            if starts[t]:
+                nxt[:, fresh[t]] = 0
+        flat = du.reshape(3 * HIDDEN, -1)
+        g["U"], g["bu"] = was.reshape(HIDDEN, -1) @ flat.T, flat.sum(1)
+        flat[2 * HIDDEN :] = dcs.reshape(HIDDEN, -1)
+        x = x.ravel()
+        g["Wx"], g["b"] = np.take(p["E"].T, x, 1) @ flat.T, flat.sum(1)
+        for k, column in enumerate(p["Wx"] @ flat):
+            g["E"][:, k] = np.bincount(x, column, len(self.cls))
         return {k: v / n for k, v in g.items()}, last, float(lp.sum()), n
 
     def train(self, docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 32, seed: int = 1) -> int:
         """Passes over whole documents (symbol ids, each with its end); gives the tokens of one pass."""
-        rng = np.random.default_rng(seed)
-        m, v, step, total = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, sum(map(len, docs))
-        if not total:
-            return 0
-        steps = max(1, epochs * total // (lanes * WINDOW))
-        for _ in range(epochs):
-            for x, fresh, y, live, h, *_ in self._windows([docs[i] for i in rng.permutation(len(docs))], lanes, carry := {}):
-                g, carry["h"], _, _ = self._step(x, fresh, y, live, h)
-                step += 1
-                norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-                now = rate * min(1.0, step / 20) * max(0.05, 1 - step / (steps * 1.1 + 20))
-                for k in NAMES:
-                    q = g[k] * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                    m[k] = 0.9 * m[k] + 0.1 * q
-                    v[k] = 0.99 * v[k] + 0.01 * q * q
-                    self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        total = sum(map(len, docs))
+        fit = Adam(self.weights, rate, max(1, epochs * total // (lanes * WINDOW)))
+        for k in range(epochs if total else 0):
+            order = np.random.default_rng(seed + k).permutation(len(docs))
+            self.learn([docs[i] for i in order], fit, lanes)
         return total
 
+    def learn(self, docs: list[np.ndarray], fit: "Adam", lanes: int) -> None:
+        """One pass over ``docs``."""
+        for x, fresh, y, live, h, *_ in self._windows(docs, lanes, carry := {}):
+            g, carry["h"], _, _ = self._step(x, fresh, y, live, h)
+            fit.step(np.concatenate([g[k].ravel() for k in NAMES]))
+
     def _windows(self, docs, lanes, carry):
         """Windows over packed lanes: inputs, fresh starts, targets, live cells, state, and the document of each cell."""
         heap = [(0, k, []) for k in range(max(1, min(lanes, len(docs))))]
@@ -171,7 +229,7 @@ class Gru:
         lens = np.array([x[0] for x in heap])
         ys = [np.concatenate([docs[i] for i in x[2]]) for x in heap]
         of = [np.repeat(x[2], [len(docs[i]) for i in x[2]]) for x in heap]
-        carry["h"] = np.zeros((len(heap), HIDDEN), np.float32)
+        carry["h"] = np.zeros((HIDDEN, len(heap)), np.float32)
         for start in range(0, int(lens[0]) if len(heap) else 0, SPAN):
             # Lanes are laid side by side for many windows at once; those that have ended drop out, as the longest come first.
             b = int((lens > start).sum())
@@ -186,13 +244,13 @@ class Gru:
             x = np.where(fresh, self.end, y[:-1])
             for at in range(0, rows, WINDOW):
                 now, w = int((lens > start + at).sum()), slice(at, at + WINDOW)
-                yield x[w, :now], fresh[w, :now] & live[w, :now], y[1:][w, :now], live[w, :now], carry["h"][:now], d[1:][w, :now]
+                yield x[w, :now], fresh[w, :now] & live[w, :now], y[1:][w, :now], live[w, :now], carry["h"][:, :now], d[1:][w, :now]
 
     def score(self, docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
         """Natural log-probability of each whole document."""
-        out, self.inputs = np.zeros(len(docs)), self.p["E"] @ self.p["Wx"] + self.p["b"]
+        out, self.inputs = np.zeros(len(docs)), self._inputs()
         for x, fresh, y, live, h, d in self._windows(docs, lanes, carry := {}):
             hs, carry["h"], _ = self._run(x, fresh, h)
-            lp, _ = self._out(hs[live], y[live])
+            lp, _ = self._out(hs, y, live)
             out += np.bincount(d[live], lp, len(docs))
         return out

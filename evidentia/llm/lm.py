@@ -10,8 +10,10 @@ shape times (count + 1) / (sum over the shape's words of (count + 1), plus 1 for
 the whole text over the whole vocabulary, comparable with the base.
 
 Fitting. A bounded warm start on the driver (``WARM_DOCS`` training documents with the smallest seeded hash, at most
-``WARM_TOKENS`` tokens) is followed by a pass over the corpus: every training document is learned from where it lies, each
-task from the same start, and the weights are averaged by tokens.
+``WARM_TOKENS`` tokens) is followed by a pass over every token of the corpus. Documents become pieces of ``PIECE`` symbols,
+which are dealt by seeded hashes into buckets of about ``BUCKET_TOKENS`` (more once there are ``BUCKETS`` of them). Each bucket
+learns from the same start, piece by piece in the order of their hashes and never held whole, and the weights are averaged
+by tokens. So what is learned depends on the corpus, not on how it is partitioned.
 
 Null text: no words, the end alone. Each row is scored on its own, repeated rows too. Without training rows every word
 is unseen and scores are finite. Extra columns are ignored.
@@ -30,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fold, table
-from .gru import Gru
+from .gru import WINDOW, Adam, Gru
 
 END = b"\n"  # no word holds one
-TOP, SYMBOLS, SHAPES = 150_000, 1_000, 64
+TOP, SYMBOLS, SHAPES = 150_000, 500, 64
 WARM_DOCS, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 150_000, 3, 6e-3
-PASS_RATE, SEED = 1e-3, 23
+PASS_RATE, SEED = 6e-3, 23
+PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 500, 1_000_000, 4_096, 500_000, 256
 FLUSH = 200_000
 FOLDS, HELD_OUT = 7, 2
 LOG10 = math.log(10)
@@ -145,17 +148,55 @@ class _Held:
         return self.broadcast.value
 
 
-def _tune(held: _Held):
+def _pieces(held: _Held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, _ = _loaded(held)
+        for b in batches:
+            hs, nums, out = [], [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
+                sym = lexicon.encode(t.as_py())[1].astype(np.int16)
+                for k in range(0, len(sym), PIECE):
+                    hs.append(h)
+                    nums.append(k)
+                    out.append(sym[k : k + PIECE].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(nums, pa.int32()), pa.array(out, pa.binary())], ["h", "at", "symbols"])
+
+    return run
+
+
+def _tune(held: _Held, tokens_each: int):
+    lanes = min(LANES, max(16, tokens_each // 2_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; a bucket is learned in chunks."""
         lexicon, start = _loaded(held)
-        model = Gru(lexicon.freq(), lexicon.end).load(start.flat())
-        seen = 0
+        bucket, model, fit, chunk, waiting, seen = None, None, None, [], 0, 0
+
+        def learn():
+            nonlocal chunk, waiting, seen
+            model.learn(chunk, fit, lanes)
+            chunk, waiting, seen = [], 0, seen + waiting
+
+        def out():
+            flat = model.weights
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, np.int64))], ["k", "x", "n"])
+
         for b in batches:
-            docs = [lexicon.encode(t.as_py())[1] for t in b.column(0)]
-            seen += model.train(docs, 1, PASS_RATE, lanes=16)
-        if seen:
-            flat = model.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, np.int64))], ["k", "x", "n"])
+            for at, symbols in zip(b.column("bucket").to_pylist(), b.column("symbols")):
+                if at != bucket:
+                    if bucket is not None:
+                        learn()
+                        yield out()
+                    bucket, seen = at, 0
+                    model = Gru(lexicon.freq(), lexicon.end).load(start.weights)
+                    fit = Adam(model.weights, PASS_RATE, max(1, tokens_each // (lanes * WINDOW)))
+                chunk.append(np.frombuffer(symbols.as_py(), np.int16))
+                waiting += len(chunk[-1])
+                if waiting >= CHUNK_TOKENS:
+                    learn()
+        if bucket is not None:
+            learn()
+            yield out()
 
     return run
 
@@ -236,7 +277,12 @@ def fit(train: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_
             break
     model.train(docs, WARM_EPOCHS, WARM_RATE)
     held = _Held(train.sparkSession.sparkContext.broadcast((lexicon, model.flat())))
-    mean = rows.select("text").mapInArrow(_tune(held), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # a row for each weight
+    # Rows of one key and text, or of none, are pieces alike, so their order among themselves is no matter.
+    buckets = max(1, min(BUCKETS, lexicon.total // BUCKET_TOKENS))
+    pieces = train.select(F.xxhash64(F.lit(SEED), key, text).alias("h"), F.col(text).alias("text")).mapInArrow(_pieces(held), "h long, at int, symbols binary")
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("h", "at"), F.lit(buckets)).cast("int")).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "h", "at")
+    learned = dealt.mapInArrow(_tune(held, lexicon.total // buckets), "k int, x double, n long")
+    mean = learned.groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # a row for each weight
     if mean.num_rows == len(model.flat()):
         flat = np.empty(mean.num_rows, np.float32)
         flat[np.asarray(mean.column("k"))] = np.asarray(mean.column("x"))
