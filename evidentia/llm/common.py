@@ -47,4 +47,27 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by :func:`cut` whose last reader is done."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._cut_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores in front until no column has it; column names don't tell case apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row's own in column ``name``, written down so that it stays the same."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))

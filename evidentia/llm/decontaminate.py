@@ -2,19 +2,18 @@
 
 A mask keeps some positions of a window of words and ignores the rest, so a window still hashes alike after
 words at ignored positions were substituted. Masked windows of benchmark items and of documents are joined on
-(mask, hash); around each hit the words of both sides are compared one by one on the hit's diagonal, and the overlap
+their hash (a mask's number is part of it); around each hit the words of both sides are compared one by one on the hit's diagonal, and the overlap
 counts when at least ``MATCH_PERCENT`` of ``CONTEXT`` aligned words are equal (of all aligned words where the item or the
 document has fewer there, but not below ``SPAN``, or the whole item if it is shorter). Every overlap that counts is hit:
 see ``MASKS``. Words are lower-cased (A-Z) and lose punctuation at either end.
 
-The benchmark's hashes are counted, and dealt into blocks of about ``BLOCK_HASHES``: a block is a set that each document's
-windows are looked up in, where they lie, and a broadcast side of the join with the few windows that hit, each with
-``REACH`` words around it. Both are bounded by the block; a larger benchmark takes more passes over the documents, not more
-memory. Documents aren't shuffled and their windows are never stored.
+Documents' windows are made, hashed and looked up in one pass where the documents lie: they are never shuffled or stored, and only
+the few that hit take words along. The benchmark's side is broadcast, after its rows are counted: a row has ``REACH`` words
+at most, and where there are more than ``BLOCK_HASHES`` rows they are dealt into blocks of about as many, each with a pass of its own.
 
-Items of fewer than ``SPAN`` words are matched as a whole, by lighter masks, if they have ``MIN_ITEM`` words, else never, as
-a phrase so short proves nothing. Null and empty texts match nothing. Repeated items and rows each give their own
-result; extra columns are ignored.
+Items of fewer than ``SPAN`` words are matched as a whole, by lighter masks if they have ``MIN_TOLERANT`` words, and word for
+word if they have fewer: every document that says a one-word item holds it. Null and empty texts match nothing. Rows of one id
+are one document; repeated items give their own results; extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, table, words
+from .common import LOWER, UPPER, cut, let, lower_ascii, table, words
 
 SPAN = 12
 #: Kept positions of each mask, fixed so that both sides hash alike. Of 12 or 13 aligned words two may differ. Four blocks of
@@ -31,50 +30,56 @@ SPAN = 12
 #: are side by side or one block apart, and 8 words with one difference hold a run of four: one of the last two hits.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11), (0, 1, 2, 3), (0, 1, 4, 5))
 LONG, SHORT = (0, 1, 2), (3, 4)  # masks of items of SPAN words or more, and of fewer
-MIN_ITEM = 8
+MIN_TOLERANT = 8
+#: The masks of items of 1 to MIN_TOLERANT - 1 words keep every word; mask len(MASKS) + n - 1 is that of n words.
+WHOLE = tuple(tuple(range(n)) for n in range(1, MIN_TOLERANT))
 CONTEXT = 13
 MATCH_PERCENT = 80
-#: Words around a hit that are compared, and the benchmark's hashes that are sought in one pass over the documents.
+#: Words around a hit that are compared, and rows of the benchmark that are broadcast at once.
 REACH = 3 * CONTEXT
 BLOCK_HASHES = 50_000
+TRIM = ".,;:!?\"'()"
 
 
 def hashed_words(text: Column) -> Column:
     """64-bit hashes of a text's words."""
-    bare = F.transform(words(lower_ascii(text)), lambda w: F.btrim(w, F.lit(".,;:!?\"'()")))
+    bare = F.transform(words(lower_ascii(text)), lambda w: F.btrim(w, F.lit(TRIM)))
     return F.transform(F.array_remove(bare, ""), lambda w: F.xxhash64(w))
 
 
-def _masked(at: str, m: int) -> str:
-    """SQL of the hash of mask ``m`` over the window that starts at ``at`` in ``w``."""
-    return f"xxhash64({m}, {', '.join(f'get(w, {at} + {k})' for k in MASKS[m])})"
+def _seed(m: int) -> Column:
+    """Hash of mask ``m`` over the window of ``w`` that starts at ``p``; null where it doesn't fit."""
+    kept = (*MASKS, *WHOLE)[m]
+    return F.when(F.col("p") + kept[-1] < F.size("w"), F.xxhash64(F.lit(m), *[F.get("w", F.col("p") + k) for k in kept]))
 
 
-def _starts(m: int) -> str:
-    """SQL of the starts of mask ``m``'s windows in ``w``."""
-    span = MASKS[m][-1] + 1
-    return f"CASE WHEN size(w) >= {span} THEN sequence(0, size(w) - {span}) ELSE array() END"
+def _windows(rows: DataFrame, masks: list[int], *columns: str) -> DataFrame:
+    """``columns``, w, p and hash of every window of ``rows``' words ``w``. Both explodes and all hashes are compiled together, so ``w`` isn't copied."""
+    at = rows.select(*columns, "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("p"))
+    return at.select(*columns, "w", "p", F.explode(F.array(*map(_seed, masks))).alias("hash")).where("hash IS NOT NULL")
 
 
-def item_hashes(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(mask, hash, item, q, iw): masked windows of every item, with the words around each."""
-    b = items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("w"))
-    seed = lambda m: f"transform({_starts(m)}, p -> named_struct('mask', {m}, 'p', p, 'hash', {_masked('p', m)}))"
-    seeds = lambda ms: F.expr(f"concat({', '.join(map(seed, ms))})")
-    found = F.when(F.size("w") >= SPAN, seeds(LONG)).when(F.size("w") >= MIN_ITEM, seeds(SHORT))
-    rows = b.select("item", "w", F.explode(found).alias("s")).select("item", "w", "s.*")
-    around = F.greatest(F.col("p") - CONTEXT, F.lit(0))
-    return rows.select("mask", "hash", "item", (F.col("p") - around).alias("q"), F.slice("w", around + 1, REACH).alias("iw"))
+def _around(at: str) -> tuple[Column, Column]:
+    """Where the ``REACH`` words around ``at`` start, and those words."""
+    start = F.greatest(F.col(at) - CONTEXT, F.lit(0))
+    return start, F.slice("w", start + 1, REACH)
 
 
-def _hits(sought: dict[int, list[int]]) -> str:
-    """SQL of a text's hits: (hash, at, words around) of windows whose hash is among the items'; few, so the text isn't copied."""
-    found = []
-    for mask, hashes in sorted(sought.items()):
-        among = f"IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'bigint(-9223372036854775808)' for h in hashes)})"
-        key = _masked("p", mask)
-        found.append(f"transform(filter({_starts(mask)}, p -> {key} {among}), p -> named_struct('hash', {key}, 'mask', {mask}, 'at', p, 'p', p - greatest(p - {CONTEXT}, 0), 'dw', slice(w, greatest(p - {CONTEXT}, 0) + 1, {REACH})))")
-    return f"concat({', '.join(found)})"
+def item_hashes(items: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
+    """(hash, item, q, iw): masked windows of every item, with the words around each; and the masks in use."""
+    b = cut(items.select(F.col(item).alias("item"), hashed_words(F.col(text)).alias("w")))
+    size = F.size("w")
+    longs, shorts = b.agg(F.count_if(size >= SPAN), F.count_if((size >= MIN_TOLERANT) & (size < SPAN))).first()
+    lengths = [r[0] for r in b.where((size > 0) & (size < MIN_TOLERANT)).select(size).distinct().collect()]  # MIN_TOLERANT - 1 at most
+    kinds = [(size >= SPAN, LONG if longs else ()), ((size >= MIN_TOLERANT) & (size < SPAN), SHORT if shorts else ()), *[(size == n, (len(MASKS) + n - 1,)) for n in sorted(lengths)]]
+    start, words_there = _around("p")
+    found = [_windows(b.where(which), list(masks), "item").select("hash", "item", (F.col("p") - start).alias("q"), words_there.alias("iw")) for which, masks in kinds if masks]
+    if not found:
+        return b.select(F.lit(0).cast("long").alias("hash"), "item", F.lit(0).alias("q"), F.col("w").alias("iw")).where(F.lit(False)), []
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return cut(out), sorted(m for _, masks in kinds for m in masks)
 
 
 def _overlap(hit: Column) -> Column:
@@ -94,22 +99,19 @@ def _overlap(hit: Column) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """(doc, item_id, hits, equal, aligned): documents with the benchmark items that they hold, and the best overlap."""
-    hashes = item_hashes(items).cache()
-    blocks = max(1, -(-hashes.count() // block_hashes))
+    hashes, masks = item_hashes(items)
     d = docs.select(F.col(doc).alias("doc"), hashed_words(F.col(text)).alias("w"))
+    blocks = max(1, -(-hashes.count() // block_hashes))
+    start, words_there = _around("p")
     found = None
     for k in range(blocks):
-        block = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
-        sought: dict[int, list[int]] = {}
-        for mask, h in block.select("mask", "hash").distinct().collect():  # about block_hashes at most
-            sought.setdefault(mask, []).append(h)
-        if not sought:
-            continue
-        hit = d.select("doc", F.explode(F.expr(_hits(sought))).alias("h")).select("doc", "h.*").join(F.broadcast(block), ["hash", "mask"])
-        part = hit.select("doc", "item", F.size("iw").alias("words"), _overlap(F.struct("dw", "iw", "p", "q")).alias("o")).where(F.col("o.aligned") >= F.least(F.lit(SPAN), F.col("words"))).where(100 * F.col("o.equal") >= MATCH_PERCENT * F.col("o.aligned"))
+        block = hashes if blocks == 1 else hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)  # about block_hashes rows, as counted
+        seen = _windows(d, masks or [0], "doc").join(F.broadcast(block), "hash").select("doc", "item", "q", "iw", (F.col("p") - start).alias("p"), words_there.alias("dw"))
+        # Exploded, not filtered: a filter would move into the join, which then wouldn't be compiled together with the windows.
+        counts = lambda o: (o["aligned"] >= F.least(F.lit(SPAN), F.size("iw"))) & (100 * o["equal"] >= MATCH_PERCENT * o["aligned"])
+        part = seen.select("doc", "item", F.explode(F.filter(F.array(_overlap(F.struct("dw", "iw", "p", "q"))), counts)).alias("o"))
+        part = part if blocks == 1 else cut(part)
         found = part if found is None else found.union(part)
-    if found is None:
-        return d.select("doc", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("equal"), F.lit(0).alias("aligned")).where(F.lit(False))
     best = F.max(F.struct("o.equal", "o.aligned"))
     return found.groupBy("doc", F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"), best.alias("o")).select("doc", "item_id", "hits", "o.equal", "o.aligned")
 
@@ -125,5 +127,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id")
 
 
+def _sql() -> str:
+    quoted = TRIM.replace("'", "''")
+    said = lambda t, key: rf"SELECT {key}, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '{quoted}')), lambda x: x <> '') AS w FROM {t}"
+    rule = {m: f"len(w) >= {SPAN}" for m in LONG} | {m: f"len(w) BETWEEN {MIN_TOLERANT} AND {SPAN - 1}" for m in SHORT} | {len(MASKS) + k: f"len(w) = {k + 1}" for k in range(len(WHOLE))}
+
+    def windows(t: str, key: str, which: bool) -> str:
+        return " UNION ALL ".join(f"SELECT {key}, {m} AS mask, p, concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k in kept)}) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {kept[-1]})) AS p FROM {t} WHERE len(w) > {kept[-1]}{f' AND {rule[m]}' if which else ''})" for m, kept in enumerate((*MASKS, *WHOLE)))
+
+    return f"""
+WITH d AS ({said('documents', 'doc_id')}), i AS ({said('benchmark', 'item_id')}),
+dh AS ({windows('d', 'doc_id', False)}), ih AS ({windows('i', 'item_id', True)}),
+h AS (SELECT doc_id, item_id, mask, dh.p AS p, ih.p AS q FROM dh JOIN ih USING (mask, seed)),
+a AS (SELECT h.doc_id, h.item_id, d.w[greatest(p - {CONTEXT}, 0) + 1 : greatest(p - {CONTEXT}, 0) + {REACH}] AS dw, i.w[greatest(q - {CONTEXT}, 0) + 1 : greatest(q - {CONTEXT}, 0) + {REACH}] AS iw,
+  least(p, {CONTEXT}) AS p, least(q, {CONTEXT}) AS q FROM h JOIN d ON h.doc_id = d.doc_id JOIN i ON h.item_id = i.item_id),
+s AS (SELECT doc_id, item_id, len(iw) AS words, list_transform(range(0, least(p, q) + least(len(dw) - p, len(iw) - q)), lambda k: (dw[p - least(p, q) + k + 1] = iw[q - least(p, q) + k + 1])::INT) AS same FROM a),
+o AS (SELECT doc_id, item_id, words, least(len(same), {CONTEXT}) AS aligned, list_max(list_transform(range(1, len(same) - least(len(same), {CONTEXT}) + 2), lambda k: list_sum(same[k : k + least(len(same), {CONTEXT}) - 1]))) AS equal FROM s)
+SELECT doc_id, item_id, count(*) AS hits, CAST(max(equal * 100 + aligned) // 100 AS INTEGER) AS equal, CAST(max(equal * 100 + aligned) % 100 AS INTEGER) AS aligned
+FROM o WHERE aligned >= least({SPAN}, words) AND 100 * equal >= {MATCH_PERCENT} * aligned GROUP BY ALL
+"""
+
+
+#: The same seeds, overlaps and rule in SQL, on words instead of hashes.
+OP5_SQL = _sql()
+
 QUERIES = {"op5_decontamination": op5_decontamination}
-SQL: dict[str, str] = {}
+SQL = {"op5_decontamination": OP5_SQL}

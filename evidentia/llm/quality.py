@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions alone.
 
 Each rule is a boolean expression that is true when it rejects a text. A rule's cost (time to evaluate it) and
-selectivity (share of rows it rejects) are estimated on a bounded sample of ``SAMPLE_ROWS`` rows; the rules are then
-tried in the order of rejections per cost, and a text stops at the first one that rejects it. The order decides how
-much is computed, never the verdict: a text is kept when no rule rejects it.
+selectivity (share of rows it rejects) are estimated on a seeded sample of about ``SAMPLE_ROWS`` rows of all partitions; the
+rules are then tried in the order of rejections per cost, and a text stops at the first one that rejects it. Its words are
+split once, for all rules together. The order decides how much is computed, never the verdict: a text is kept when no rule rejects it.
 
 Null text: no words, no lines. A text of fewer than ``MIN_WORDS`` words is rejected, so empty texts are. Rows with
 equal ids are judged each on its own text; other columns pass through untouched.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, table, words
 
-SAMPLE_ROWS = 512
+SAMPLE_ROWS, SEED = 2_048, 7
 MIN_WORDS = 20
 WINDOW = 8
 
@@ -60,10 +60,10 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``_q``: the words and counts that the rules compare; columns of ``df`` keep their names."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("_q", F.struct(words(t).alias("words"), t.alias("text")))
+def measured(text: Column) -> Column:
+    """What the rules look at: a text's words and the text."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(words(t).alias("words"), t.alias("text"))
 
 
 def counts(q: Column) -> dict[str, Column]:
@@ -85,7 +85,7 @@ def rules(c: dict[str, Column], text: Column) -> list[Rule]:
         Rule("repeated_lines", (c["n_dup_lines"] >= 3) & (100 * c["n_dup_lines"] > 30 * F.size(F.split(text, "\n")))),
         Rule("symbols", 100 * c["n_symbols"] > 25 * n),
         Rule("long_words", c["word_chars"] > 40 * n),
-        Rule("shouting", F.regexp_count(text, F.lit("\\p{Lu}")) > F.regexp_count(text, F.lit("\\p{Ll}"))),
+        Rule("shouting", F.length(F.regexp_replace(text, "\\p{Lu}+", "")) < F.length(F.regexp_replace(text, "\\p{Ll}+", ""))),  # more capitals go than small letters
     ]
 
 
@@ -113,33 +113,51 @@ def ordered(sample: DataFrame, rs: list[Rule], clock=time.perf_counter) -> list[
         sample.unpersist()
 
 
-def verdict(rs: list[Rule]) -> Column:
-    """Name of the first rule, in this order, that rejects; null for a kept row. Later rules aren't evaluated."""
+def rejected(rs: list[Rule]) -> Column:
+    """True where a rule rejects. Rules are tried in this order, and those after the first that rejects aren't evaluated."""
     out = None
     for r in rs:
         hit = F.coalesce(r.rejects, F.lit(False))
-        out = F.when(hit, r.name) if out is None else out.when(hit, r.name)
-    return out
+        out = F.when(hit, True) if out is None else out.when(hit, True)
+    return out.otherwise(False)
 
 
-def judge(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` plus ``rejected_by``: the rule that rejected the row, null if it's kept."""
-    m = measured(df, text)
-    c = counts(F.col("_q"))
-    order = ordered(m.limit(sample_rows), rules(c, F.col("_q.text")))
-    return m.withColumn("rejected_by", verdict(order)).drop("_q")
+def production(q: Column) -> list[Rule]:
+    return rules(counts(q), q["text"])
+
+
+def cascade(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of the production rules, in the order in which ``df``'s texts are to be tried."""
+    share = min(1.0, sample_rows / max(1, df.count()))
+    sample = df.where(F.rand(SEED) < share).select(measured(F.col(text)).alias("q"))  # about sample_rows rows
+    return [r.name for r in ordered(sample, production(F.col("q")))]
+
+
+def judge(text: Column, order: list[str]) -> Column:
+    """True where the production rules, tried in ``order``, reject a text."""
+
+    def tried(q: Column) -> Column:
+        by = {r.name: r for r in production(q)}
+        return rejected([by[name] for name in order])
+
+    return let(measured(text), tried)
+
+
+def accepted(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that no production rule rejects."""
+    return df.where(~judge(F.col(text), cascade(df, text)))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    c = counts(F.col("_q"))
-    order = ordered(m.limit(SAMPLE_ROWS), rules(c, F.col("_q.text")))
-    # The contract asks for every count of every row, so the verdict reads the counts instead of computing them again.
-    done = m.select("doc_id", F.col("_q.text").alias("_text"), *[v.alias(k) for k, v in c.items()])
-    named = {r.name: r for r in rules({k: F.col(k) for k in c}, F.col("_text"))}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = cascade(docs)
+    # The contract asks for these counts of every row, so the cascade reads them; only what is no count is left for it to skip.
+    done = docs.select("doc_id", let(measured(F.col("text")), lambda q: F.struct(q["text"].alias("text"), *[v.alias(k) for k, v in counts(q).items()])).alias("q"))
+    done = done.select("doc_id", "q.*")
+    named = {r.name: r for r in rules({k: F.col(k) for k in done.columns}, F.col("text"))}
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rejected = verdict([named[r.name] for r in order])
-    return done.select("doc_id", *c, base.alias("base_failed"), (~base & rejected.isNull()).alias("kept"))
+    kept = ~base & ~rejected([named[name] for name in order])
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"))
 
 
 #: Counts and base verdict in SQL; ``kept`` repeats the production rules.

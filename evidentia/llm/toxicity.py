@@ -5,8 +5,8 @@ sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>): pairs of terms, an insult and a gr
 says alone. Weights are learned by AdaGrad with soft thresholding; v starts at small random values.
 
 Fitting reads at most ``TRAIN_ROWS`` labelled rows, those with the smallest seeded hashes, so its cost has a bound; every
-text is scored whole. Features that fewer than ``MIN_ROWS`` training rows
-hold, or that go with the label no more than chance explains, stay at zero. The threshold ``CUT`` belongs to
+text is scored whole. Features that fewer than ``MIN_ROWS`` training rows hold stay at zero, and so do those that neither go
+with the label alone nor matter in pairs: a first machine over all features, strongly shrunk, finds the latter (:func:`paired`). The threshold ``CUT`` belongs to
 the contract; scores are calibrated on the training rows by a bias and a slope alone.
 
 Null and empty texts have no terms and score the intercept. Labels that are null are left out; a label row without a
@@ -29,9 +29,11 @@ from .common import fold, table
 BITS, FACTORS = 18, 8
 TRAIN_ROWS = 20_000
 MIN_ROWS = 3
-#: Least log-likelihood ratio with the label, on the training rows, of a feature that gets weights.
+#: Least log-likelihood ratio with the label, on the training rows, of a feature that gets weights for itself.
 SCREEN = 12.0
 EPOCHS, RATE, SHRINK, SEED = 12, 0.15, 4e-4, 11
+#: The first machine, and the least norm of factors that counts as needed.
+SCOUT_EPOCHS, SCOUT_SHRINK, SCOUT_LEAST = 4, 2e-3, 0.1
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 CACHE_WORDS = 300_000
@@ -105,13 +107,9 @@ def association(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.n
     return 2 * (part(hit, seen) + part(k - hit, n - seen) - part(k, n))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
-    size, rng = 1 << BITS, np.random.default_rng(SEED)
-    y = labels.astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        return Machine(-30.0, np.zeros(size), np.zeros((size, FACTORS)))
-    seen = np.bincount(np.concatenate(rows), minlength=size) if any(len(r) for r in rows) else np.zeros(size, np.int64)
-    use = (seen >= MIN_ROWS) & (association(rows, y, seen) >= SCREEN)
+def _descend(rows: list[np.ndarray], y: np.ndarray, use: np.ndarray, epochs: int, shrink: float) -> Machine:
+    """AdaGrad over the features in ``use``; the others' weights stay at zero."""
+    size, rng = len(use), np.random.default_rng(SEED)
     rows = [r[use[r]] for r in rows]
     bias, w = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(size)
     v = np.where(use[:, None], rng.normal(0, 0.01, (size, FACTORS)), 0.0)
@@ -141,11 +139,26 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
             gv[ids] += dv * dv
             rate = RATE / np.sqrt(gw[ids])
             u = w[ids] - rate * dw
-            w[ids] = np.sign(u) * np.maximum(np.abs(u) - rate * SHRINK * len(part), 0)
+            w[ids] = np.sign(u) * np.maximum(np.abs(u) - rate * shrink * len(part), 0)
             rate = 0.3 * RATE / np.sqrt(gv[ids])
             u = v[ids] - rate * np.clip(dv, -5, 5)
-            v[ids] = np.sign(u) * np.maximum(np.abs(u) - rate * SHRINK * len(part), 0)
-    m = Machine(bias, w.astype(np.float32), v.astype(np.float32))
+            v[ids] = np.sign(u) * np.maximum(np.abs(u) - rate * shrink * len(part), 0)
+    return Machine(bias, w.astype(np.float32), v.astype(np.float32))
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Features that a machine over all of ``use``, under strong shrinkage, needs for their pairs: a term may be neutral alone and tell in company."""
+    norm = np.sqrt((_descend(rows, y, use, SCOUT_EPOCHS, SCOUT_SHRINK).v ** 2).sum(1))
+    return norm >= max(SCOUT_LEAST, 0.5 * float(norm.max()))
+
+
+def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
+    size, y = 1 << BITS, labels.astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        return Machine(-30.0, np.zeros(size), np.zeros((size, FACTORS)))
+    seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=size)
+    often = seen >= MIN_ROWS
+    m = _descend(rows, y, often & ((association(rows, y, seen) >= SCREEN) | paired(rows, y, often)), epochs, SHRINK)
     m.slope, m.shift = _calibrate(m.raw(rows), y)
     return m
 
@@ -161,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py(), cache).astype(np.int32) for t in b.column(2)], pa.list_(pa.int32()))], ["k", "toxic", "terms"])
 
-    got = rows.select("_order", "toxic", "text").mapInArrow(run, "k long, toxic int, terms array<int>").toArrow().sort_by([("k", "ascending"), ("toxic", "ascending")])
+    got = rows.select("_order", "toxic", "text").mapInArrow(run, "k long, toxic int, terms array<int>").orderBy("k", "toxic", F.xxhash64("terms")).limit(train_rows).toArrow()  # repeated ids give more rows
     flat = got.column("terms").combine_chunks()
     return learn([np.asarray(x.values, np.int64) if x.is_valid else np.empty(0, np.int64) for x in flat], np.asarray(got.column("toxic")))
 

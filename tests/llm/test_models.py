@@ -102,6 +102,26 @@ def test_toxicity_learns_a_pair():
     assert s[0] > 0.7 and max(s[1:]) < 0.3
 
 
+def test_toxicity_learns_terms_that_are_neutral_alone():
+    """Toxic is one of two terms, not both: neither goes with the label by itself."""
+    r = random.Random(5)
+    rows, y = [], []
+    for _ in range(2500):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.array(sorted({r.randrange(1000, 1400) for _ in range(20)} | ({11} if a else set()) | ({13} if b else set()))))
+        y.append(int(a != b))
+    m = toxicity.learn(rows[:2000], np.array(y[:2000]))
+    assert ((m.scores(rows[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+
+
+def test_pairs_equal_the_sum_over_all():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=40), rng.normal(size=(40, 8)))
+    rows = [np.array([], np.int64), np.array([5]), np.array([1, 7, 30, 39])]
+    for got, r in zip(m.raw(rows), rows):
+        assert math.isclose(got, 0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[k + 1 :]))
+
+
 def test_toxicity_of_odd_rows(spark, tmp_path):
     save(spark.createDataFrame([(1, 1, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     for docs, n in ((odd_docs(spark), 10), (empty_docs(spark), 0)):

@@ -35,13 +35,14 @@ def test_quality_counts(spark, tmp_path):
 
 
 def test_quality_order_changes_no_verdict(spark):
-    m = quality.measured(odd_docs(spark))
-    rs = quality.rules(quality.counts(F.col("_q")), F.col("_q.text"))
-    kept = lambda order: sorted(str(r.doc_id) for r in m.where(quality.verdict(order).isNull()).select("doc_id").collect())
-    assert kept(rs) == kept(rs[::-1])
+    docs = odd_docs(spark).withColumn("_q", F.lit(1)).withColumn("rejected_by", F.lit("x"))
+    names = quality.cascade(docs)
+    kept = lambda order: sorted(str(r.doc_id) for r in docs.where(~quality.judge(F.col("text"), order)).select("doc_id").collect())
+    assert kept(names) == kept(names[::-1]) == sorted(str(r.doc_id) for r in quality.accepted(docs).collect()) != []
+    assert quality.accepted(docs).columns == docs.columns and quality.accepted(empty_docs(spark)).columns == empty_docs(spark).columns
     ticks = iter(range(100))
-    assert len(quality.ordered(m.limit(5), rs, clock=lambda: next(ticks))) == len(rs)
-    assert quality.judge(empty_docs(spark)).columns == [*empty_docs(spark).columns, "rejected_by"]
+    rs = quality.production(F.col("q"))
+    assert len(quality.ordered(docs.select(quality.measured(F.col("text")).alias("q")), rs, clock=lambda: next(ticks))) == len(rs)
 
 
 @pytest.mark.parametrize("shards", [3, 24])
