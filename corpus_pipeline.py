@@ -16,7 +16,7 @@ from evidentia.llm.common import cut, table, words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("rejected_by IS NULL").drop("rejected_by")
+    return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
