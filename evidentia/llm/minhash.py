@@ -12,9 +12,10 @@ Then connected components are found. Classes that share a bucket and still lie i
 too, so a link that a hub doesn't show isn't lost: in tiles of bounded size, by matrix products of their sets, where a
 pair is a number and never a row. No link, component or fingerprint reaches the driver.
 
-Null or empty texts have no shingles: alone and kept. Texts shorter than a shingle are one shingle of their own. Rows
-with equal ids are one document for links. A null doc_id is its own smallest id; ``deduplicate`` tells rows apart instead.
-An empty table gives no rows.
+Null or empty texts have no shingles: alone and kept. Texts shorter than a shingle are one shingle of their own. Rows are told
+apart by a number of their own, as ids may be null or repeat: each is judged on its own text, and a component is named by
+the smallest id in it, null only if it holds no other. An empty table gives no rows. Tables that a step leaves behind are
+deleted when their last reader is done.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, forget, numbered, table, unused
 
 SHINGLE, PERCENT = 5, 80
 PERMS, ROWS = 52, 4
@@ -37,7 +38,6 @@ SALT = 32
 TILE, VOCABULARY = 384, 4096
 SEED = 20240229
 CACHE_WORDS = 300_000
-LEAST = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,7 +89,7 @@ def _prints(width: int):
         known, (mul, add) = WordHashes(), permutations()
         bands = 2 * PERMS // ROWS
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, docs, texts = batch.columns
             n, digests, keys = [], [], []
             for t in texts:
                 h = shingles(t.as_py(), width, known)
@@ -105,22 +105,17 @@ def _prints(width: int):
                     key = (key ^ sig[:, r]) * MIX
                     key ^= key >> np.uint64(32)
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["did", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, docs, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["did", "doc", "n_shingles", "digest", "keys"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordHashes(), None
+        known = WordHashes()
         for batch in batches:
-            ids, sets = [], []
-            for did, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if did != last:  # sorted by id: repeated rows follow each other
-                    ids.append(did)
-                    sets.append(shingles(text.as_py(), width, known).view(np.int64))
-                last = did
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["did", "set"])
+            sets = [shingles(text.as_py(), width, known).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["did", "set"])
 
     return run
 
@@ -193,18 +188,22 @@ def unseen_links(shared: DataFrame, found: DataFrame, sets: DataFrame, percent:
     Classes that share buckets of one hub are a group. Those that aren't in the hub's component, the rest, are compared with
     the whole group in tiles of about ``TILE`` by ``TILE`` sets: rows are copied to the tiles of their line, pairs are never rows.
     """
-    members = shared.select("hub", "did").distinct().join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-    own = members.where("hub = did").select("hub", F.col("component").alias("main"))
-    members = cut(members.join(own, "hub").withColumn("left", F.col("component") != F.col("main")).drop("main"))
+    # A hub may have any number of members, so what is dealt by hub is dealt by salts of it too.
+    spread = lambda: F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    members = shared.select("hub", "did").distinct().join(found.withColumnRenamed("node", "did"), "did", "left").select("hub", "did", F.coalesce("component", "did").alias("component"), F.pmod(F.xxhash64("did"), F.lit(SALT)).cast("int").alias("salt"))
+    own = members.where("hub = did").select("hub", F.col("component").alias("main"), spread())
+    members = cut(members.join(own, ["hub", "salt"]).withColumn("left", F.col("component") != F.col("main")).drop("main"))
     sizes = members.groupBy("hub").agg(F.ceil(F.count_if("left") / TILE).cast("int").alias("nl"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nr")).where("nl > 0")
-    dealt = members.join(sizes, "hub")
+    dealt = members.join(sizes.select("*", spread()), ["hub", "salt"])
     line = lambda n: F.pmod(F.xxhash64("did"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = dealt.where("left").select("hub", "did", "component", line("nl").alias("i"), every("nr").alias("j"), F.lit(True).alias("lefts"))
     rights = dealt.select("hub", "did", "component", every("nl").alias("i"), line("nr").alias("j"), F.lit(False).alias("lefts"))
-    tiles = lefts.union(rights).groupBy("hub", "i", "j", "did").agg(F.first("component").alias("component"), F.max("lefts").alias("lefts"))
-    rows = sets.join(cut(tiles).hint("merge"), "did")
-    return rows.groupBy("hub", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_tiles(percent)(iter(t.to_batches()))), "a long, b long").distinct()
+    tiles = cut(lefts.union(rights).repartition("did").groupBy("hub", "i", "j", "did").agg(F.first("component").alias("component"), F.max("lefts").alias("lefts")))
+    rows = sets.join(tiles.hint("merge"), "did")
+    out = cut(rows.groupBy("hub", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_tiles(percent)(iter(t.to_batches()))), "a long, b long").distinct())
+    forget(members, tiles)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,49 +211,56 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.union(edges.select("b", "a")).toDF("node", "next").distinct())
     labels = cut(both.groupBy("node").agg(F.min("next").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
-        near = both.join(labels.toDF("next", "c"), "next").groupBy("node").agg(F.min("c").alias("c"))
+        near = both.join(labels.select(F.col("node").alias("next"), F.col("component").alias("c")), "next").groupBy("node").agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
-        jumped = cut(step.join(labels.toDF("component", "c"), "component").select("node", "was", F.least("component", "c").alias("component")))
-        labels = jumped.select("node", "component")
+        jumped = cut(step.join(labels.select(F.col("node").alias("component"), F.col("component").alias("c")), "component").select("node", "was", F.least("component", "c").alias("component")))
+        forget(labels)
+        labels = jumped
         if jumped.where("was != component").isEmpty():
-            return labels
+            forget(both)
+            return labels.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, n_shingles, component) for each row of ``docs``; ``doc`` must be a long."""
-    source = docs.select(F.coalesce(F.col(doc), F.lit(LEAST)).alias("did"), F.col(text).alias("text"))
-    prints = cut(source.mapInArrow(_prints(width), "did long, n_shingles long, digest binary, keys array<long>"))
-    classes = cut(prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("did").alias("did"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")))
+def grouped(source: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(did, doc, n_shingles, component, least) for each row of ``source`` (did, doc, text), where ``did`` is a number of the row's
+    own: the smallest ``did`` of its component and the smallest ``doc`` in it."""
+    prints = cut(source.mapInArrow(_prints(width), "did long, doc long, n_shingles long, digest binary, keys array<long>"))
+    classes = cut(prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("did").alias("did"), F.min("doc").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")))
     rows = classes.select("did", "n", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min(F.struct("did", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
     shared = cut(rows.join(buckets, "key").select("key", "did", "n", F.col("hub.did").alias("hub"), F.col("hub.n").alias("hub_n")))
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = shared.where((F.col("hub") != F.col("did")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("did").alias("b")).distinct()
+    star = cut(shared.where((F.col("hub") != F.col("did")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("did").alias("b")).distinct())
     # Sets of what shares a bucket are made once; both joins below shuffle, as they would at any size.
     sets = cut(source.join(shared.select("did").distinct().hint("merge"), "did").select("did", "text").mapInArrow(_sets(width), "did long, set array<long>"))
-    links = cut(confirm(cut(star), sets, percent))
+    links = cut(confirm(star, sets, percent))
     found = components(links)
     # What a hub doesn't show.
-    more = cut(unseen_links(shared, found, sets, percent))
+    more = unseen_links(shared, found, sets, percent)
     if not more.isEmpty():
-        found = components(cut(links.union(more)))
-    ends = classes.select("digest", "did").join(found.withColumnRenamed("node", "did"), "did", "left").select("digest", F.coalesce("component", "did").alias("component"))
-    back = lambda c: F.when(c == LEAST, None).otherwise(c)
-    return prints.drop("keys").join(ends, "digest", "left").select(back(F.col("did")).alias("doc"), "n_shingles", back(F.coalesce("component", "did")).alias("component"))
+        found = components(links.union(more))
+    forget(shared, star, sets, links, more)
+    ends = classes.select("digest", "did", "least").join(found.withColumnRenamed("node", "did"), "did", "left")
+    low = ends.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
+    ends = ends.join(low, "component", "left").select("digest", F.coalesce("component", "did").alias("component"), F.coalesce("low", "least").alias("least"))
+    out = prints.drop("keys").join(ends, "digest", "left")
+    return out.select("did", "doc", "n_shingles", F.coalesce("component", "did").alias("component"), F.coalesce("least", "doc").alias("least"))
 
 
-def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of near copies, that of the smallest id (a null one first); of texts without words, repeated rows once.
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc, n_shingles, component) for each row of ``docs``; ``doc`` must be a long."""
+    rows = numbered(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "did").select("did", "doc", "text")
+    return grouped(rows, width, percent).select("doc", "n_shingles", F.col("least").alias("component"))
 
-    Rows are told apart by a number of their own, as ids may be null or repeat.
-    """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, "_row", text, width, percent).withColumnRenamed("doc", "_row")
-    lead = F.min(F.struct("_id", "_row")).alias("first")
-    ids = found.where("n_shingles > 0").join(rows.select("_row", F.col(doc).alias("_id")), "_row")
-    kept = ids.groupBy("component").agg(lead).select("first._row")
-    bare = rows.join(found.where("n_shingles = 0").select("_row"), "_row", "left_semi").groupBy(F.col(doc).alias("_id"), text).agg(F.min("_row").alias("_row"))
-    return rows.join(kept.union(bare.select("_row")), "_row", "left_semi").select(*docs.columns)
+
+def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id (a null one first); of texts without words, repeated rows once."""
+    row = unused("row", docs.columns)
+    rows = numbered(docs, row)
+    found = grouped(rows.select(F.col(row).alias("did"), F.col(doc).alias("doc"), F.col(text).alias("text")), width, percent)
+    kept = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc", "did")).alias("first")).select(F.col("first.did").alias(row))
+    bare = rows.join(found.where("n_shingles = 0").select(F.col("did").alias(row)), row, "left_semi").groupBy(doc, text).agg(F.min(row).alias(row))
+    return rows.join(kept.union(bare.select(row)), row, "left_semi").select(*docs.columns)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    """Repeated ids with different texts, null ids, and a component that has both."""
+    a, b, c = prose(60, 201), prose(60, 202), prose(60, 203)
+    rows = [(7, a), (7, b), (3, b + " tail"), (None, a), (None, c), (None, None), (9, c), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc, r.n_shingles, r.component) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter([(7, 56, 7), (7, 56, 3), (3, 57, 3), (None, 56, 7), (None, 56, 9), (None, 0, None), (9, 56, 9), (9, 0, 9)])
+
+
 def test_min_max_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900, np.uint64)
