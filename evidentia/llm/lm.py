@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +40,17 @@ TOP, SYMBOLS, SHAPES = 150_000, 500, 64
 WARM_DOCS, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 150_000, 3, 6e-3
 PASS_RATE, SEED = 6e-3, 23
 PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 500, 1_000_000, 4_096, 500_000, 256
-FLUSH = 200_000
 FOLDS, HELD_OUT = 7, 2
 LOG10 = math.log(10)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else ()), END]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch of texts, one behind the other, and the text that each belongs to."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # \x20 and \x09-\x0D; A-Z alone
+    words = lists.flatten()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty words
+    return words.filter(some).cast(pa.binary()), of[some.to_numpy(zero_copy_only=False)]
 
 
 def shape(word: bytes) -> int:
@@ -54,21 +59,10 @@ def shape(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, int] = {}
-
-    def out():
-        got = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
-        held.clear()
-        return got
-
     for b in batches:
-        for t in b.column(0):
-            for w in tokens(t.as_py()):
-                held[w] = held.get(w, 0) + 1
-            if len(held) > FLUSH:
-                yield out()
-    if held:
-        yield out()
+        found = pc.value_counts(split(b.column(0))[0])
+        words = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())])
+        yield pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field("counts"), pa.array([b.num_rows], pa.int64())])], ["word", "n"])
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,31 +92,30 @@ class Lexicon:
     def ready(self) -> "Lexicon":
         """With what is made of the above on each worker."""
         base = self.size - 2 * SHAPES
-        self.index = _Index(zip(self.words, range(len(self.words))))
+        self.index = pa.array(self.words, pa.binary())
+        self.at_end = self.words.index(END) if END in self.words else -1
         self.symbol = np.arange(len(self.words) + 1)
         self.symbol[self.first : -1] = [base + shape(w) for w in self.words[self.first :]]
         self.log1 = np.concatenate((np.log10(self.counts + 1.0), [0.0]))
         self.norm = np.concatenate((np.zeros(base), np.log10(self.masses + 1.0)))
         return self
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(places among the frequent words, -1 for others; symbols; the other words)."""
-        ws = tokens(text)
-        at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-        sym, rest = self.symbol[at], []
-        for i in np.flatnonzero(at < 0):
-            w = ws[i]
-            if w == END:
-                sym[i] = self.end
-            else:
-                sym[i] = self.size - 2 * SHAPES + shape(w)
-            rest.append(w)
-        return at, sym, rest
-
-
-class _Index(dict):
-    def __missing__(self, word):
-        return -1
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all tokens of a batch: places among the frequent words (-1 for others), symbols, and where each text starts;
+        the other words, and the texts that they belong to."""
+        words, of = split(texts)
+        found = pc.index_in(words, value_set=self.index).fill_null(-1).to_numpy()
+        sym = self.symbol[found]
+        other = np.flatnonzero(found < 0)
+        rest = words.take(pa.array(other)).dictionary_encode()
+        if len(other):
+            sym[other] = np.array([self.size - 2 * SHAPES + shape(w) for w in rest.dictionary.to_pylist()])[rest.indices.to_numpy()]
+        ends = np.searchsorted(of, np.arange(len(texts)), "right")  # each text's end comes behind its words
+        at, sym, docs = np.insert(found, ends, self.at_end), np.insert(sym, ends, self.end), of[other]
+        rest = rest.cast(pa.binary())
+        if self.at_end < 0:
+            rest, docs = pa.concat_arrays([rest, pa.array([END] * len(texts), pa.binary())]), np.concatenate((docs, np.arange(len(texts))))
+        return at, sym, np.concatenate(([0], (ends + np.arange(1, len(texts) + 1))[:-1])), rest, docs
 
 
 _READY: dict[str, tuple[Lexicon, Gru | None]] = {}
@@ -153,12 +146,12 @@ def _pieces(held: _Held):
         lexicon, _ = _loaded(held)
         for b in batches:
             hs, nums, out = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
-                sym = lexicon.encode(t.as_py())[1].astype(np.int16)
-                for k in range(0, len(sym), PIECE):
+            _, sym, starts, _, _ = lexicon.encode(b.column(1))
+            for h, part in zip(b.column(0).to_pylist(), np.split(sym.astype(np.int16), starts[1:])):
+                for k in range(0, len(part), PIECE):
                     hs.append(h)
                     nums.append(k)
-                    out.append(sym[k : k + PIECE].tobytes())
+                    out.append(part[k : k + PIECE].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(nums, pa.int32()), pa.array(out, pa.binary())], ["h", "at", "symbols"])
 
     return run
@@ -206,22 +199,20 @@ def _score(held: _Held):
         lexicon, model = _loaded(held)
         unit = math.log10(lexicon.total + lexicon.types + 1)
         for b in batches:
-            n, known, base, extra, rest, docs = [], [], [], [], [], []
-            for t in b.column(1):
-                at, sym, others = lexicon.encode(t.as_py())
-                logs = lexicon.log1[at]
-                n.append(len(at))
-                known.append(int((at >= 0).sum()))
-                base.append(float(logs.sum()) - len(at) * unit)
-                shaped = sym >= lexicon.size - 2 * SHAPES
-                extra.append(float((logs[shaped] - lexicon.norm[sym[shaped]]).sum()))
-                docs.append(sym)
-                times: dict[bytes, int] = {}
-                for w in others:
-                    times[w] = times.get(w, 0) + 1
-                rest.append(list(times.items()))
-            lp = model.score(docs) / LOG10
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(lp + np.array(extra), pa.float64()), pa.array([[{"w": w, "k": k} for w, k in r] for r in rest], pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())])))], ["uid", "n_tokens", "known", "base", "score", "rest"])
+            if not b.num_rows:
+                continue
+            at, sym, starts, others, of = lexicon.encode(b.column(1))
+            n, logs = np.diff(np.append(starts, len(at))), lexicon.log1[at]
+            base = np.add.reduceat(logs, starts) - n * unit
+            within = np.where(sym >= lexicon.size - 2 * SHAPES, logs - lexicon.norm[sym], 0.0)
+            score = model.score(np.split(sym, starts[1:])) / LOG10 + np.add.reduceat(within, starts)
+            # Other words of each text, with how often it holds them.
+            coded = others.dictionary_encode()
+            types = max(1, len(coded.dictionary))
+            keys, times = np.unique(of * types + coded.indices.to_numpy(), return_counts=True)
+            pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys % types)), pa.array(times, pa.int64())], ["w", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(keys // types, np.arange(b.num_rows + 1)), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.add.reduceat((at >= 0).astype(np.int64), starts)), pa.array(base), pa.array(score), rest], ["uid", "n_tokens", "known", "base", "score", "rest"])
 
     return run
 
@@ -269,12 +260,9 @@ def fit(train: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_
     part = min(1.0, 1.2 * WARM_DOCS / count)
     sample = sorted(rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < part * (1 << 30)).select("h", F.substring("text", 1, 12 * WARM_TOKENS).alias("text")).collect(), key=lambda r: (r[0], r[1] or ""))
     ready = Lexicon(lexicon.words, lexicon.counts, lexicon.masses, lexicon.total, lexicon.types).ready()
-    docs, used = [], 0
-    for r in sample[:WARM_DOCS]:
-        docs.append(ready.encode(r["text"])[1])
-        used += len(docs[-1])
-        if used > WARM_TOKENS:
-            break
+    _, sym, starts, _, _ = ready.encode(pa.array([r["text"] for r in sample[:WARM_DOCS]], pa.string()))
+    docs = np.split(sym, starts[1:])
+    docs = docs[: 1 + int(np.searchsorted(np.cumsum([len(d) for d in docs]), WARM_TOKENS))]
     model.train(docs, WARM_EPOCHS, WARM_RATE)
     held = _Held(train.sparkSession.sparkContext.broadcast((lexicon, model.flat())))
     # Rows of one key and text, or of none, are pieces alike, so their order among themselves is no matter.

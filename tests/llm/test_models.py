@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,10 +192,18 @@ def test_lm_learns_from_every_document(spark):
         lexicon = lm.lexicon_of(lm.counted(docs))
         return lexicon.ready(), gru.Gru(lexicon.freq(), lexicon.end).load(lm.fit(docs, lexicon))
 
-    got = [[m.score([x.encode(t)[1]])[0] for t in said] for x, m in map(learned, said)]
+    got = [[m.score([x.encode(pa.array([t]))[1]])[0] for t in said] for x, m in map(learned, said)]
     assert got[0][0] - got[0][1] > got[1][0] - got[1][1] + 0.1  # each prefers what it was trained on
 
 
+def test_what_is_learned_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 20_000)
+    docs = spark.createDataFrame([(i, prose(300, i)) for i in range(200)] + [(None, "null id"), (None, None), (3, "again")], "doc_id long, text string")
+    lexicon = lm.lexicon_of(lm.counted(docs))
+    one, other = (lm.fit(docs.repartition(n), lexicon) for n in (2, 7))
+    assert np.allclose(one, other, atol=1e-6)
+
+
 def test_lm_of_odd_rows(spark, tmp_path):
     for docs, n in ((odd_docs(spark), 10), (empty_docs(spark), 0)):
         got = lm.op6_lm_score(spark, save(docs, tmp_path, "documents")).collect()
