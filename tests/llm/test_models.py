@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -263,8 +264,43 @@ def test_copies_and_few_pages_make_no_boilerplate(spark):
 
 def test_wrapper_is_a_union_free_expression():
     pages = ["<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><h1>t</h1><p>x</p>"]
-    w = html.join(*[html.wrap(html.parse(p)) for p in pages])
-    assert html.expression(w) == '((<ul> (<li> #text </>)+ </>) (<h1> "t" </>)? (<p> "x" </>))'
+    w = html.merge(*[html.whole(html.parse(p)) for p in pages])[1]
+    assert html.expression(w) == "((<ul> (<li> #text </>)+ </>) (<h1> #same </>)? (<p> #same </>))"
+
+
+def test_only_other_pages_tell_the_article(spark):
+    """Names say nothing, notices have several paragraphs, and the paragraphs of the story repeat like theirs."""
+    page = f"<html><body><div class=qa><p>{prose(20, 300)}<p>{prose(9, 301)}</div><div class=qb><p>{{a}}<p>{{b}}</div><div class=z{{k}}><p>{prose(12, 302)}<p>All rights.</div></body></html>"
+    rows = [(i, "http://h.example/", page.format(a=prose(12, i), b=prose(15, 50 + i), k=i % 3)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == {i: f"{prose(12, i)}\n{prose(15, 50 + i)}" for i in range(6)}
+    alone = [html.main_text(r[2], None) for r in rows]
+    assert sum(got[i] != alone[i] for i in range(6)) == 6  # a page alone doesn't tell
+    # The same whatever the partitioning, and by a shuffled join of rules.
+    for n in (1, 5):
+        assert {r.page_id: r.text for r in html.extract(pages.repartition(n)).collect()} == got
+
+
+def test_alignment_equals_brute_force():
+    """Kids that both sides have in order, as many as the longest common subsequence by trying all."""
+    r = random.Random(7)
+    for _ in range(200):
+        a, b = ([[r.choice("uvwxyz"), "1", 1, 0, 0, [], []] for _ in range(r.randrange(5))] for _ in range(2))
+        a, b = ([w for k, w in enumerate(x) if w[0] not in [v[0] for v in x[:k]]] for x in (a, b))  # nothing to fold
+        x, y = [w[0] for w in a], [w[0] for w in b]
+        longest = max(n for n in range(len(x) + 1) for c in combinations(x, n) if any(c == d for d in combinations(y, n)))
+        out = html.align(a, b)
+        if not any(w[0] == "()" or w[1] in "+*" for w in out):
+            assert sum(w[2] == 2 for w in out) == longest
+
+
+def test_long_mixed_articles_and_odd_markup():
+    body = "".join(r if k % 3 else f"<h2>h{k}</h2>" + r for k, r in enumerate(random.Random(1).choices(["<p>a b</p>", "<ul><li>c</ul>", "<blockquote>d</blockquote>"], k=120)))
+    one = html.whole(html.parse(f"<main>{body}</main>"))
+    assert len(html.align(one[1][6], html.whole(html.parse("<main><p>x</main>"))[1][6])) < 8
+    assert len(html.main_text(f"<main>{body}</main>", None).split("\n")) == 160
+    assert html.main_text("<article><p class=it's>a</p><ul class=refs><li><a href=x>one</a><li><a>two</a></ul><section class='market share'>s</section><div id=social>t</div><div class=share><a>no</a></div><div class=comments>c</div></article>", None) == "a\none\ntwo\ns\nt"
 
 
 @pytest.mark.parametrize("page, want", [("a<br>b", "a b"), ("<p>a<p>b", "a\nb"), ("<main><p>m</main><p>n", "m"), ("<!-- x --><p>&lt;i&gt;", "<i>"), ("<table><tr><td>a<td>b</table>", "a\nb"), ("", "")])
