@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dims
+from .functions import binary as B
 from .functions import text as X
 from .operators import jobs, network, report, rules, scoring, triage
 from .plans import sql as S
@@ -54,7 +55,7 @@ def ioc_benign_antijoin(spark, sf):
 
 # ---- content functions
 def text_entropy(spark, sf):
-    return docs(spark, sf).select("doc_id", X.entropy_of_text(F.col("text")).alias("entropy"))
+    return docs(spark, sf).select("doc_id", F.round(B.letter_entropy("text"), 3).alias("entropy"))
 
 
 def longest_line(spark, sf):
@@ -126,8 +127,6 @@ def deobfuscate(spark, sf):
 
 
 def base64_decode(spark, sf):
-    from .functions import binary as B
-
     said = F.concat(F.lit("run "), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", ""))  # one blob, not lines of 76
     d = docs(spark, sf).select("doc_id", F.explode(B.decoded_blobs(X.base64_blobs(said))).alias("b"))
     return d.select("doc_id", "b.encoded_length", "b.encoding", "b.looks_like_text", "b.entropy", F.md5(F.col("b.decoded_preview").cast("binary")).alias("preview"))

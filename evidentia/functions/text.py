@@ -125,25 +125,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def letter_counts(text: Column) -> Column:
-    """How often each distinct code point occurs: by removing each, or by sorting them all where an alphabet is large."""
-    by_letter = lambda letters: F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
-
-    def by_runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return _let(starts, lambda at: F.transform(at, lambda p, i: F.coalesce(F.get(at, i + 1), F.size(s)) - p))
-
-    split = F.array_remove(F.split(text, ""), "")
-    return _let(F.array_distinct(split), lambda letters: F.when(F.size(letters) == 0, F.array().cast("array<int>")).when(F.size(letters) <= 256, by_letter(letters)).otherwise(_let(F.array_sort(split), by_runs)))
-
-
-def entropy_of_text(text: Column) -> Column:
-    """Bits a code point, rounded to 3 places; 0 for no text."""
-    total = F.length(text).cast("double")
-    bits = F.aggregate(F.array_sort(letter_counts(text)), F.lit(0.0), lambda a, c: a + c / total * F.log2(c / total))
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(-bits, 3))
-
-
 def printable_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^\\x20-\\x7E\\t\\n\\r]", "")) / F.length(text)
 
@@ -186,10 +167,20 @@ def script_language(head: Column) -> Column:
 
 # ---- indicators in reports
 def defang(value: Column) -> Column:
-    """Links made inert: schemes altered, dots of their hosts and of IPv4 addresses bracketed; bare domains stay as they are."""
-    out = F.regexp_replace(value, r"(?U)\bhttp(s?)://", "hxxp$1://")
-    out = F.regexp_replace(out, r"(?U)\bftp://", "fxp://")
-    out = F.regexp_replace(out, r"(?iU)(?<=\b(?:h[xt]{2}ps?|f[xt]p)://[^/\s:]{0,255})\.", "[.]")
+    """Links made inert: schemes altered, dots of their hosts and of IPv4 addresses bracketed; bare domains stay as they are.
+
+    A text is cut behind each ``://``; a piece that follows a scheme starts with a host, whose dots are bracketed once.
+    """
+    scheme = r"(?iU)\b(?:h[xt]{2}ps?|f[xt]p)://$"
+
+    def piece(parts: Column, p: Column, i: Column) -> Column:
+        host = F.regexp_extract(p, r"^[^/\s:]{0,256}", 0)
+        led = (i > 0) & F.coalesce(F.substring(F.get(parts, i - 1), -9, 9).rlike(scheme), F.lit(False))
+        return F.when(led & F.contains(host, F.lit(".")), F.concat(F.replace(host, F.lit("."), F.lit("[.]")), F.substr(p, F.length(host) + 1))).otherwise(p)
+
+    altered = F.regexp_replace(F.regexp_replace(value, r"(?U)\bhttp(s?)://", "hxxp$1://"), r"(?U)\bftp://", "fxp://")
+    linked = _let(F.split(altered, "(?<=://)"), lambda parts: F.array_join(F.transform(parts, lambda p, i: piece(parts, p, i)), ""))
+    out = F.when(F.contains(value, F.lit("://")), linked).otherwise(value)
     return F.regexp_replace(out, r"(?U)\b(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\b", "$1[.]$2[.]$3[.]$4")
 
 

@@ -35,10 +35,10 @@ def test_defang_host(spark):
 
 
 def test_entropy(spark):
-    assert one(spark, "a" * 1000, X.entropy_of_text) < 0.1
-    assert one(spark, "", X.entropy_of_text) == 0.0
-    assert one(spark, "abcd", X.entropy_of_text) == 2.0
-    assert one(spark, "".join(map(chr, range(0x4E00, 0x5000))) * 3, X.entropy_of_text) == 9.0
+    assert one(spark, "a" * 1000, B.letter_entropy) < 0.1
+    assert one(spark, "", B.letter_entropy) == 0.0
+    assert one(spark, "abcd", B.letter_entropy) == 2.0
+    assert one(spark, "".join(map(chr, range(0x4E00, 0x5000))) * 3, B.letter_entropy) == 9.0
     assert B.entropy_of(bytes(range(256)) * 4) == 8.0
 
 
@@ -49,13 +49,35 @@ def test_deobfuscation(spark):
     assert one(spark, 'StrReverse("dlrow")', X.str_reverse) == ["world"]
 
 
-def test_base64_prefers_the_printable_reading():
+def test_base64_prefers_the_printable_reading(spark):
     import base64
 
-    plain = B.decode_blob(base64.b64encode(b"run this, then that, then this again").decode().rstrip("="))
-    assert plain["encoding"] == "utf-8" and plain["looks_like_text"] and plain["decoded_preview"].startswith("run this")
-    assert B.decode_blob(base64.b64encode("a tie is utf-8".encode("utf-16-le")).decode())["encoding"] == "utf-8"
-    assert B.decode_blob("!!") is None
+    said = [b"run this, then that, then this again", "a tie is utf-8, as both are whole".encode("utf-16-le"), "żółć gęślą jaźń".encode("utf-16-le"), bytes(range(200, 256)) * 2, b"MZ" + b"\0" * 60]
+    blobs = [base64.b64encode(x).decode().rstrip("=") for x in said]
+    df = spark.createDataFrame([(["A" * 41, "AAAA", *blobs],), (None,), ([],)], "b array<string>")
+    got = [r[0] for r in df.select(B.decoded_blobs(F.col("b"))).collect()]
+    assert got[1] in (None, []) and got[2] == [] and [x.encoded_length for x in got[0]] == [len(b) for b in blobs]
+
+    def brute(raw):
+        wide, narrow = raw.decode("utf-16-le", "replace"), raw.decode("utf-8", "replace")
+        seen = lambda t: sum(c.isprintable() for c in t)
+        return (wide, "utf-16-le") if seen(wide) > seen(narrow) else (narrow, "utf-8")
+
+    for x, raw in zip(got[0], said):
+        text, name = brute(raw)
+        share = sum(c.isprintable() or c in "\r\n\t" for c in text) / len(text)
+        assert (x.encoding, x.looks_like_text, x.looks_like_pe, x.decoded_preview) == (name, share > 0.85, raw[:2] == b"MZ", text if share > 0.5 else raw.hex())
+
+
+def test_embedded_programs():
+    pe = b"MZ" + b"\0" * 58 + (64).to_bytes(4, "little") + b"PE\0\0\x4c\x01"
+    assert B.embedded_pe(b"xMZ" + pe + b"MZ" + pe) == [{"offset": 3, "machine_bytes": "4c01"}, {"offset": 75, "machine_bytes": "4c01"}]
+    assert B.embedded_pe(b"") == B.embedded_pe(b"MZ" * 40) == [] and len(B.embedded_pe(pe * 12)) == 10
+
+
+def test_defang_links(spark):
+    for value, want in [("see http://a.b.example/x.y and https://c.example:80/", "see hxxp://a[.]b[.]example/x.y and hxxps://c[.]example:80/"), ("HTTP://A.B/c.d", "HTTP://A[.]B/c.d"), ("ftp://f.g 1.2.3.4", "fxp://f[.]g 1[.]2[.]3[.]4"), ("xhttp://a.b", "xhttp://a.b"), ("no link. here", "no link. here"), ("file://a.b/ http://", "file://a.b/ hxxp://"), ("", "")]:
+        assert one(spark, value, X.defang) == want, value
 
 
 def test_strings_then_wide_strings(spark):
@@ -81,7 +103,9 @@ def test_remote_ip(spark):
 
 def test_biff_and_vba_round_trip():
     record = b"\x85\x00" + (8 + 5).to_bytes(2, "little") + b"\0\0\0\0" + b"\x01\x01" + b"\x05\x00" + b"Macro"
-    assert B.biff_sheets(b"xx" + record) == [{"name": "Macro", "type": "Excel 4.0 macro", "visibility": "hidden", "hidden": True}]
+    assert B.biff_sheets(b"xx" + record) == [{"name": "Macro", "type": "xlm_macro", "visibility": "hidden", "hidden": True}]
+    odd = b"\x85\x00" + (8 + 5).to_bytes(2, "little") + b"\0\0\0\0" + b"\x02\x01" + b"\x09\x01" + b"Macro"
+    assert B.biff_sheets(b"xx" + odd) == [{"name": "(sheet at offset 2)", "type": "xlm_macro", "visibility": "very_hidden", "hidden": True}]
     text = b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa"
     assert B.vba_decompress(b"\x01" + (0x3000 | 4095).to_bytes(2, "little") + text.ljust(4096, b" ")).startswith(text)
 
