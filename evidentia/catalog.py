@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
 from .functions import binary as B
 from .functions import text as X
-from .operators import jobs, network, report, rules, scoring, triage
+from .operators import jobs, network, report, rules, scoring, static, triage
+from .plans import samples
 from .plans import sql as S
-from .schemas import DYNAMIC, NETWORK, STATIC
+from .schemas import CHILD, DYNAMIC, FLOW_FIELDS, NETWORK, STATIC, ddl
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,10 +95,10 @@ def ext_and_flags(spark, sf):
 
 def url_rules(spark, sf):
     u = F.coalesce(F.col("url"), F.lit(""))
-    host = F.regexp_extract(u, "^https?://([^/?#:]+)", 1)
-    tld = F.exists(X.array_of(dims.ABUSED_TLDS), lambda x: F.endswith(host, x))
-    run = F.exists(X.array_of(dims.EXECUTABLE_URL_EXTS), lambda x: F.endswith(F.lower(F.substring_index(u, "?", 1)), x))
-    return t(spark, sf, "pages").select("page_id", tld.alias("bad_tld"), u.rlike(r"^https?://\d{1,3}(\.\d{1,3}){3}").alias("raw_ip"), run.alias("runs"))
+    iocs = F.struct(F.array(u).alias("urls"), F.array(F.regexp_extract(u, "^https?://([^/?#:]+)", 1)).alias("domains"))
+    fires = lambda name: next(r for r in rules.registry if r.id == name).fires({"iocs": F.col("iocs")}).isNotNull()
+    seen = t(spark, sf, "pages").select("page_id", iocs.alias("iocs"))
+    return seen.select("page_id", fires("IOC_SUSPICIOUS_TLD").alias("bad_tld"), fires("IOC_RAW_IP_URL").alias("raw_ip"), fires("IOC_EXECUTABLE_URL").alias("runs"))
 
 
 def hashes(spark, sf):
@@ -152,19 +153,33 @@ def flow_window_join(spark, sf):
     return network.match(e, _flow_jobs(spark, sf)).select("job_id", "event_id", "event_type")
 
 
+def _collected(spark, sf):
+    """Events as flow logs (clicks are look-ups, purchases are requests, views are sessions), collected for each user's job."""
+    e, kind = t(spark, sf, "events"), F.col("event_type")
+    known = {
+        "ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"),
+        "src": F.col("user_id").cast("string"),
+        "kind": F.when(kind == "click", "dns").when(kind == "purchase", "http").otherwise("tcp"),
+        "qname": F.when(kind == "click", F.concat(F.lit("d"), F.pmod("event_id", F.lit(50)), F.lit(".example"))),
+        "host": F.when(kind == "purchase", F.concat(F.lit("h"), F.pmod("event_id", F.lit(20)), F.lit(".example"))),
+        "answer": F.col("event_id").cast("string"),
+    }
+    flows = e.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ddl(FLOW_FIELDS)], F.col("event_id").alias("_seq"))
+    return network.collect(flows, _flow_jobs(spark, sf).withColumn("worker_ip", F.col("worker_ip").cast("string")))
+
+
 def flow_distinct_first(spark, sf):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return t(spark, sf, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id")
+    d = _collected(spark, sf).select("job_id", F.explode(network.distinct_queries(F.col("network.dns_queries"))).alias("q"))
+    return d.select("job_id", "q.qname", "q.answer")
 
 
 def flow_split_counts(spark, sf):
-    e = t(spark, sf, "events")
-    kinds = ["click", "purchase", "view"]
-    return e.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds], F.count(F.lit(1)).alias("n"))
+    n = F.col("network")
+    return _collected(spark, sf).select("job_id", *[F.size(n[f]).cast("bigint").alias(a) for f, a in (("dns_queries", "n_dns"), ("http_requests", "n_http"), ("tcp_sessions", "n_tcp"))])
 
 
 def contacted_users(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda x: x.cast("string")), ",").alias("users"))
+    return _collected(spark, sf).select("job_id", F.array_join("network.contacted_hosts", ",").alias("hosts"))
 
 
 # ---- rules and scores
@@ -187,10 +202,19 @@ def confidence(spark, sf):
     return _severities(spark, sf).select("l_orderkey", scoring.confidence(F.col("sevs")).alias("confidence"))
 
 
+def _judged(spark, sf):
+    """Observations made to order for each order's number, judged by all rules."""
+    obs = t(spark, sf, "orders").select("o_orderkey", *samples.observations("o_orderkey"))
+    return scoring.judge(rules.evaluate(obs))
+
+
+def rules_fired(spark, sf):
+    return _judged(spark, sf).select("o_orderkey", F.array_join(F.transform("signatures", lambda s: s["id"]), ",").alias("ids"), "score", "level", "confidence")
+
+
 def signature_topk(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("sev"), "l_linenumber")
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.pmod("l_partkey", F.lit(17)) * 5 + 5).alias("sev"))
-    return li.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("l_orderkey", "l_linenumber", "sev", F.col("rank").cast("bigint").alias("rank"))
+    d = _judged(spark, sf).select("o_orderkey", F.posexplode(F.slice("signatures", 1, 3)).alias("k", "s"))
+    return d.select("o_orderkey", (F.col("k") + 1).cast("bigint").alias("rank"), F.col("s.id").alias("id"), F.col("s.severity").alias("severity"))
 
 
 def rule_list(spark, sf):
@@ -202,10 +226,8 @@ def observed(spark, sf, table="pages"):
     p = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("job_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     body = bytes_of(F.concat_ws(" ", "url", "html"))
     file = F.struct(F.col("url").alias("name"), F.lit("text").alias("family"), triage.extension(F.col("url")).alias("extension"), F.lit(None).cast("string").alias("extension_mismatch"), triage.extension(F.col("url")).isin(dims.DANGEROUS_EXTS).alias("extension_is_dangerous"), triage.name_flags(F.col("url")).alias("filename_flags"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("bigint").alias("size"), F.lit("plain text").alias("label"))
-    static = F.struct(F.lit("generic").alias("engine"), X.iocs(body).alias("file_iocs"), (X.longest_line(F.col("html")) > 1000).alias("single_line_obfuscation"), X.longest_line(F.col("html")).alias("longest_line"))
-    from .schemas import ddl
-
-    p = p.withColumn("file", file).withColumn("s", static)
+    found = F.struct(F.lit("generic").alias("engine"), X.iocs(body).alias("file_iocs"), (X.longest_line(F.col("html")) > 1000).alias("single_line_obfuscation"), X.longest_line(F.col("html")).alias("longest_line"))
+    p = p.withColumn("file", file).withColumn("s", found)
     fill = lambda kind, src, names: F.struct(*[(F.col(f"{src}.{f.name}") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in ddl(f"x:{kind}")[0].dataType])
     return p.select("job_id", "file", fill(STATIC, "s", {"engine", "file_iocs", "single_line_obfuscation", "longest_line"}).alias("static"), F.lit(None).cast(DYNAMIC).alias("dynamic"), F.lit(None).cast(NETWORK).alias("network"))
 
@@ -232,12 +254,15 @@ def job_retention(spark, sf):
 
 
 def child_rollup(spark, sf):
-    li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("bigint").alias("depth"), F.bool_or(F.col("l_returnflag") == "R").alias("runs"))
-    o = t(spark, sf, "orders").select("o_orderkey")
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"), F.coalesce("runs", F.lit(False)).alias("runs"))
+    """Lines of an order as the children of an archive."""
+    child = {"name": F.col("l_linenumber").cast("string"), "depth": F.col("l_linenumber"), "family": F.when(F.col("l_linestatus") == "O", "pe").otherwise("text"), "dangerous": F.col("l_returnflag") == "R"}
+    row = F.struct(*[child.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ddl(f"c:{CHILD}")[0].dataType])
+    kids = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(row).alias("children"))
+    depth, runs, nested = static.child_facts(F.col("children"))
+    return t(spark, sf, "orders").join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", depth.alias("depth"), runs.alias("runs"), nested.alias("nested"))
 
 
-QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, rule_scores, verdict_levels, confidence, signature_topk, rule_list, page_reports, job_listing, job_retention, child_rollup]
+QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, rule_scores, verdict_levels, confidence, signature_topk, rules_fired, rule_list, page_reports, job_listing, job_retention, child_rollup]
 
 
 def queries() -> dict:

@@ -187,4 +187,4 @@ MEMFD = r'memfd_create\("([^"]*)"'
 JAR_KEYWORDS = ["exploit", "payload", "dropper", "shellcode", "loader", "injector", "backdoor", "trojan", "reverse", "meterpreter", "cobalt", "beacon", "keylog", "stealer", "dumper", "bypass", "obfusc", "crypter", "binder", "rat", "c2", "command", "invoke", "exec", "download", "upload"]
 
 # --- fixed values: ELF object types
-ELF_TYPES = {1: "relocatable", 2: "executable", 3: "shared object", 4: "core"}
+ELF_TYPES = {1: "REL", 2: "EXEC", 3: "DYN/PIE", 4: "CORE"}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sources
 from .operators import jobs as J
-from .operators import network, report, rules, static, trace, triage
-from .schemas import DYNAMIC, NETWORK
+from .operators import network, recorded, report, rules, static, trace, triage
+from .schemas import DYNAMIC, NETWORK, ddl
 
 
 class Engine:
@@ -16,22 +17,29 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def observe(self, files: DataFrame, traces: DataFrame | None = None, flows: DataFrame | None = None, job_table: DataFrame | None = None) -> DataFrame:
-        """Observations of ``files`` (job_id, name, content), with recorded traces and flows if there are any."""
-        obs = static.analyze(triage.triage(files)).select("job_id", "file", "static")
-        none = F.lit(None).cast(DYNAMIC)
+    def observe(self, files: DataFrame, traces: DataFrame | None = None, flows: DataFrame | None = None, job_table: DataFrame | None = None, launchers: DataFrame | None = None, listings: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+        """Observations of ``files`` (job_id, name, content), with what was recorded about them if there is any.
+
+        ``traces`` and ``launchers`` are as :func:`trace.summarize` takes them, ``flows`` and ``job_table`` as :func:`network.collect`
+        does; ``job_table`` may also say how each job ended (error, timed_out, worker_status). ``listings`` are lines of an
+        archiver's listing, and ``outputs`` a row of tool outputs for each job, see :func:`recorded.apply`.
+        """
+        listed = None if listings is None else sources.listing_records(listings)
+        obs = static.analyze(triage.triage(files), listed).select("job_id", "file", "static", "errors")
         if traces is not None:
-            d = trace.summarize(traces)
-            fields = {f.name: f.dataType for f in self.spark.range(0).select(none.alias("d")).schema["d"].dataType}
+            d = trace.summarize(traces, launchers)
+            fields = {f.name: f.dataType for f in ddl(f"d:{DYNAMIC}")[0].dataType}
             known = F.struct(*[(F.col(k) if k in d.columns else F.lit(True) if k == "executed" else F.lit(None)).cast(t).alias(k) for k, t in fields.items()])
             obs = obs.join(d.select("job_id", known.alias("dynamic")), "job_id", "left")
         else:
-            obs = obs.withColumn("dynamic", none)
+            obs = obs.withColumn("dynamic", F.lit(None).cast(DYNAMIC))
+        obs = recorded.apply(obs, outputs)
+        if job_table is not None:
+            ends = [c for c in ("worker_ip", "dns", "error", "timed_out", "worker_status") if c in job_table.columns]
+            obs = obs.join(job_table.select("job_id", *ends), "job_id", "left")
         if flows is not None and job_table is not None:
-            obs = obs.join(network.collect(flows, job_table), "job_id", "left")
-        else:
-            obs = obs.withColumn("network", F.lit(None).cast(NETWORK))
-        return obs
+            return obs.join(network.collect(flows, job_table), "job_id", "left")
+        return obs.withColumn("network", F.lit(None).cast(NETWORK))
 
     def analyze(self, files: DataFrame, **recorded) -> DataFrame:
         return report.build(self.observe(files, **recorded))
@@ -47,8 +55,9 @@ class Engine:
     def reports(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
-    def report(self, job_id: str) -> DataFrame:
-        return self.reports().where(F.col("job_id") == job_id)
+    def report(self, job_id: str, live: DataFrame | None = None) -> DataFrame:
+        """A job's report: the one among ``live`` reports, else the stored one."""
+        return self.reports().where(F.col("job_id") == job_id) if live is None else J.lookup(live, self.reports(), job_id)
 
     def jobs(self, limit: int = 50) -> DataFrame:
         return J.listing(self.reports().select("job_id", "status", "verdict.level", "verdict.score", "submitted"), limit, "submitted")

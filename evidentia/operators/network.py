@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,22 +26,26 @@ def match(flows: DataFrame, jobs: DataFrame, src: str = "src", ts: str = "ts") -
     return flows.join(j, (F.col(src) == F.col("_ip")) & when.between(F.col("_from"), F.col("_to"))).drop("_ip", "_from", "_to")
 
 
-def _of(kinds: tuple[str, ...], cap: int | None = CAP) -> Column:
-    """The first ``cap`` events of some kinds, by time and then content."""
-    at = F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct(F.col("ts").try_cast("timestamp").alias("t"), F.col("_seq").alias("n"), F.struct(*FIELDS).alias("v"))))
-    rows = F.transform(F.array_sort(at, lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)), lambda r: r["v"])
-    return F.slice(rows, 1, cap) if cap else rows
+KINDS = {"dns_queries": ("dns",), "http_requests": ("http", "http_connect"), "tcp_sessions": ("tcp",)}
 
 
 def collect(flows: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(job_id, network) of every job; empty lists without flows. ``flows`` may have ``_seq``, its order in the log."""
+    """(job_id, network) of every job; empty lists without flows. ``flows`` may have ``_seq``, its order in the log.
+
+    Flows of a kind are ranked and cut to ``CAP`` before they are gathered, so no row holds more.
+    """
     if "_seq" not in flows.columns:
         flows = flows.withColumn("_seq", F.struct(F.col("ts").try_cast("timestamp"), F.to_json(F.struct(*FIELDS))))
-    m = match(flows, jobs)
-    names = F.collect_set(F.when(F.col("kind") == "dns", F.col("qname")).when(F.col("kind").isin("http", "http_connect"), F.col("host")))
-    net = m.groupBy("job_id").agg(_of(("dns",)).alias("dns_queries"), _of(("http", "http_connect")).alias("http_requests"), _of(("tcp",)).alias("tcp_sessions"), F.array_sort(F.filter(names, lambda h: h != "")).alias("contacted_hosts"))
+    kind = reduce(lambda out, item: out.when(F.col("kind").isin(*item[1]), item[0]), KINDS.items(), F)
+    m = match(flows, jobs).withColumn("_list", kind)
+    ranked = m.where("_list IS NOT NULL").withColumn("_k", F.row_number().over(Window.partitionBy("job_id", "_list").orderBy("_seq"))).where(F.col("_k") <= CAP)
+    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("_list") == name, F.struct("_k", F.struct(*FIELDS).alias("v")))), lambda a, b: a["_k"] - b["_k"]), lambda r: r["v"]).alias(name)
+    lists = ranked.groupBy("job_id").agg(*map(of, KINDS))
+    name = F.when(F.col("kind") == "dns", F.col("qname")).when(F.col("kind").isin(*KINDS["http_requests"]), F.col("host"))
+    hosts = m.select("job_id", name.alias("h")).where("h <> ''").groupBy("job_id").agg(F.array_sort(F.collect_set("h")).alias("contacted_hosts"))
+    net = jobs.select("job_id").join(lists, "job_id", "left").join(hosts, "job_id", "left")
     empty = F.array()
-    return jobs.select("job_id").join(net, "job_id", "left").select(
+    return net.select(
         "job_id",
         F.struct(*[F.coalesce(F.col(c), empty.cast(t)).alias(c) if c in net.columns else empty.cast(t).alias(c) for c, t in ((f.name, f.dataType.simpleString()) for f in ddl(f"network:{NETWORK}")[0].dataType)]).alias("network"),
     )

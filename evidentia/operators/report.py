@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..schemas import ERRORS
 from . import network, rules, scoring
 
 # --- fixed values: what a report says of a level and of an analysis that didn't end well
@@ -109,15 +110,18 @@ def summary_text() -> Column:
     )
 
 
-ERRORS = "array<struct<stage:string,error:string>>"
-
-
 def build(obs: DataFrame, rule_list=None) -> DataFrame:
-    """One report for each row of ``obs``: job_id, status, file, static, dynamic, network; worker_ip, dns and errors may lack."""
-    for name, kind in (("worker_ip", "string"), ("dns", "string"), ("errors", ERRORS), ("status", "string"), ("created_at", "string"), ("finished_at", "string"), ("duration_seconds", "double")):
+    """One report for each row of ``obs``: job_id, file, static, dynamic, network; the rest may lack.
+
+    The status comes from ``error`` (what went wrong around the analysis, told as a gap too), ``timed_out`` and ``worker_status``.
+    """
+    for name, kind in (("error", "string"), ("timed_out", "boolean"), ("worker_status", "string"), ("worker_ip", "string"), ("dns", "string"), ("errors", ERRORS), ("status", "string"), ("created_at", "string"), ("finished_at", "string"), ("duration_seconds", "double")):
         if name not in obs.columns:
             obs = obs.withColumn(name, F.lit(None).cast(kind))
-    obs = obs.withColumn("status", F.coalesce("status", F.lit("completed"))).withColumn("errors", F.coalesce("errors", F.array().cast(ERRORS)))
+    seen = F.col("file").isNotNull() | F.col("static").isNotNull()
+    obs = obs.withColumn("status", F.coalesce("status", status(F.col("error"), F.col("timed_out"), seen, F.col("worker_status"))))
+    around = F.when(F.col("error") != "", F.array(F.struct(F.lit("orchestrator").alias("stage"), F.col("error").alias("error")))).otherwise(F.array().cast(ERRORS))
+    obs = obs.withColumn("errors", F.concat(F.coalesce("errors", F.array().cast(ERRORS)), around))
     df = scoring.judge(rules.evaluate(with_evidence(obs), rule_list))
     partial = F.col("status").isin("failed", "timeout")
     said = F.when(partial, F.concat(F.lit(PARTIAL[0]), F.col("status"), F.lit(PARTIAL[1])))

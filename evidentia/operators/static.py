@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import binary as B
 from ..functions import text as X
-from ..schemas import STATIC, ddl
+from ..schemas import ERRORS, STATIC, ddl
 from . import triage as T
 
 SCRIPTS = ["js", "vbs", "wsf", "hta", "ps1", "bat", "sh", "py", "pl", "rb"]
@@ -64,7 +64,11 @@ def pdf(df: DataFrame) -> DataFrame:
     launch = X.found(every, r"(?s)(/S\s*/Launch.{0,300}?)(?:>>|endobj)")
     opened = F.nullif(F.regexp_extract(every, r"(?s)/OpenAction\s*(<<.{0,400}?>>|\d+\s+\d+\s+R|\[[^\]]{0,200}\])", 1), F.lit(""))
     files = F.transform(X.found(every, rf"/Type\s*/Filespec[^>]*?/U?F\s*{literal}"), lambda n: F.struct(n.alias("name"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("double").alias("entropy")))
-    structure = F.struct(F.lit(True).alias("parsed"), X.count_of(every, "/Type /Page").alias("pages"), js.alias("javascript"), files.alias("embedded_files"), opened.alias("open_action"), launch.alias("launch_actions"), uris.alias("uris"), F.array().cast("array<struct<page:int,key:string,value:string>>").alias("page_actions"))
+    # Objects that are pages, in the file's order, and the actions that each names.
+    pages = F.filter(F.split(every, "endobj"), lambda o: o.rlike(r"/Type\s*/Page(?![A-Za-z])"))
+    named = lambda o, i: [F.struct((i + 1).alias("page"), F.lit(k).alias("key"), F.nullif(F.regexp_extract(o, rf"(?s){k}\s*(<<.{{0,800}}?>>|\d+\s+\d+\s+R)", 1), F.lit("")).alias("value")) for k in ("/AA", "/OpenAction")]
+    actions = F.filter(F.flatten(F.transform(pages, lambda o, i: F.array(*named(o, i)))), lambda a: a["value"].isNotNull())
+    structure = F.struct(F.lit(True).alias("parsed"), F.regexp_extract(F.col("_raw"), r"^%PDF-(\d+\.\d+)", 1).alias("version"), F.col("_raw").rlike(r"/Encrypt(?![A-Za-z])").alias("encrypted"), F.size(pages).alias("pages"), js.alias("javascript"), files.alias("embedded_files"), opened.alias("open_action"), launch.alias("launch_actions"), uris.alias("uris"), actions.alias("page_actions"))
     df = df.withColumn("_s", structure)
     blobs = X.distinct(F.concat(F.col("_s.javascript"), F.transform(F.filter("_streams", lambda s: s.rlike(_JS)), lambda s: X.truncate(s, 8000))), 20)
     df = df.withColumn("_js", blobs)
@@ -93,6 +97,13 @@ def children(df: DataFrame, depth: int = B.MOST_DEPTH) -> DataFrame:
     return every.groupBy("job_id").agg(F.slice(F.array_sort(F.collect_list("c"), order), 1, B.MOST_CHILDREN * depth).alias("children"))
 
 
+def child_facts(children: Column) -> tuple[Column, Column, Column]:
+    """(deepest layer, whether any child runs, whether one below the first layer does); 0 and false without children."""
+    runs = lambda c: F.coalesce(c["family"].isin("pe", "elf"), F.lit(False)) | F.coalesce(c["dangerous"], F.lit(False))
+    some = lambda f: F.coalesce(F.exists(children, f), F.lit(False))
+    return F.coalesce(F.array_max(F.transform(children, lambda c: c["depth"])), F.lit(0)), some(runs), some(lambda c: runs(c) & (c["depth"] >= 2))
+
+
 def listing_facts(entries: Column, format: Column) -> dict[str, Column]:
     files = F.filter(entries, lambda e: ~e["is_dir"])
     total = F.aggregate(files, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e["size"], F.lit(0)))
@@ -123,12 +134,24 @@ def jar(names: Column, manifest: Column) -> Column:
     return F.when(names.isNotNull(), F.struct(m.alias("manifest"), F.try_element_at(m, F.lit("Main-Class")).alias("main_class"), F.size(classes).alias("class_count"), F.filter(odd, lambda o: F.size(o["matched_keywords"]) > 0).alias("suspicious_class_names"), F.exists(names, lambda n: F.upper(n).rlike(r"^META-INF/.*\.SF$")).alias("signed")))
 
 
-def archive(df: DataFrame) -> DataFrame:
+def _gap(stage: str, missing: Column, said: str) -> Column:
+    """A stage that failed, as data: what can't be read must not look clean."""
+    return F.when(F.coalesce(missing, F.lit(False)), F.array(F.struct(F.lit(stage).alias("stage"), F.lit(said).alias("error")))).otherwise(F.array().cast(ERRORS)).alias("errors")
+
+
+def archive(df: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+    """``listings`` (job_id, name, size, encrypted, is_dir): entries that an archiver listed, for formats that aren't read here."""
     kids = children(df)
     df = df.withColumn("_e", B.archive_entries(F.col("content"))).withColumn("_j", B.jar_parts(F.when(F.col("file.family") == "jar", F.col("content"))))
-    df = df.join(kids, "job_id", "left").withColumn("_e", F.coalesce("_e", F.array().cast(B.ENTRIES)))
+    df = df.join(kids, "job_id", "left")
+    if listings is not None:
+        row = {"name": F.col("name"), "size": F.col("size"), "encrypted": F.coalesce("encrypted", F.lit(False)), "extension": T.extension(F.translate("name", "\\", "/")), "is_dir": F.coalesce("is_dir", F.lit(False)), "is_link": F.lit(False)}
+        told = listings.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ddl(f"e:{B.ENTRIES}")[0].dataType.elementType]))).alias("_told"))
+        df = df.join(told, "job_id", "left").withColumn("_e", F.coalesce("_e", "_told")).drop("_told")
+    # A compressed file alone has one member and no listing.
+    df = df.withColumn("errors", _gap("static", F.col("_e").isNull() & F.col("children").isNull(), "the archive could not be listed")).withColumn("_e", F.coalesce("_e", F.array().cast(B.ENTRIES)))
     facts = listing_facts(F.col("_e"), F.col("file.family"))
-    depth = F.coalesce(F.array_max(F.transform("children", lambda c: c["depth"])), F.lit(0))
+    depth, _, _ = child_facts(F.col("children"))
     return df.withColumn("static", _static(engine=F.lit("archive"), **facts, children=F.col("children"), max_depth=depth, jar=jar(F.col("_j.names"), F.col("_j.manifest")))).drop("_e", "_j", "children")
 
 
@@ -162,7 +185,7 @@ def office(df: DataFrame) -> DataFrame:
         ),
     )
     xlm = (F.col("file.family").isin("ole_office", "ooxml_excel") & F.col("_l").rlike(r"(?i)Excel 4\.0|xlm(?:macro|sheet)|macrosheets/")) | (F.size("_x") > 0)
-    return df.withColumn("static", _static(engine=F.lit("office"), vba=vba, package=package, xlm_biff8_sheets=F.col("_x"), xlm_macros_indicated=xlm, embedded_executables=F.col("_p"), file_iocs=X.iocs(F.col("_l")))).drop("_m", "_r", "_p", "_x", "_n", "_l", "_c", "_ext", "_k")
+    return df.withColumn("static", _static(engine=F.lit("office"), vba=vba, package=package, xlm_biff8_sheets=F.col("_x"), xlm_macros_indicated=xlm, embedded_executables=F.col("_p"), file_iocs=X.iocs(F.col("_l")))).withColumn("errors", _gap("static", F.col("file.family").like("ooxml%") & F.col("_n").isNull(), "the package could not be read")).drop("_m", "_r", "_p", "_x", "_n", "_l", "_c", "_ext", "_k")
 
 
 def program(df: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -172,7 +195,7 @@ def program(df: DataFrame, as_of: int | None = None) -> DataFrame:
     at, odd = B.compile_time(p["timestamp"], F.lit(as_of if as_of is not None else B.now_seconds()))
     packers = F.filter(F.transform(p["sections"], lambda s: F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.PACKER_SECTIONS.items() for x in kv]), F.lower(s["name"]))), lambda x: x.isNotNull())
     pe = F.when(F.col("file.family") == "pe", F.struct(p["parsed"].alias("parsed"), p["sections"].alias("sections"), F.array_sort(F.array_distinct(packers)).alias("packer_sections"), p["imports"].alias("imports"), B.capabilities(p["imports"]).alias("capabilities"), p["import_table_stripped"].alias("import_table_stripped"), p["resources"].alias("resources"), p["overlay"].alias("overlay"), p["digitally_signed"].alias("digitally_signed"), odd.alias("timestamp_implausible"), at.alias("compile_time"), p["imphash"].alias("imphash"), p["entry_outside_code"].alias("entry_outside_code")))
-    return df.withColumn("static", _static(engine=F.lit("pe"), pe=pe, strings=X.strings(F.col("_l")), file_iocs=X.iocs(F.col("_l")))).drop("_pe", "_l")
+    return df.withColumn("static", _static(engine=F.lit("pe"), pe=pe, elf=T.elf_header(F.col("content")), strings=X.strings(F.col("_l")), file_iocs=X.iocs(F.col("_l")))).withColumn("errors", _gap("static", (F.col("file.family") == "pe") & ~F.coalesce(p["parsed"], F.lit(False)) | ~F.coalesce(F.col("static.elf.parsed"), F.lit(True)), "the program's headers could not be read")).drop("_pe", "_l")
 
 
 def generic(df: DataFrame) -> DataFrame:
@@ -184,9 +207,10 @@ def generic(df: DataFrame) -> DataFrame:
 BRANCHES = [(SCRIPTS, script), (["pdf"], pdf), (ARCHIVES, archive), (OFFICE, office), (PROGRAMS, program)]
 
 
-def analyze(files: DataFrame) -> DataFrame:
-    """``files`` (job_id, content, file) plus ``static``."""
+def analyze(files: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+    """``files`` (job_id, content, file) plus ``static`` and ``errors``, the stages that failed."""
     family = F.col("file.family")
-    routed = [fn(files.where(family.isin(fams))) for fams, fn in BRANCHES]
+    files = files.withColumn("errors", F.array().cast(ERRORS))
+    routed = [fn(files.where(family.isin(fams)), *([listings] if fn is archive else [])) for fams, fn in BRANCHES]
     every = [f for fams, _ in BRANCHES for f in fams]
     return reduce(DataFrame.unionByName, [*routed, generic(files.where(~F.coalesce(family, F.lit("")).isin(every)))])

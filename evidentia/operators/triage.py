@@ -52,11 +52,15 @@ def is_pe(content: Column) -> Column:
 
 
 def elf_header(content: Column) -> Column:
-    """(bits, type, machine) of an ELF file; null for anything else."""
-    number = lambda at: F.conv(F.when(F.substring(content, 6, 1) == F.unhex(F.lit("02")), F.hex(F.substring(content, at + 1, 2))).otherwise(F.concat(F.hex(F.substring(content, at + 2, 1)), F.hex(F.substring(content, at + 1, 1)))), 16, 10).cast("int")
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.ELF_TYPES.items() for x in kv]), number(16))
-    bits = F.when(F.substring(content, 5, 1) == F.unhex(F.lit("02")), 64).otherwise(32)
-    return F.when(F.substring(content, 1, 4) == F.unhex(F.lit("7F454C46")), F.struct(bits.alias("bits"), kind.alias("type"), number(18).alias("machine")))
+    """(parsed, class, endian, type, machine) of an ELF file; null for anything else."""
+    little = F.substring(content, 6, 1) == F.unhex(F.lit("01"))
+    byte = lambda k: F.hex(F.substring(content, k + 1, 1))
+    number = lambda at: F.conv(F.when(little, F.concat(byte(at + 1), byte(at))).otherwise(F.concat(byte(at), byte(at + 1))), 16, 10).cast("int")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.ELF_TYPES.items() for x in kv]), number(16)), number(16).cast("string"))
+    whole = F.octet_length(content) >= 20
+    bits = F.when(F.substring(content, 5, 1) == F.unhex(F.lit("02")), "ELF64").otherwise("ELF32")
+    said = lambda c: F.when(whole, c)
+    return F.when(F.substring(content, 1, 4) == F.unhex(F.lit("7F454C46")), F.struct(whole.alias("parsed"), said(bits).alias("class"), said(F.when(little, "little").otherwise("big")).alias("endian"), said(kind).alias("type"), said(number(18)).alias("machine")))
 
 
 def mismatch(family: Column, label: Column, ext: Column) -> Column:

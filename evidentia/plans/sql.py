@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import dims
 from ..rule_texts import RULES
 from ..operators.scoring import confidence_of
+from . import samples
 
 
 def _q(s: str) -> str:
@@ -61,6 +62,17 @@ LEVEL = "CASE WHEN score >= 70 THEN 'malicious' WHEN score >= 35 THEN 'suspiciou
 FLOW_JOBS = "(SELECT user_id AS job_id, min(ts) AS a, min(ts) + INTERVAL 6 HOURS AS z FROM events GROUP BY 1)"
 
 
+CAP = 120
+#: Flows of each user's job, numbered by kind; views and anything else are sessions.
+COLLECTED = f"""r AS (SELECT job_id, event_id, event_type, row_number() OVER (PARTITION BY job_id, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END ORDER BY event_id) AS k
+FROM events JOIN {FLOW_JOBS} ON user_id = job_id AND ts BETWEEN a AND z)"""
+#: Rules that fire for an order's number, strongest first (s), and what they add up to (v).
+JUDGED = f"""x AS (SELECT o_orderkey, unnest([{", ".join(f"CASE WHEN {samples.fired(r[0], 'o_orderkey')} THEN {k} END" for k, r in enumerate(RULES))}]) AS ord FROM orders),
+s AS (SELECT o_orderkey, id, sev, row_number() OVER (PARTITION BY o_orderkey ORDER BY sev DESC, ord) AS k FROM x JOIN (VALUES {", ".join(f"({k}, '{r[0]}', {r[2]})" for k, r in enumerate(RULES))}) AS t(ord, id, sev) USING (ord)),
+p AS (SELECT o_orderkey, string_agg(id, ',' ORDER BY k) AS ids, 100 - 100 * product(1 - sev / 100.0 * pow(0.6::DOUBLE, k - 1)) AS x, max(sev) AS top, least(count(*) FILTER (sev >= 40), 4) AS strong FROM s GROUP BY 1),
+v AS (SELECT o_orderkey, coalesce(ids, '') AS ids, CAST(coalesce(round_even(round(x, 9), 0), 0) AS INTEGER) AS score, top, strong FROM orders LEFT JOIN p USING (o_orderkey))"""
+
+
 def oracles() -> dict[str, str]:
     host = "regexp_extract(coalesce(url, ''), '^https?://([^/?#:]+)', 1)"
     conf = ", ".join(f"({t}, {k}, {confidence_of(t, k)!r}::DOUBLE)" for t in range(0, 101, 5) for k in range(5))
@@ -95,15 +107,18 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN textual THEN coal
   CASE WHEN textual THEN coalesce(script || ' script (by content)', 'plain text') ELSE ml END AS label, '.pdf' AS extension, CAST(NULL AS VARCHAR) AS mismatch,
   sha256(text) AS sha256, lower(hex(encode(text))[:64]) AS head_hex FROM f""",
         "flow_window_join": f"SELECT job_id, event_id, event_type FROM events JOIN {FLOW_JOBS} ON user_id = job_id AND ts BETWEEN a AND z",
-        "flow_distinct_first": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1",
-        "flow_split_counts": "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view, count(*) AS n FROM events GROUP BY 1",
-        "contacted_users": "SELECT event_type, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS users FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1",
         "rule_scores": f"WITH {SCORES} SELECT l_orderkey, score FROM v",
         "verdict_levels": f"WITH {SCORES} SELECT {LEVEL} AS level, count(*) AS n, min(score) AS low, max(score) AS high FROM v GROUP BY 1",
         "confidence": f"WITH {SCORES}, c(top, strong, confidence) AS (VALUES {conf}) SELECT l_orderkey, confidence FROM v JOIN c USING (top, strong)",
-        "signature_topk": f"SELECT l_orderkey, l_linenumber, sev, rank FROM (SELECT l_orderkey, l_linenumber, {SEV} AS sev, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SEV} DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3",
         "rule_list": "SELECT * FROM (VALUES " + ", ".join(f"({_q(i)}, {_q(n)}, {s}, {_q(d)})" for i, n, s, d in RULES) + ") AS t(id, name, severity, description)",
         "job_listing": "SELECT o_orderkey AS job_id, o_orderstatus AS status, o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 50",
         "job_retention": "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 24 HOURS GROUP BY 1",
-        "child_rollup": "SELECT o_orderkey, CAST(coalesce(max(l_linenumber), 0) AS BIGINT) AS depth, coalesce(bool_or(l_returnflag = 'R'), false) AS runs FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
+        "child_rollup": "SELECT o_orderkey, CAST(coalesce(max(l_linenumber), 0) AS INTEGER) AS depth, coalesce(bool_or(l_returnflag = 'R' OR l_linestatus = 'O'), false) AS runs, coalesce(bool_or(l_linenumber >= 2 AND (l_returnflag = 'R' OR l_linestatus = 'O')), false) AS nested FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
+        "flow_split_counts": f"WITH {COLLECTED} SELECT job_id, " + ", ".join(f"count(*) FILTER (event_type {c} AND k <= {CAP}) AS n_{n}" for n, c in (("dns", "= 'click'"), ("http", "= 'purchase'"), ("tcp", "NOT IN ('click', 'purchase')"))) + " FROM r GROUP BY 1",
+        "contacted_users": f"WITH {COLLECTED}, h AS (SELECT DISTINCT job_id, CASE event_type WHEN 'click' THEN 'd' || event_id % 50 || '.example' WHEN 'purchase' THEN 'h' || event_id % 20 || '.example' END AS h FROM r) SELECT job_id, coalesce(string_agg(h, ',' ORDER BY h), '') AS hosts FROM h GROUP BY 1",
+        "flow_distinct_first": f"WITH {COLLECTED}, d AS (SELECT job_id, 'd' || event_id % 50 || '.example' AS qname, min(event_id) AS e FROM r WHERE event_type = 'click' AND k <= {CAP} GROUP BY 1, 2) SELECT job_id, qname, CAST(e AS VARCHAR) AS answer FROM d",
+        "rules_fired": f"WITH {JUDGED} SELECT o_orderkey, ids, score, {LEVEL} AS level, CASE WHEN top IS NULL THEN 0.5 ELSE confidence END AS confidence FROM v LEFT JOIN (VALUES {conf}) AS c(top, strong, confidence) USING (top, strong)",
+        "signature_topk": f"WITH {JUDGED} SELECT o_orderkey, k AS rank, id, CAST(sev AS INTEGER) AS severity FROM s WHERE k <= 3",
+        # Every literal of a text reads back joined, and the whole reversed; what would end a literal was replaced.
+        "deobfuscate": f"SELECT doc_id, CASE WHEN length(s) >= 6 THEN s ELSE '' END AS joined, CASE WHEN length(s) >= 6 THEN array_to_string(list_reverse(string_split(s, '')), '') ELSE '' END AS reversed FROM (SELECT doc_id, replace(replace(text, '\"', chr(39)), chr(10), ' ') AS s FROM {DOCS})",
     }

@@ -10,6 +10,7 @@ from ..operators.triage import safe_name
 from ..schemas import FLOW_FIELDS, OBSERVATIONS
 
 UPLOAD_BYTES = 50 << 20
+TRACE_LINES = 400_000
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -32,10 +33,15 @@ def first_sample(listed: DataFrame) -> DataFrame:
     return listed.groupBy("job_id").agg(F.min_by("name", "name").alias("name"))
 
 
-def trace_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, line_no, line) of trace files named by job; numbered within each file."""
-    whole = spark.read.text(path, wholetext=True).withColumn("job_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return whole.select("job_id", F.posexplode(F.split("value", "\n")).alias("n", "line")).select("job_id", (F.col("n") + 1).alias("line_no"), "line").where("line != ''")
+def trace_lines(spark: SparkSession, path: str, most: int = TRACE_LINES) -> DataFrame:
+    """(job_id, line_no, line) of trace files named by job; the first ``most`` lines of each file, empty ones left out.
+
+    Files are read by line, wherever they are split, and numbered in the order of their blocks.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # rising within a block
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("n") <= most)
+    return numbered.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("job_id"), F.col("n").alias("line_no"), "line").where("line != ''")
 
 
 def flows(spark: SparkSession, path: str) -> DataFrame:

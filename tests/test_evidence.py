@@ -98,6 +98,61 @@ def test_static_families(spark, tmp_path):
     assert engine.jobs(3).count() == 3 and engine.report("zip").count() == 1 and engine.rules().first().severity == 85
 
 
+def test_recorded_outputs_reach_rules(spark, tmp_path):
+    ole = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 600
+    page = b"%PDF-1.7 1 0 obj << /Type /Pages /Count 1 >> endobj 2 0 obj << /Type/Page /AA << /O 3 0 R >> >> endobj %%EOF"
+    elf = b"\x7fELF\x02\x01" + b"\0" * 10 + b"\x02\x00\x3e\x00" + b"\0" * 40
+    rows = [("doc", "a.doc", ole), ("js", "a.js", b"var a = new ActiveXObject('x');"), ("ps", "a.ps1", b"Write-Host $x; param(1)"), ("pdf", "a.pdf", page), ("7z", "a.7z", bytes.fromhex("377ABCAF271C") + b"\0" * 40), ("rar", "a.rar", b"Rar!\x1a\x07\x00" + b"\0" * 40), ("elf", "a", elf), ("cut", "b", b"\x7fELF\x02\x01"), ("late", "a.txt", b"plain text here"), ("bad", "b.txt", b"plain text here")]
+    files = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "job_id string, name string, content binary")
+    dde = json.dumps([{"type": "dde-link", "msg": "cmd"}])
+    outputs = spark.createDataFrame([("doc", dde, "see http://drop.example/a.exe now", None, None), ("js", None, None, json.dumps([{"value": {"url": "http://x.example/p"}}]), json.dumps(["http://y.example/q"]))], "job_id string, dde string, oleobj string, script_iocs string, script_urls string")
+    listings = spark.createDataFrame([("7z", i, x) for i, x in enumerate(["Path = invoice.pdf.exe", "Size = 12", "Encrypted = +", "Path = d", "Attributes = D_"])], "job_id string, line_no long, line string")
+    ends = spark.createDataFrame([("late", None, True, None), ("bad", "no worker", None, None)], "job_id string, error string, timed_out boolean, worker_status string")
+    got = {r.job_id: r for r in Engine(spark, str(tmp_path)).analyze(files, outputs=outputs, listings=listings, job_table=ends).collect()}
+    ids = {k: {s.id for s in r.signatures} for k, r in got.items()}
+    assert "OFFICE_DDE" in ids["doc"] and got["doc"].static.ole_objects.found_urls == ["http://drop.example/a.exe"] and "IOC_EXECUTABLE_URL" in ids["doc"]
+    assert "SCRIPT_DROPPER_BEHAVIOUR" in ids["js"] and got["js"].dynamic.extracted_urls == ["http://x.example/p", "http://y.example/q"]
+    assert "PDF_AUTO_ACTION" in ids["pdf"] and [(a.page, a.key) for a in got["pdf"].static.structure.page_actions] == [(1, "/AA")] and got["pdf"].static.structure.pages == 1 and got["pdf"].static.structure.version == "1.7"
+    assert {"ARCHIVE_PASSWORD_PROTECTED", "ARCHIVE_DECOY_NAME", "ARCHIVE_DANGEROUS_CONTENT"} <= ids["7z"] and got["7z"].errors == []
+    assert [e.stage for e in got["rar"].errors] == ["static"] and "Analysis gaps" in got["rar"].llm_summary
+    assert got["elf"].static.elf["type"] == "EXEC" and got["elf"].errors == [] and [e.stage for e in got["cut"].errors] == ["static"]
+    assert (got["late"].status, got["bad"].status, got["js"].status) == ("timeout", "failed", "completed") and got["late"].verdict.confidence <= 0.4
+    assert [e.stage for e in got["bad"].errors] == ["orchestrator"] and "no worker" in got["bad"].llm_summary
+
+
+def test_published_scores(spark):
+    """Severities of the published samples give their published scores."""
+    from evidentia.operators import scoring
+    from evidentia.rule_texts import RULES
+
+    by = {r[0]: r[2] for r in RULES}
+    published = [(90, "PDF_LAUNCH_ACTION PDF_AUTO_ACTION IOC_EXECUTABLE_URL PDF_JAVASCRIPT"), (84, "OFFICE_REMOTE_TEMPLATE OFFICE_EXTERNAL_REL"), (84, "OFFICE_MACRO_SHELL OFFICE_MACRO_AUTOEXEC OFFICE_MACRO_OBFUSCATED OFFICE_MACRO_PRESENT"), (85, "ARCHIVE_DECOY_NAME ARCHIVE_DANGEROUS_CONTENT ARCHIVE_CHILD_MISMATCH"), (92, "SCRIPT_DROPPER_BEHAVIOUR SCRIPT_ENCODED_PAYLOAD SCRIPT_OBFUSCATED DANGEROUS_EXTENSION"), (75, "OFFICE_EMBEDDED_EXECUTABLE")]
+    df = spark.createDataFrame([(want, [by[i] for i in ids.split()]) for want, ids in published], "want int, sevs array<int>")
+    assert all(r[0] == r[1] for r in df.select("want", scoring.score(F.col("sevs"))).collect())
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "j1.log").write_text("a\nb\n\nc")
+    (tmp_path / "t" / "j2.log").write_text("d")
+    assert sorted(map(tuple, sources.trace_lines(spark, f"{tmp_path}/t").collect())) == [("j1", 1, "a"), ("j1", 2, "b"), ("j1", 4, "c"), ("j2", 1, "d")]
+    assert sorted(map(tuple, sources.trace_lines(spark, f"{tmp_path}/t", most=2).collect())) == [("j1", 1, "a"), ("j1", 2, "b"), ("j2", 1, "d")]
+    f = sources.files(spark, f"{tmp_path}/t")
+    ok, no = sources.accepted(f, 3)
+    assert [r.name for r in ok.collect()] == ["j2.log"] and [r.code for r in no.collect()] == [413] and sources.first_sample(f.withColumn("job_id", F.lit("x"))).first().name == "j1.log"
+    raw = spark.createDataFrame([('{"file": {"name": "a", "size": 3}}',), ("{broken",), (None,)], "value string")
+    assert [r.file.name if r.file else None for r in sources.observations(raw).collect()] == ["a", None, None]
+    sources.write(spark.range(3), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_flows_are_cut_before_they_are_gathered(spark):
+    rows = [dict(ts=f"2026-01-01T00:00:{i % 10:02d}.{i:06d}+00:00", src="10.0.0.2", kind="dns", qname=f"n{i % 130}.example") for i in range(400)]
+    got = network.collect(spark.createDataFrame(rows, ddl(FLOW_FIELDS)), _jobs(spark)).where("job_id = 'j'").first().network
+    first = [r["qname"] for r in sorted(rows, key=lambda r: r["ts"]) if r["ts"] <= "2026-01-01T00:00:10.000000"][:120]
+    assert [q.qname for q in got.dns_queries] == first and len(got.contacted_hosts) == 130
+
+
 def test_family_mismatch(spark):
     df = spark.createDataFrame([("invoice.pdf", bytearray(b"MZ" + b"\0" * 80)), ("x.msg", bytearray(bytes.fromhex("D0CF11E0A1B11AE1")))], "name string, content binary")
     f = {r.name: r.file for r in triage.triage(df).collect()}
