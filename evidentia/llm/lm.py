@@ -41,6 +41,7 @@ WARM_DOCS, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 150_000, 3, 6e-3
 PASS_RATE, SEED = 6e-3, 23
 PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 500, 1_000_000, 4_096, 500_000, 256
 FOLDS, HELD_OUT = 7, 2
+SLICE_ROWS = 1_000
 LOG10 = math.log(10)
 
 
@@ -53,13 +54,20 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(some).cast(pa.binary()), of[some.to_numpy(zero_copy_only=False)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_ROWS``, as words take several times the memory of their texts."""
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(k, SLICE_ROWS)
+
+
 def shape(word: bytes) -> int:
     bare = word.rstrip(b".,;:!?\"')")
     return 2 * (zlib.crc32(bare[-3:]) % SHAPES) + (len(bare) != len(word))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         found = pc.value_counts(split(b.column(0))[0])
         words = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())])
         yield pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field("counts"), pa.array([b.num_rows], pa.int64())])], ["word", "n"])
@@ -144,7 +152,7 @@ class _Held:
 def _pieces(held: _Held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, _ = _loaded(held)
-        for b in batches:
+        for b in sliced(batches):
             hs, nums, out = [], [], []
             _, sym, starts, _, _ = lexicon.encode(b.column(1))
             for h, part in zip(b.column(0).to_pylist(), np.split(sym.astype(np.int16), starts[1:])):
@@ -198,9 +206,7 @@ def _score(held: _Held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = _loaded(held)
         unit = math.log10(lexicon.total + lexicon.types + 1)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             at, sym, starts, others, of = lexicon.encode(b.column(1))
             n, logs = np.diff(np.append(starts, len(at))), lexicon.log1[at]
             base = np.add.reduceat(logs, starts) - n * unit

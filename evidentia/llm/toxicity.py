@@ -95,9 +95,18 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.clip(a, 0.2, 8.0)), float(b)
 
 
+def counts(rows: list[np.ndarray], weights: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows' weights for each feature, a block of rows at a time."""
+    out = np.zeros(size)
+    for k in range(0, len(rows), 1_000):
+        part = rows[k : k + 1_000]
+        out += np.bincount(np.concatenate(part), np.repeat(weights[k : k + 1_000], [len(r) for r in part]), size)
+    return out
+
+
 def association(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio of each feature and the label."""
-    hit = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), np.repeat(y, [len(r) for r in rows]), len(seen))
+    hit = counts(rows, y, len(seen))
 
     def part(k, n):  # k successes of n against the rate that they have
         p = k / np.maximum(n, 1)
@@ -156,10 +165,10 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
     size, y = 1 << BITS, labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Machine(-30.0, np.zeros(size), np.zeros((size, FACTORS)))
-    seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=size)
+    seen = counts(rows, np.ones(len(rows)), size)
     often = seen >= MIN_ROWS
     m = _descend(rows, y, often & ((association(rows, y, seen) >= SCREEN) | paired(rows, y, often)), epochs, SHRINK)
-    m.slope, m.shift = _calibrate(m.raw(rows), y)
+    m.slope, m.shift = _calibrate(np.concatenate([m.raw(rows[k : k + 256]) for k in range(0, len(rows), 256)]), y)
     return m
 
 
@@ -176,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
 
     got = rows.select("_order", "toxic", "text").mapInArrow(run, "k long, toxic int, terms array<int>").orderBy("k", "toxic", F.xxhash64("terms")).limit(train_rows).toArrow()  # repeated ids give more rows
     flat = got.column("terms").combine_chunks()
-    return learn([np.asarray(x.values, np.int64) if x.is_valid else np.empty(0, np.int64) for x in flat], np.asarray(got.column("toxic")))
+    return learn([np.asarray(x.values) if x.is_valid else np.empty(0, np.int32) for x in flat], np.asarray(got.column("toxic")))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
