@@ -165,5 +165,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_chat_format": op10_chat_format}
-#: The rendered length counts the template's marks and escapes, so it is left to the tests; the rest is plain SQL there.
+#: Escapes and tokens have no SQL here; the tests read everything back instead.
 SQL: dict[str, str] = {}
