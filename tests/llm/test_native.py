@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -61,6 +62,27 @@ def test_shards_are_even_and_gapless(spark, shards):
     assert sharding.shard(empty_docs(spark), shards).count() == 0
 
 
+def test_cells_change_no_slot(spark, tmp_path):
+    """Cells of any size give the order by (hash, id), as sorting all rows by hand does; columns named like the operator's own stay."""
+    docs = odd_docs(spark).union(spark.createDataFrame([(i, "one text" if i % 3 else prose(30, i), "en", "s", 1, None, None) for i in range(2000, 2600)], DOCS))
+    docs = docs.withColumn("_h", F.lit("mine")).withColumn("_c", F.lit("too"))
+    said = lambda df: Counter((r.doc_id, r.text, r.shard, r.slot, r._h, r._c) for r in df.collect())
+    whole = said(sharding.shard(docs, 5))
+    assert whole == said(sharding.shard(docs, 5, cell_bytes=300)) == said(sharding.shard(docs, 5, cell_bytes=5000))
+    keys = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    ranked = sorted(keys, key=lambda r: (r.h, -(1 << 63) if r.doc_id is None else r.doc_id))
+    assert [(d, t) for d, t, *_ in sorted(whole.elements(), key=lambda x: (x[2], x[3]))] == [(r.doc_id, r.text) for r in ranked]
+
+
+def test_op9_query(spark, tmp_path):
+    docs = odd_docs(spark).union(spark.createDataFrame([(3000 + i, prose(30, i), "en", "s", 1, None, None) for i in range(400)], DOCS))
+    got = sharding.op9_sharding(spark, save(docs, tmp_path, "documents")).collect()
+    sizes = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert sizes == Counter((r.doc_id, r["size"], r.text_crc32) for r in got)
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and {r.shard for r in got} <= set(range(24))
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(24))
+
+
 def test_budget_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "1", 1000), ("b", "x", "1", 2000)], "domain string, lang string, source string, tokens long")
     even = lambda level, value: F.lit(1).cast("long")
