@@ -9,19 +9,20 @@ turn ends in ``</s>``; control strings inside texts and roles are escaped by a z
 first character, and the escape character itself is doubled, so that the rendered string reads back to the same turns.
 
 Rows are ordered by turn, then role and text, so ties have one order. Null texts are empty; null roles are the role
-``""``. A null conv_id is a conversation of its own. Repeated rows are turns like others. A conversation is one unit of
-work and memory, as it is one string; conversations are dealt by id, and none is collected with another.
+``""``. A null conv_id is a conversation of its own. Repeated rows are turns like others; an empty table gives no rows. A
+conversation is one unit of work and memory, as it is one string; rows are dealt by its id, sorted where they then lie, and
+read as a stream. The query's own conversation -1 would take in the rows of one with that id.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,6 +35,8 @@ OPEN, CLOSE = "<s>", "</s>"
 #: Any of these, in a text, could be read as the template's own.
 CONTROL = re.compile(r"(<(?=/?s>)|\[(?=/?(?:INST|SYS|TURN)\b)|⁠)")
 NAMES = {"user": "INST", "system": "SYS"}
+#: Characters of formatted text after which a batch of conversations is handed on.
+BATCH_CHARS = 2_000_000
 
 
 def escape(text: str) -> str:
@@ -91,26 +94,36 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def mask_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[bool]:
-    """True for tokens that overlap a span. Both are sorted; each span finds its first and last token by bisection."""
-    starts, ends, out = [a for a, _ in offsets], [b for _, b in offsets], [False] * len(offsets)
+def _ends(pairs) -> tuple[np.ndarray, np.ndarray]:
+    both = np.asarray(pairs, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _tokens_of(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> slice:
+    """The tokens that overlap a span, first and last found by bisection."""
+    return slice(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))) if b > a else slice(0, 0)
+
+
+def mask_tokens(offsets, spans) -> np.ndarray:
+    """True for tokens that overlap a span. Both are sorted (start, end) pairs."""
+    starts, ends = _ends(offsets)
+    out = np.zeros(len(starts), bool)
     for a, b in spans:
-        for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)) if b > a else ():
-            out[k] = True
+        out[_tokens_of(starts, ends, a, b)] = True
     return out
 
 
-def masked_text(formatted: str, spans: list[tuple[int, int]], offsets: list[tuple[int, int]], mask: list[bool]) -> str:
+def masked_text(formatted: str, spans, offsets, mask) -> str:
     """The text under the mask, unescaped: of each masked token the part inside the spans, each character once."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
+    starts, ends = _ends(offsets)
     out = []
     for a, b in spans:
-        at, piece = a, []
-        for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)) if b > a else ():
-            if mask[k] and ends[k] > at:  # the bytes of one character may be several tokens with one offset
-                piece.append(formatted[max(at, starts[k]) : min(b, ends[k])])
-                at = min(b, ends[k])
-        out.append(unescape("".join(piece)))
+        at = _tokens_of(starts, ends, a, b)
+        on = np.asarray(mask[at], bool)
+        low, high = np.maximum(starts[at][on], a), np.minimum(ends[at][on], b)
+        if len(low):  # the bytes of one character may be several tokens with one offset
+            low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1])
+        out.append(unescape("".join(formatted[x:y] for x, y in zip(low.tolist(), high.tolist()) if y > x)))
     return "".join(out)
 
 
@@ -121,47 +134,89 @@ def load(path: str) -> Tokenizer:
     return t
 
 
-def _format(path: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-        turns = [(r, t) for r, t in zip(pdf.role.fillna(""), pdf.text.fillna(""))]
-        formatted, spans = render(turns)
-        e = load(path).encode(formatted, add_special_tokens=False)
-        mask = mask_tokens(e.offsets, spans)
-        return pd.DataFrame({"conv_id": [key[0]], "formatted": [formatted], "spans": [[[a, b] for a, b in spans]], "token_ids": [e.ids], "offsets": [[list(x) for x in e.offsets]], "loss_mask": [mask]})
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
+    """(conv_id, turns) of rows that come sorted by conversation and turn."""
+    at, turns = None, []
+    for batch in batches:
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+            if turns and conv != at:
+                yield at, turns
+                turns = []
+            at = conv
+            turns.append((role or "", text or ""))
+    if turns:
+        yield at, turns
 
-    return run
+
+def _nested(rows: list[np.ndarray], width: int) -> pa.ListArray:
+    """A list column of flat arrays; of pairs where ``width`` is 2."""
+    ends = np.cumsum([0] + [len(r) // width for r in rows]).astype(np.int32)
+    flat = pa.array(np.concatenate(rows))
+    if width > 1:
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat)
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
 
 
 FORMATTED = "conv_id long, formatted string, spans array<array<int>>, token_ids array<int>, offsets array<array<int>>, loss_mask array<boolean>"
+NAMES_OUT = ["conv_id", "formatted", "spans", "token_ids", "offsets", "loss_mask"]
+
+
+def _format(path: str):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        conv, text, spans, ids, offsets, mask = zip(*rows)
+        columns = [pa.array(conv, pa.int64()), pa.array(text, pa.string()), _nested(spans, 2), _nested(ids, 1), _nested(offsets, 2), _nested(mask, 1)]
+        return pa.RecordBatch.from_arrays(columns, NAMES_OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for conv, turns in _conversations(batches):
+            formatted, spans = render(turns)
+            e = load(path).encode(formatted, add_special_tokens=False)
+            offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+            rows.append((conv, formatted, np.array(spans, np.int32).ravel(), np.array(e.ids, np.int32), offsets.ravel(), mask_tokens(offsets, spans)))
+            chars += len(formatted)
+            if chars > BATCH_CHARS:
+                yield batch(rows)
+                rows, chars = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
 
 
 def format_chats(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """A row for each conversation of ``turns`` (conv_id, turn, role, text): its string, tokens and loss mask."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.groupBy("conv_id").applyInPandas(_format(tokenizer), FORMATTED)
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes would be few tasks for much work
+    return rows.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format(tokenizer), FORMATTED)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for r in pdf.itertuples():
-            turns = parse(r.formatted)
-            loss = masked_text(r.formatted, [tuple(x) for x in r.spans], [tuple(x) for x in r.offsets], list(r.loss_mask))
-            sha = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((r.conv_id, len(turns), sha, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(r.formatted)))
-        pdf = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        yield pdf.assign(conv_id=pdf.conv_id.astype("Int64"))
+        conv, formatted, spans, _, offsets, mask = batch.columns
+        for k in range(len(batch)):
+            text = formatted[k].as_py()
+            turns = parse(text)
+            loss = masked_text(text, spans[k].as_py(), np.asarray(offsets[k].values.flatten()), np.asarray(mask[k].values))
+            out.append((conv[k].as_py(), len(turns), _sha("".join(f"{role}\n{said}\n" for role, said in turns)), len(loss), _sha(loss), len(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), DIGEST_TYPES)], DIGEST_NAMES) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in DIGEST_TYPES], DIGEST_NAMES)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST_NAMES = [c.split()[0] for c in DIGEST.split(", ")]
+DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant') AS t(conv_id, turn, role)").withColumn("text", F.lit(said))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return format_chats(turns).mapInPandas(_digest, DIGEST)
+    return format_chats(turns).mapInArrow(_digest, DIGEST)
 
 
 QUERIES = {"op10_chat_format": op10_chat_format}
