@@ -123,7 +123,10 @@ def masked_text(formatted: str, spans, offsets, mask) -> str:
         low, high = np.maximum(starts[at][on], a), np.minimum(ends[at][on], b)
         if len(low):  # the bytes of one character may be several tokens with one offset
             low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1])
-        out.append(unescape("".join(formatted[x:y] for x, y in zip(low.tolist(), high.tolist()) if y > x)))
+        low, high = low[high > low], high[high > low]
+        breaks = np.flatnonzero(low[1:] != high[:-1])  # neighbouring tokens are cut out as one run
+        runs = zip(low[np.append(0, breaks + 1)].tolist(), high[np.append(breaks, len(high) - 1)].tolist()) if len(low) else ()
+        out.append(unescape("".join(formatted[x:y] for x, y in runs)))
     return "".join(out)
 
 
