@@ -7,9 +7,9 @@ sum of its leaves', the water level of one family has a closed form over its chi
 three windows over a table with a row for each leaf, none of it on the driver.
 
 A leaf with budget b over t tokens takes every document floor(b / t) times, and then the longest prefix of documents
-in the order of the next epoch's seeded md5 whose tokens fit what's left. Prefixes are found in two steps, so that no
-task holds a leaf: tokens are summed by the first ``NIBBLES`` hex digits of the md5, which leaves one bucket of each leaf
-in which single documents are ranked.
+in the order of the next epoch's seeded md5 whose tokens fit what's left. Prefixes are found digit by digit, so that no
+task holds a leaf: tokens are summed by the next ``NIBBLES`` hex digits of the md5, which leaves one bucket of each leaf,
+and again inside it until no bucket holds more than ``BUCKET_ROWS`` rows; in these, documents are ranked.
 
 Null domain, language or source count as the value ``''``; a null text has no tokens, and is taken whenever the prefix
 reaches it. Repeated rows tie, and are taken together or not at all. An empty table gives no rows.
@@ -27,6 +27,8 @@ MAX_EPOCHS = 2
 #: Share of all tokens, in percent, that the mixture is to hold.
 BUDGET_PERCENT = 80
 NIBBLES = 3
+#: Most rows of a leaf that one task ranks; a bucket with more is split by further digits.
+BUCKET_ROWS = 200_000
 #: Integer target weights; any value that isn't listed weighs DEFAULT_WEIGHT among its siblings.
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 2}
 DEFAULT_WEIGHT = 1
@@ -50,7 +52,7 @@ def weight(level: str, value: Column) -> Column:
 
 def budgets(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, weigh=weight, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """``leaves`` (levels, tokens) plus ``budget``: whole tokens, at most tokens * max_epochs."""
-    out = leaves.withColumn("_budget", F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * percent / 100).cast("long"))
+    out = leaves.withColumn("_budget", F.floor(leaves.agg(F.sum("tokens")).scalar() * percent / 100).cast("long"))
     for depth, level in enumerate(levels):
         up, here = list(levels[:depth]), list(levels[: depth + 1])
         family = Window.partitionBy(*up, "_root").orderBy("_tight", *here)
@@ -69,7 +71,7 @@ def budgets(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int =
     return out.withColumnRenamed("_budget", "budget")
 
 
-def mix(docs: DataFrame, tokens: Column, domain: Column, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weigh=weight) -> DataFrame:
+def mix(docs: DataFrame, tokens: Column, domain: Column, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weigh=weight, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows of ``docs`` in the mixture, with ``mix_copies``: how many epochs take the row; plus the leaf and its budget.
 
     ``docs`` needs doc_id, lang and source; its own columns are kept below ``row``. Prefixes are found on narrow rows; the
@@ -83,19 +85,26 @@ def mix(docs: DataFrame, tokens: Column, domain: Column, percent: int = BUDGET_P
 
     def ordered(rows: DataFrame, table: DataFrame) -> DataFrame:
         order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs"), F.col("_id")).cast("binary"))
-        return rows.join(table, list(LEVELS)).withColumn("_at", F.struct(order.alias("order"), F.col("_id").alias("id"), F.col("tokens").alias("tokens"))).withColumn("_bucket", F.substring("_at.order", 1, NIBBLES))
-
-    # The bucket in which a leaf's prefix ends, and the last row in it that still fits.
-    sums = ordered(narrow, leaves).groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_sum"), F.first("_rest").alias("_rest"))
-    run = Window.partitionBy(*LEVELS).orderBy("_bucket")
-    ends = sums.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum")).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
-    ends = cut(ends.select(*LEVELS, F.col("_bucket").alias("_end"), "_before"))
-    inside = ordered(narrow, leaves.join(ends, list(LEVELS))).where("_bucket = _end")
-    fits = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("_at"))
-    last = inside.withColumn("_fits", F.col("_before") + fits <= F.col("_rest")).where("_fits").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
-    table = cut(leaves.join(ends.drop("_before"), list(LEVELS), "left").join(last, list(LEVELS), "left"))
+        return rows.join(table, list(LEVELS)).withColumn("_at", F.struct(order.alias("order"), F.col("_id").alias("id"), F.col("tokens").alias("tokens")))
+
+    head = lambda digits: F.substring("_at.order", 1, digits)
+    inside, digits, most = ordered(narrow, leaves.select("*", F.lit(0).cast("long").alias("_before"))), 0, bucket_rows + 1
+    while most > bucket_rows and digits < 32:
+        # The bucket in which each leaf's prefix ends, and the tokens before it.
+        digits = min(digits + NIBBLES, 32)
+        sums = inside.groupBy(*LEVELS, head(digits).alias("_end")).agg(F.sum("tokens").alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+        run = Window.partitionBy(*LEVELS).orderBy("_end")
+        ends = sums.withColumn("_before", F.col("_before") + F.sum("_sum").over(run) - F.col("_sum")).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
+        ends = cut(ends.select(*LEVELS, "_end", "_before", "_rows"))
+        most = ends.agg(F.max("_rows")).first()[0] or 0
+        inside = ordered(narrow, leaves.join(ends, list(LEVELS))).where(head(digits) == F.col("_end"))
+    # The last row in it that still fits; equal rows are one.
+    ranked = inside.groupBy(*LEVELS, "_at").agg(F.sum("tokens").alias("_sum"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+    fits = F.col("_before") + F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_at")) <= F.col("_rest")
+    last = ranked.withColumn("_fits", fits).where("_fits").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
+    table = cut(leaves.join(ends.drop("_before", "_rows"), list(LEVELS), "left").join(last, list(LEVELS), "left"))
     rows = ordered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys), table)
-    more = F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)))
+    more = F.col("_end").isNull() | (head(digits) < F.col("_end")) | ((head(digits) == F.col("_end")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)))
     return rows.withColumn("mix_copies", F.col("epochs") + more.cast("long")).where("mix_copies > 0").select("row", *LEVELS, "tokens", "budget", "mix_copies")
 
 

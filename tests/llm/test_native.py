@@ -99,6 +99,12 @@ def test_mixture_stays_in_budget(spark):
     assert mixing.mix(empty_docs(spark), F.lit(1), mixing.domain_of(F.col("source"))).count() == 0
 
 
+def test_mixture_prefix_is_the_same_by_any_digits(spark):
+    docs = spark.range(3000).selectExpr("id div 2 AS doc_id", "if(id % 3 = 0, 'en', 'de') AS lang", "concat('src', id % 2) AS source", "id % 7 AS n")
+    mixed = lambda rows: Counter(map(tuple, mixing.mix(docs, F.col("n"), mixing.domain_of(F.col("source")), bucket_rows=rows).selectExpr("row.doc_id", "lang", "source", "tokens", "budget", "mix_copies").collect()))
+    assert mixed(0) == mixed(2) == mixed(10**6)
+
+
 def test_leaks_survive_substitutions(spark):
     item = prose(40, 77)
     ws = item.split()
