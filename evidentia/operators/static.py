@@ -84,17 +84,23 @@ def traversal(name: Column) -> Column:
 
 
 def children(df: DataFrame, depth: int = B.MOST_DEPTH) -> DataFrame:
-    """(job_id, children) of archives: members triaged layer by layer, three at most, 180 in all."""
-    layer, layers = df.select("job_id", "content"), []
+    """(job_id, children) of archives: members triaged layer by layer, three at most, 180 in all.
+
+    One pass: a row is a file still to be judged, or a child that is. Judging a file that is an archive itself gives the
+    child and a row for each of its members, so no layer is unpacked twice.
+    """
+    f = F.col("file")
+    child = F.struct(f["name"].alias("name"), F.col("depth").alias("depth"), f["family"].alias("family"), f["label"].alias("label"), f["size"].alias("size"), f["sha256"].alias("sha256"), f["entropy"].alias("entropy"), f["extension_mismatch"].alias("extension_mismatch"), f["filename_flags"].alias("filename_flags"), f["extension_is_dangerous"].alias("dangerous"))
+    rows = df.select("job_id", F.explode(B.archive_members(F.col("content"))).alias("m")).select("job_id", "m.name", F.coalesce("m.content", F.lit(b"")).alias("content"), F.lit(1).alias("depth"), F.lit(None).alias("c"))
     for d in range(1, depth + 1):
-        inner = layer.select("job_id", F.explode(B.archive_members(F.col("content"))).alias("m")).select("job_id", F.col("m.name").alias("name"), F.col("m.content").alias("content"))
-        seen = T.triage(inner)
-        f = F.col("file")
-        layers.append(seen.select("job_id", F.struct(f["name"].alias("name"), F.lit(d).alias("depth"), f["family"].alias("family"), f["label"].alias("label"), f["size"].alias("size"), f["sha256"].alias("sha256"), f["entropy"].alias("entropy"), f["extension_mismatch"].alias("extension_mismatch"), f["filename_flags"].alias("filename_flags"), f["extension_is_dangerous"].alias("dangerous")).alias("c")))
-        layer = seen.where(f["family"].isin(ARCHIVES)).select("job_id", "content")
-    every = reduce(DataFrame.union, layers)
+        seen = T.triage(rows).withColumn("c", F.coalesce("c", child))
+        if d < depth:
+            inner = B.archive_members(F.when((F.col("depth") == d) & f["family"].isin(ARCHIVES), F.col("content")))
+            judged = F.struct(F.lit("").alias("name"), F.lit(b"").alias("content"), F.col("depth"), F.col("c"))
+            fresh = F.transform("_inner", lambda m: F.struct(m["name"].alias("name"), m["content"].alias("content"), F.lit(d + 1).alias("depth"), F.when(F.lit(False), F.col("c")).alias("c")))
+            rows = seen.withColumn("_inner", inner).select("job_id", F.explode(F.concat(F.array(judged), fresh)).alias("r")).select("job_id", "r.*")
     order = lambda a, b: F.when(a["depth"] != b["depth"], a["depth"] - b["depth"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
-    return every.groupBy("job_id").agg(F.slice(F.array_sort(F.collect_list("c"), order), 1, B.MOST_CHILDREN * depth).alias("children"))
+    return seen.groupBy("job_id").agg(F.slice(F.array_sort(F.collect_list("c"), order), 1, B.MOST_CHILDREN * depth).alias("children"))
 
 
 def child_facts(children: Column) -> tuple[Column, Column, Column]:

@@ -173,3 +173,22 @@ def test_tool_outputs(spark):
 def test_jobs(spark):
     df = spark.range(5).withColumnRenamed("id", "seq")
     assert [r.seq for r in jobs.listing(df, 2).collect()] == [4, 3] and jobs.listing(df, 0).count() == 5
+
+
+def test_children_of_children_in_one_pass(spark):
+    """Three layers at most, each child once, ordered by layer and name; a package of Office isn't unpacked."""
+
+    def pack(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, b in files.items():
+                z.writestr(n, b)
+        return out.getvalue()
+
+    deepest = pack(lost=b"too deep")
+    third = pack(c=b"MZ" + bytes(80), deepest=deepest)
+    book = pack(**{"[Content_Types].xml": b"", "xl/workbook.xml": b""})
+    top = pack(second=pack(third=third, b=b"plain words here", e=b""), a=b"more plain words", book=book)
+    files = spark.createDataFrame([("j", bytearray(top)), ("k", bytearray(b"no archive")), ("l", None)], "job_id string, content binary")
+    got = {r.job_id: [(c.depth, c.name, c.size) for c in r.children] for r in static.children(files).collect()}
+    assert got == {"j": [(1, "a", 16), (1, "book", len(book)), (1, "second", len(pack(third=third, b=b"plain words here", e=b""))), (2, "b", 16), (2, "e", 0), (2, "third", len(third)), (3, "c", 82), (3, "deepest", len(deepest))]}
