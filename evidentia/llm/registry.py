@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, fim, html, langid, lm, minhash, mixing, quality, sharding, toxicity
+from . import chat, decontaminate, divergence, fim, html, langid, lm, minhash, mixing, quality, repeats, sharding, toxicity
 
-MODULES = [chat, decontaminate, divergence, fim, html, langid, lm, minhash, mixing, quality, sharding, toxicity]
+MODULES = [chat, decontaminate, divergence, fim, html, langid, lm, minhash, mixing, quality, repeats, sharding, toxicity]
 
 
 def queries() -> dict:
