@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import binary as B
 from ..functions import text as X
-from ..schemas import ERRORS, STATIC, ddl
+from ..schemas import ERRORS, STATIC, STRUCTURE, ddl
 from . import triage as T
 
 SCRIPTS = ["js", "vbs", "wsf", "hta", "ps1", "bat", "sh", "py", "pl", "rb"]
@@ -53,28 +53,43 @@ def script(df: DataFrame) -> DataFrame:
 _JS = r"(?i)(?<![A-Za-z0-9_])(eval|unescape|app\.|this\.exportDataObject|util\.print[df]|String\.fromCharCode|Collab\.)"
 
 
-def pdf(df: DataFrame) -> DataFrame:
-    raw = F.substring("content", 1, B.PDF_BYTES)
-    df = df.withColumn("_streams", B.pdf_streams(F.col("content"))).withColumn("_raw", X.latin1(raw))
-    df = df.withColumn("_all", F.concat(F.col("_raw"), F.lit("\n"), F.array_join("_streams", "\n")))
-    every = F.col("_all")
+def _pdf_patterns(every: Column, raw: Column) -> dict[str, Column]:
+    """What patterns find in a document that has no readable objects."""
     literal = r"\(((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)"  # with one level of balanced parentheses
-    uris = X.distinct(X.found(every, rf"/URI\s*{literal}"), 100)
-    js = X.found(every, rf"(?s)/JS\s*{literal}")
-    launch = X.found(every, r"(?s)(/S\s*/Launch.{0,300}?)(?:>>|endobj)")
-    opened = F.nullif(F.regexp_extract(every, r"(?s)/OpenAction\s*(<<.{0,400}?>>|\d+\s+\d+\s+R|\[[^\]]{0,200}\])", 1), F.lit(""))
-    files = F.transform(X.found(every, rf"/Type\s*/Filespec[^>]*?/U?F\s*{literal}"), lambda n: F.struct(n.alias("name"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("double").alias("entropy")))
-    # Objects that are pages, in the file's order, and the actions that each names.
-    pages = F.filter(F.split(every, "endobj"), lambda o: o.rlike(r"/Type\s*/Page(?![A-Za-z])"))
-    named = lambda o, i: [F.struct((i + 1).alias("page"), F.lit(k).alias("key"), F.nullif(F.regexp_extract(o, rf"(?s){k}\s*(<<.{{0,800}}?>>|\d+\s+\d+\s+R)", 1), F.lit("")).alias("value")) for k in ("/AA", "/OpenAction")]
-    actions = F.filter(F.flatten(F.transform(pages, lambda o, i: F.array(*named(o, i)))), lambda a: a["value"].isNotNull())
-    structure = F.struct(F.lit(True).alias("parsed"), F.regexp_extract(F.col("_raw"), r"^%PDF-(\d+\.\d+)", 1).alias("version"), F.col("_raw").rlike(r"/Encrypt(?![A-Za-z])").alias("encrypted"), F.size(pages).alias("pages"), js.alias("javascript"), files.alias("embedded_files"), opened.alias("open_action"), launch.alias("launch_actions"), uris.alias("uris"), actions.alias("page_actions"))
-    df = df.withColumn("_s", structure)
-    blobs = X.distinct(F.concat(F.col("_s.javascript"), F.transform(F.filter("_streams", lambda s: s.rlike(_JS)), lambda s: X.truncate(s, 8000))), 20)
-    df = df.withColumn("_js", blobs)
+    opened = r"(?s)/OpenAction\s*(<<.{0,400}?>>|\d+\s+\d+\s+R|\[[^\]]{0,200}\])"
+    return {
+        "version": F.regexp_extract(raw, r"^%PDF-(\d+\.\d+)", 1),
+        "encrypted": raw.rlike(r"/Encrypt(?![A-Za-z])"),
+        "javascript": X.found(every, rf"(?s)/JS\s*{literal}"),
+        "open_action": F.nullif(F.regexp_extract(every, opened, 1), F.lit("")),
+        "launch_actions": X.found(every, r"(?s)(/S\s*/Launch.{0,300}?)(?:>>|endobj)"),
+        "uris": X.distinct(X.found(every, rf"/URI\s*{literal}"), 100),
+    }
+
+
+def pdf(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_f", B.pdf_facts(F.col("content"))).withColumn("_raw", X.latin1(F.substring("content", 1, B.PDF_BYTES)))
+    df = df.withColumn("_all", F.concat(F.col("_raw"), F.lit("\n"), F.array_join("_f.streams", "\n")))
+    every, read, streams = F.col("_all"), F.col("_f.structure"), F.col("_f.streams")
+    spare = _pdf_patterns(every, F.col("_raw"))
+    fields = [f.name for f in ddl(f"s:{STRUCTURE}")[0].dataType]
+    df = df.withColumn("_s", F.struct(*[(F.when(read["parsed"], read[k]).otherwise(spare[k]) if k in spare else read[k]).alias(k) for k in fields]))
+    said = F.transform(F.filter(streams, lambda s: s.rlike(_JS)), lambda s: X.truncate(s, 8000))
+    df = df.withColumn("_js", X.distinct(F.concat(F.coalesce("_s.javascript", F.array().cast("array<string>")), said), 20))
     found = X.iocs(every)
-    linked = F.struct(F.array_union(found["urls"], F.col("_s.uris")).alias("urls"), *[found[k].alias(k) for k in ("domains", "ips", "emails")])
-    return df.withColumn("static", _static(engine=F.lit("pdf"), structure=F.col("_s"), keywords=X.keyword_counts(every, dims.PDF_KEYWORDS), object_streams_inflated=F.size("_streams"), javascript=F.col("_js"), javascript_present=F.size("_js") > 0, incremental_updates=F.greatest(F.lit(0), X.count_of(F.col("_raw"), "%%EOF") - 1), file_iocs=linked)).drop("_streams", "_raw", "_all", "_s", "_js")
+    urls = F.array_union(found["urls"], F.coalesce("_s.uris", F.array().cast("array<string>")))
+    linked = F.struct(urls.alias("urls"), *[found[k].alias(k) for k in ("domains", "ips", "emails")])
+    known = _static(
+        engine=F.lit("pdf"),
+        structure=F.col("_s"),
+        keywords=X.keyword_counts(every, dims.PDF_KEYWORDS),
+        object_streams_inflated=F.size(streams),
+        javascript=F.col("_js"),
+        javascript_present=F.size("_js") > 0,
+        incremental_updates=F.greatest(F.lit(0), X.count_of(F.col("_raw"), "%%EOF") - 1),
+        file_iocs=linked,
+    )
+    return df.withColumn("static", known).withColumn("errors", _told("pdf", F.col("_f.error"))).drop("_f", "_raw", "_all", "_s", "_js")
 
 
 def traversal(name: Column) -> Column:
@@ -145,6 +160,12 @@ def _gap(stage: str, missing: Column, said: str) -> Column:
     return F.when(F.coalesce(missing, F.lit(False)), F.array(F.struct(F.lit(stage).alias("stage"), F.lit(said).alias("error")))).otherwise(F.array().cast(ERRORS)).alias("errors")
 
 
+def _told(stage: str, *said: Column) -> Column:
+    """Stages that failed, by what their readers say; null says nothing."""
+    rows = F.array(*[F.when(s.isNotNull(), F.struct(F.lit(stage).alias("stage"), s.alias("error"))) for s in said])
+    return F.filter(rows, lambda r: r.isNotNull()).cast(ERRORS)
+
+
 def archive(df: DataFrame, listings: DataFrame | None = None) -> DataFrame:
     """``listings`` (job_id, name, size, encrypted, is_dir): entries that an archiver listed, for formats that aren't read here."""
     kids = children(df)
@@ -156,6 +177,7 @@ def archive(df: DataFrame, listings: DataFrame | None = None) -> DataFrame:
         df = df.join(told, "job_id", "left").withColumn("_e", F.coalesce("_e", "_told")).drop("_told")
     # A compressed file alone has one member and no listing.
     df = df.withColumn("errors", _gap("static", F.col("_e").isNull() & F.col("children").isNull(), "the archive could not be listed")).withColumn("_e", F.coalesce("_e", F.array().cast(B.ENTRIES)))
+    df = df.withColumn("errors", F.concat("errors", _told("jar", F.col("_j.error"))))
     facts = listing_facts(F.col("_e"), F.col("file.family"))
     depth, _, _ = child_facts(F.col("children"))
     return df.withColumn("static", _static(engine=F.lit("archive"), **facts, children=F.col("children"), max_depth=depth, jar=jar(F.col("_j.names"), F.col("_j.manifest")))).drop("_e", "_j", "children")
@@ -171,7 +193,8 @@ def relationships(rels: Column) -> Column:
 def office(df: DataFrame) -> DataFrame:
     raw = F.substring("content", 1, B.OFFICE_BYTES)
     c = F.col("content")
-    df = df.withColumn("_m", B.vba_macros(c)).withColumn("_r", B.package_rels(c)).withColumn("_p", B.embedded_executables(c)).withColumn("_x", B.xlm_sheets(F.when(F.col("file.family").isin("ole", "ole_office"), c))).withColumn("_n", B.archive_entries(F.when(F.col("file.family").like("ooxml%"), c))).withColumn("_l", X.latin1(raw))
+    df = df.withColumn("_v", B.vba_macros(c)).withColumn("_q", B.package_rels(c))
+    df = df.withColumn("_m", F.col("_v.macros")).withColumn("_r", F.col("_q.rels")).withColumn("_p", B.embedded_executables(c)).withColumn("_x", B.xlm_sheets(F.when(F.col("file.family").isin("ole", "ole_office"), c))).withColumn("_n", B.archive_entries(F.when(F.col("file.family").like("ooxml%"), c))).withColumn("_l", X.latin1(raw))
     code = F.array_join(F.transform("_m", lambda m: m["code"]), "\n")
     df = df.withColumn("_c", code).withColumn("_ext", relationships(F.col("_r")))
     code, ext, n = F.col("_c"), F.col("_ext"), F.coalesce(F.col("_n"), F.array().cast(B.ENTRIES))
@@ -191,7 +214,7 @@ def office(df: DataFrame) -> DataFrame:
         ),
     )
     xlm = (F.col("file.family").isin("ole_office", "ooxml_excel") & F.col("_l").rlike(r"(?i)Excel 4\.0|xlm(?:macro|sheet)|macrosheets/")) | (F.size("_x") > 0)
-    return df.withColumn("static", _static(engine=F.lit("office"), vba=vba, package=package, xlm_biff8_sheets=F.col("_x"), xlm_macros_indicated=xlm, embedded_executables=F.col("_p"), file_iocs=X.iocs(F.col("_l")))).withColumn("errors", _gap("static", F.col("file.family").like("ooxml%") & F.col("_n").isNull(), "the package could not be read")).drop("_m", "_r", "_p", "_x", "_n", "_l", "_c", "_ext", "_k")
+    return df.withColumn("static", _static(engine=F.lit("office"), vba=vba, package=package, xlm_biff8_sheets=F.col("_x"), xlm_macros_indicated=xlm, embedded_executables=F.col("_p"), file_iocs=X.iocs(F.col("_l")))).withColumn("errors", _gap("static", F.col("file.family").like("ooxml%") & F.col("_n").isNull(), "the package could not be read")).withColumn("errors", F.concat("errors", _told("vba", F.col("_v.error")), _told("package", F.col("_q.error")))).drop("_v", "_q", "_m", "_r", "_p", "_x", "_n", "_l", "_c", "_ext", "_k")
 
 
 def program(df: DataFrame, as_of: int | None = None) -> DataFrame:
