@@ -12,6 +12,8 @@ from .operators import jobs, network, report, rules, scoring, static, triage
 from .plans import samples
 from .plans import sql as S
 from .schemas import CHILD, DYNAMIC, FLOW_FIELDS, NETWORK, STATIC, ddl
+from .streaming import flows as stream
+from .streaming import life, places
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -141,6 +143,8 @@ def triage_documents(spark, sf):
 
 # ---- flows
 WINDOW = "INTERVAL 6 HOURS"
+#: Seconds that a job of :func:`job_life` may take.
+LONGEST = 6 * 3600
 
 
 def _flow_jobs(spark, sf):
@@ -182,6 +186,34 @@ def contacted_users(spark, sf):
     return _collected(spark, sf).select("job_id", F.array_join("network.contacted_hosts", ",").alias("hosts"))
 
 
+def _streamed(spark, sf, columns):
+    """The events table as a stream, an hour's delay allowed."""
+    path = f"{sf}/events.parque[t]"  # a pattern, as a stream's plain path must be a folder and a table may be one file
+    return spark.readStream.schema(t(spark, sf, "events").schema).parquet(path).select(*columns).withWatermark("at", "1 hour")
+
+
+def network_stream(spark, sf):
+    """The match of flows with jobs as a join of two streams."""
+    work = places.fresh(spark, "network_stream")
+    jobs = _flow_jobs(spark, sf)
+    jobs.write.parquet(f"{work}/jobs")
+    flows = _streamed(spark, sf, ["event_id", "event_type", F.col("user_id").alias("src"), F.col("ts").cast("timestamp").alias("at")])
+    started = spark.readStream.schema(jobs.schema).parquet(f"{work}/jobs").withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")})
+    found = stream.interval_joined(flows, started.withWatermark("started_at", "1 hour"), WINDOW.removeprefix("INTERVAL "))
+    return stream.finish(found.select("job_id", "event_id", "event_type"), work)
+
+
+def job_life(spark, sf):
+    """A job for each user and day: sign-ups queue it, views start it, purchases and errors end it."""
+    kind = F.col("event_type")
+    event = F.when(kind == "signup", life.QUEUED).when(kind == "view", life.STARTED).when(kind.isin("purchase", "error"), life.FINISHED)
+    job = F.concat_ws("/", "user_id", F.to_date("ts"))
+    columns = [job.alias("job_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), F.when(kind == "error", kind).alias("error"), F.lit(None).cast("string").alias("outcome")]
+    changes = stream.finish(life.stream(_streamed(spark, sf, columns).where("event IS NOT NULL"), LONGEST), places.fresh(spark, "job_life"))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("queued_at", "started_at", "ended_at")]
+    return life.latest(changes).select("job_id", "status", *times)
+
+
 # ---- rules and scores
 def _severities(spark, sf):
     """A job for each order: its lines' severities, 5 to 85, by part."""
@@ -262,7 +294,7 @@ def child_rollup(spark, sf):
     return t(spark, sf, "orders").join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", depth.alias("depth"), runs.alias("runs"), nested.alias("nested"))
 
 
-QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, rule_scores, verdict_levels, confidence, signature_topk, rules_fired, rule_list, page_reports, job_listing, job_retention, child_rollup]
+QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, network_stream, job_life, rule_scores, verdict_levels, confidence, signature_topk, rules_fired, rule_list, page_reports, job_listing, job_retention, child_rollup]
 
 
 def queries() -> dict:

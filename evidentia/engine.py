@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
@@ -62,9 +64,37 @@ class Engine:
     def jobs(self, limit: int = 50) -> DataFrame:
         return J.listing(self.reports().select("job_id", "status", "verdict.level", "verdict.score", "submitted"), limit, "submitted")
 
-    def delete(self, job_id: str, to: str) -> None:
-        """Writes the table without a job to a new place; tables of files can't lose a row where they lie."""
-        self.reports().where(F.col("job_id") != job_id).write.partitionBy("day").parquet(to)
+    def active(self, statuses: DataFrame) -> int:
+        """Jobs that are queued or running; ``statuses`` as :func:`life.batch` and :func:`life.latest` give them."""
+        return J.active(statuses).first()[0]
+
+    def wait_for(self, job_id: str, poll_interval: float = 2.0, max_wait: float = 300) -> Row:
+        """The job's report, once it's stored; TimeoutError if that takes too long."""
+        until = time.monotonic() + max_wait
+        while True:
+            if self._exists() and (found := self.report(job_id).first()):
+                return found
+            if time.monotonic() >= until:
+                raise TimeoutError(f"job {job_id} did not finish within {max_wait}s")
+            time.sleep(min(poll_interval, max(0.0, until - time.monotonic())))
+
+    def _exists(self) -> bool:
+        """Whether a write of reports has ended; the folder alone is there before that."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path, "_SUCCESS")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def delete(self, job_id: str) -> bool:
+        """Removes a job's reports where they lie: only its days' folders are written again, each replaced once it's whole."""
+        found = self.reports()
+        days = [r.day for r in found.where(F.col("job_id") == job_id).select("day").distinct().collect()]  # a few days
+        for day in days:
+            rest = found.where((F.col("day") == F.lit(day)) & (F.col("job_id") != job_id))
+            if rest.isEmpty():
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/day={day}")
+                path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            else:
+                rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+        return bool(days)
 
     def rules(self) -> DataFrame:
         return rules.catalogue(self.spark)

@@ -31,6 +31,11 @@ def statistics(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "completed").alias("passed"), F.count_if(s.isin("failed", "timeout")).alias("failed"), F.count_if(s == "skipped").alias("skipped"))
 
 
+def active(jobs: DataFrame) -> DataFrame:
+    """How many jobs are queued or running."""
+    return jobs.agg(F.count_if(F.col("status").isin("queued", "running")).alias("active_jobs"))
+
+
 def attachments(emails: DataFrame, reports: DataFrame) -> DataFrame:
     """A row for each attachment (email_id, job_id) with its report's level; UNKNOWN where there is none."""
     r = reports.select("job_id", F.col("verdict.level").alias("level"))

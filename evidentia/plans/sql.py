@@ -62,6 +62,17 @@ LEVEL = "CASE WHEN score >= 70 THEN 'malicious' WHEN score >= 35 THEN 'suspiciou
 FLOW_JOBS = "(SELECT user_id AS job_id, min(ts) AS a, min(ts) + INTERVAL 6 HOURS AS z FROM events GROUP BY 1)"
 
 
+#: Jobs of a user and a day: queued, running, ended within six hours, or timed out by the time that is known, an hour before the last event.
+JOB_LIFE = """WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events WHERE event_type <> 'click'),
+e AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS job_id, min(ts) FILTER (event_type = 'signup') AS q, min(ts) FILTER (event_type = 'view') AS s,
+  min(ts) FILTER (event_type IN ('purchase', 'error')) AS f, arg_min(event_type, ts) FILTER (event_type IN ('purchase', 'error')) AS how
+  FROM events WHERE event_type <> 'click' GROUP BY 1),
+d AS (SELECT *, s + INTERVAL 6 HOURS AS z, f IS NOT NULL AND coalesce(f <= s + INTERVAL 6 HOURS, true) AS done FROM e)
+SELECT job_id, CASE WHEN done THEN CASE how WHEN 'error' THEN 'failed' ELSE 'completed' END WHEN z <= now OR f > z THEN 'timeout' WHEN s IS NOT NULL THEN 'running' ELSE 'queued' END AS status,
+  strftime(q, '%Y-%m-%d %H:%M:%S.%f') AS queued_at, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+  strftime(CASE WHEN done THEN f WHEN z <= now OR f > z THEN z END, '%Y-%m-%d %H:%M:%S.%f') AS ended_at FROM d, w"""
+
+
 CAP = 120
 #: Flows of each user's job, numbered by kind; views and anything else are sessions.
 COLLECTED = f"""r AS (SELECT job_id, event_id, event_type, row_number() OVER (PARTITION BY job_id, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END ORDER BY event_id) AS k
@@ -107,6 +118,8 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN textual THEN coal
   CASE WHEN textual THEN coalesce(script || ' script (by content)', 'plain text') ELSE ml END AS label, '.pdf' AS extension, CAST(NULL AS VARCHAR) AS mismatch,
   sha256(text) AS sha256, lower(hex(encode(text))[:64]) AS head_hex FROM f""",
         "flow_window_join": f"SELECT job_id, event_id, event_type FROM events JOIN {FLOW_JOBS} ON user_id = job_id AND ts BETWEEN a AND z",
+        "network_stream": f"SELECT job_id, event_id, event_type FROM events JOIN {FLOW_JOBS} ON user_id = job_id AND ts BETWEEN a AND z",
+        "job_life": JOB_LIFE,
         "rule_scores": f"WITH {SCORES} SELECT l_orderkey, score FROM v",
         "verdict_levels": f"WITH {SCORES} SELECT {LEVEL} AS level, count(*) AS n, min(score) AS low, max(score) AS high FROM v GROUP BY 1",
         "confidence": f"WITH {SCORES}, c(top, strong, confidence) AS (VALUES {conf}) SELECT l_orderkey, confidence FROM v JOIN c USING (top, strong)",

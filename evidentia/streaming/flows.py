@@ -1,4 +1,4 @@
-"""Flow logs as streams: the same match of flows with jobs, with a watermark, and scores in micro-batches."""
+"""Flow logs as streams: the same match of flows with jobs, with watermarks, an exactly-once log, and scores in micro-batches."""
 
 from __future__ import annotations
 
@@ -26,6 +26,45 @@ def matched(flows: DataFrame, jobs: DataFrame) -> DataFrame:
     return flows.join(j, (F.col("src") == F.col("_ip")) & (F.col("at") >= F.col("_from")) & (F.col("at") <= F.col("_to"))).drop("_ip", "_from", "_to")
 
 
+def interval_joined(flows: DataFrame, jobs: DataFrame, longest: str, src: str = "src", at: str = "at") -> DataFrame:
+    """A stream of flows with a stream of jobs; both have watermarks, flows on ``at`` and jobs on ``started_at``.
+
+    No job lasts longer than ``longest``, so a flow waits for its job, and a job for its flows, no longer than that: what lies
+    further behind the watermarks leaves the state. Rows that come later than the watermarks allow don't count.
+    """
+    j = jobs.select("job_id", F.col("worker_ip").alias("_ip"), F.col("started_at").alias("_from"), F.col("finished_at").alias("_to"))
+    inside = (F.col(at) >= F.col("_from")) & (F.col(at) <= F.col("_from") + F.expr(f"INTERVAL {longest}")) & (F.col(at) <= F.col("_to"))
+    return flows.join(j, (F.col(src) == F.col("_ip")) & inside).drop("_ip", "_from", "_to")
+
+
+def write_batch(flows: DataFrame, batch: int, path: str) -> None:
+    """Flow events as JSON lines in the batch's own folder, so a batch that runs again replaces itself."""
+    flows.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch:012d}")
+
+
+def append_log(flows: DataFrame, path: str):
+    """A writer that appends each micro-batch to the log at ``path`` exactly once, given a checkpoint."""
+    return flows.writeStream.foreachBatch(lambda df, n: write_batch(df, n, path))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The flow events of all batches; broken lines are dropped."""
+    return spark.read.schema(ddl(FLOW_FIELDS)).option("mode", "DROPMALFORMED").json(path).drop("batch")
+
+
+def finish(stream: DataFrame, work: str) -> DataFrame:
+    """Runs a stream over all that is there and gives what it wrote, as a table below ``work``."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{work}/out")
+
+
 def counts(flows: DataFrame, window: str = "1 hour") -> DataFrame:
     """Events by source, kind and tumbling window."""
     return flows.groupBy(F.window("at", window).alias("w"), "src", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "src", "kind", "n")
