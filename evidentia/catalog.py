@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .functions import binary as B
+from .functions import tables
 from .functions import text as X
 from .operators import jobs, network, report, rules, scoring, static, triage
 from .plans import samples
@@ -121,6 +122,12 @@ def strings_runs(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(X.distinct(X.found(bytes_of(F.col("text")), r"([\x20-\x7e]{6,})"), 400)).alias("run"))
 
 
+def strings_lateral(spark, sf):
+    """The same through SQL and a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, s.run FROM {d} AS d, LATERAL printable_strings(CAST(text AS BINARY), 400) AS s", d=docs(spark, sf))
+
+
 def deobfuscate(spark, sf):
     """Whole texts as joined literals of 60 characters and as one reversed literal; what ends a literal is replaced."""
     text = F.translate("text", '"\n', "' ")
@@ -234,18 +241,17 @@ def confidence(spark, sf):
     return _severities(spark, sf).select("l_orderkey", scoring.confidence(F.col("sevs")).alias("confidence"))
 
 
-def _judged(spark, sf):
-    """Observations made to order for each order's number, judged by all rules."""
-    obs = t(spark, sf, "orders").select("o_orderkey", *samples.observations("o_orderkey"))
-    return scoring.judge(rules.evaluate(obs))
+def _fired(spark, sf):
+    """The rules that fire on observations made to order for each order's number."""
+    return rules.fired(t(spark, sf, "orders").select("o_orderkey", *samples.observations("o_orderkey")))
 
 
 def rules_fired(spark, sf):
-    return _judged(spark, sf).select("o_orderkey", F.array_join(F.transform("signatures", lambda s: s["id"]), ",").alias("ids"), "score", "level", "confidence")
+    return scoring.judge(_fired(spark, sf), "fired").select("o_orderkey", F.array_join("fired.id", ",").alias("ids"), "score", "level", "confidence")
 
 
 def signature_topk(spark, sf):
-    d = _judged(spark, sf).select("o_orderkey", F.posexplode(F.slice("signatures", 1, 3)).alias("k", "s"))
+    d = _fired(spark, sf).select("o_orderkey", F.posexplode(F.slice("fired", 1, 3)).alias("k", "s"))
     return d.select("o_orderkey", (F.col("k") + 1).cast("bigint").alias("rank"), F.col("s.id").alias("id"), F.col("s.severity").alias("severity"))
 
 
@@ -294,7 +300,7 @@ def child_rollup(spark, sf):
     return t(spark, sf, "orders").join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", depth.alias("depth"), runs.alias("runs"), nested.alias("nested"))
 
 
-QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, network_stream, job_life, rule_scores, verdict_levels, confidence, signature_topk, rules_fired, rule_list, page_reports, job_listing, job_retention, child_rollup]
+QUERIES = [ioc_ips, ioc_emails, ioc_domains, ioc_urls, ioc_rollup_by_lang, ioc_benign_antijoin, text_entropy, longest_line, keyword_hits, keyword_count, is_text, script_family, magic_family, ext_and_flags, url_rules, hashes, defang_text, defang_hosts, strings_runs, strings_lateral, deobfuscate, base64_decode, triage_documents, flow_window_join, flow_distinct_first, flow_split_counts, contacted_users, network_stream, job_life, rule_scores, verdict_levels, confidence, signature_topk, rules_fired, rule_list, page_reports, job_listing, job_retention, child_rollup]
 
 
 def queries() -> dict:

@@ -15,15 +15,26 @@ CAP = 120
 FIELDS = re.findall(r"(\w+):", FLOW_FIELDS)
 
 
-def match(flows: DataFrame, jobs: DataFrame, src: str = "src", ts: str = "ts") -> DataFrame:
+#: Seconds of a bin of time, by which the flows and jobs of one address are parted.
+BIN_SECONDS = 3600
+
+
+def _bin(at: Column, seconds: int) -> Column:
+    return F.floor(F.unix_micros(at) / F.lit(seconds * 1_000_000))
+
+
+def match(flows: DataFrame, jobs: DataFrame, src: str = "src", ts: str = "ts", bin_seconds: int = BIN_SECONDS) -> DataFrame:
     """Flows (src, ts, ...) of jobs (job_id, worker_ip, started_at, finished_at), both ends of the window included.
 
-    The address is the hash key and the window a residual condition, so Spark may broadcast the jobs or shuffle by
-    address; a busy address is split by adaptive execution.
+    The keys are the address and a bin of time: a flow lies in one bin, a job in each that its window touches. So an
+    address that is used over and over, by many jobs, is parted by time, and a flow only meets the jobs of its own bin.
+    Spark may broadcast the jobs or shuffle by the keys.
     """
     j = jobs.select("job_id", F.col("worker_ip").alias("_ip"), F.col("started_at").cast("timestamp").alias("_from"), F.col("finished_at").cast("timestamp").alias("_to"))
-    when = F.col(ts).try_cast("timestamp")
-    return flows.join(j, (F.col(src) == F.col("_ip")) & when.between(F.col("_from"), F.col("_to"))).drop("_ip", "_from", "_to")
+    j = j.where("_from <= _to").withColumn("_bin", F.explode(F.sequence(_bin(F.col("_from"), bin_seconds), _bin(F.col("_to"), bin_seconds))))
+    f = flows.withColumn("_at", F.col(ts).try_cast("timestamp")).withColumn("_of", _bin(F.col("_at"), bin_seconds))
+    met = (F.col(src) == F.col("_ip")) & (F.col("_of") == F.col("_bin")) & F.col("_at").between(F.col("_from"), F.col("_to"))
+    return f.join(j, met).drop("_ip", "_from", "_to", "_bin", "_at", "_of")
 
 
 KINDS = {"dns_queries": ("dns",), "http_requests": ("http", "http_connect"), "tcp_sessions": ("tcp",)}

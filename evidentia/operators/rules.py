@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .. import dims
 from ..functions import text as X
 from ..rule_texts import RULES
 from ..schemas import SIGNATURE
+from .predicates import SHARED, WHEN
 
 STRINGS = "array<string>"
 
@@ -451,26 +453,65 @@ def python_rule(id: str, name: str, severity: int, description: str, fn: Callabl
     return Rule(id, name, severity, description, lambda o: run(F.to_json(F.struct(*[v.alias(k) for k, v in o.items()]))), may_raise=True)
 
 
+def _ranked(rules: list[Rule]) -> list[Rule]:
+    """Strongest first, ties in the order of registration; so nothing is sorted at run time."""
+    return [r for _, r in sorted(enumerate(rules), key=lambda x: (-x[1].severity, x[0]))]
+
+
+_COLUMNS = ("file", "static", "dynamic", "network", "iocs")
+_made: dict[tuple, Column] = {}
+
+
+def _evidence(r: Rule) -> Column:
+    """What a rule says; expressions are made once for each JVM, as making them costs more than judging many rows."""
+    key = (id(SparkContext._gateway), r)
+    if key not in _made:
+        _made[key] = r.fires({k: F.col(k) for k in _COLUMNS})
+    return _made[key]
+
+
+def conditions(obs: DataFrame, rules: list[Rule], into: str) -> DataFrame:
+    """``obs`` plus an array of booleans: which of ``rules`` fire. No evidence is made, but for rules that state no condition."""
+    known = [r for r in rules if (r.id, r.fires) in _stated]
+    shared = {k: F.expr(v) for k, v in SHARED.items() if any(k in WHEN[r.id] for r in known)}
+    made = {f"_says{i}": _evidence(r).isNotNull() for i, r in enumerate(rules) if r not in known}
+    parts = [f"coalesce({WHEN[r.id]}, false)" if r in known else f"_says{i}" for i, r in enumerate(rules)]
+    on = F.expr(f"array({', '.join(parts)})") if parts else F.array().cast("array<boolean>")
+    return obs.withColumns(shared | made).withColumn(into, on).drop(*shared, *made)
+
+
+def fired(obs: DataFrame, rules: list[Rule] | None = None, into: str = "fired") -> DataFrame:
+    """``obs`` plus (id, severity) of the fired rules, strongest first, from their conditions alone.
+
+    Enough for scores, levels and the strongest few; texts are joined by id from :func:`catalogue`, evidence is :func:`evaluate`'s.
+    """
+    ranked = _ranked(registry if rules is None else rules)
+    if any(r.may_raise for r in ranked):
+        short = F.transform("_full", lambda s: F.struct(s["id"].alias("id"), s["severity"].alias("severity")))
+        return evaluate(obs, rules, "_full").withColumn(into, short).drop("_full")
+    # No lambda around the conditions: one that was moved into it would be evaluated for each element.
+    rows = ", ".join(f"if(_on[{k}], named_struct('id', '{r.id}', 'severity', {r.severity}), NULL)" for k, r in enumerate(ranked))
+    found = F.expr(f"array_compact(array({rows}))") if ranked else F.array().cast("array<struct<id:string,severity:int>>")
+    return conditions(obs, ranked, "_on").withColumn(into, found).drop("_on")
+
+
 def evaluate(obs: DataFrame, rules: list[Rule] | None = None, into: str = "signatures") -> DataFrame:
     """``obs`` plus the fired rules, strongest first, ties in the order of registration; at most 12 pieces of evidence each."""
-    rules = registry if rules is None else rules
-    columns = {k: F.col(k) for k in ("file", "static", "dynamic", "network", "iocs")}
+    ranked = _ranked(registry if rules is None else rules)
 
-    def fired(r: Rule) -> Column:
-        e = r.fires(columns)
+    def said(k: int, r: Rule) -> Column:
+        e = _evidence(r)
         clean = F.slice(F.filter(e, lambda x: x.isNotNull() & (x != "")), 1, 12)
-        row = F.when(e.isNotNull(), F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), clean.alias("evidence")))
-        if not r.may_raise:
-            return row
-        error = F.struct(F.lit("RULE_ERROR").alias("id"), F.lit(f"rule {r.id} failed").alias("name"), F.lit(0).alias("severity"), F.lit("This detection rule raised an exception and was skipped.").alias("description"), F.slice(clean, 2, 1).alias("evidence"))
-        return F.when(F.coalesce(F.get(e, F.lit(0)) == "\0RULE_ERROR", F.lit(False)), error).otherwise(row)
-
-    # Built-in rules are put in order here, so that nothing is sorted at run time; broken ones, of severity 0, come last.
-    ranked = [r for _, r in sorted(enumerate(rules), key=lambda x: (-x[1].severity, x[0]))]
-    every = F.array_compact(F.array(*[fired(r) for r in ranked])).cast(f"array<{SIGNATURE}>")
-    if any(r.may_raise for r in rules):
+        row = F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), clean.alias("evidence"))
+        if r.may_raise:
+            error = F.struct(F.lit("RULE_ERROR").alias("id"), F.lit(f"rule {r.id} failed").alias("name"), F.lit(0).alias("severity"), F.lit("This detection rule raised an exception and was skipped.").alias("description"), F.slice(clean, 2, 1).alias("evidence"))
+            row = F.when(F.coalesce(F.get(e, F.lit(0)) == "\0RULE_ERROR", F.lit(False)), error).otherwise(row)
+        return F.when(F.expr(f"_on[{k}]"), row)
+
+    every = F.array_compact(F.array(*[said(k, r) for k, r in enumerate(ranked)])).cast(f"array<{SIGNATURE}>")
+    if any(r.may_raise for r in ranked):  # broken rules, of severity 0, come last
         every = F.array_sort(every, lambda x, y: (x["id"] == "RULE_ERROR").cast("int") - (y["id"] == "RULE_ERROR").cast("int"))
-    return obs.withColumn(into, every)
+    return conditions(obs, ranked, "_on").withColumn(into, every).drop("_on")
 
 
 def catalogue(spark, rules: list[Rule] | None = None) -> DataFrame:
@@ -480,3 +521,5 @@ def catalogue(spark, rules: list[Rule] | None = None) -> DataFrame:
 
 
 assert [r.id for r in registry] == [r[0] for r in RULES]
+#: Built-in rules whose conditions are stated; one that was put in their place has its own.
+_stated = {(r.id, r.fires) for r in registry if r.id in WHEN}

@@ -85,6 +85,8 @@ v AS (SELECT o_orderkey, coalesce(ids, '') AS ids, CAST(coalesce(round_even(roun
 
 
 def oracles() -> dict[str, str]:
+    strings = rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1)) AS v, generate_subscripts(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1), 1) AS i FROM {DOCS}),
+d AS (SELECT doc_id, v, min(i) AS i FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM d) SELECT doc_id, v AS run FROM r WHERE k <= 400"""
     host = "regexp_extract(coalesce(url, ''), '^https?://([^/?#:]+)', 1)"
     conf = ", ".join(f"({t}, {k}, {confidence_of(t, k)!r}::DOUBLE)" for t in range(0, 101, 5) for k in range(5))
     scripts = [(f"regexp_matches(low, {_q(p)})", f) for f, p in dims.SCRIPT_CONTENT]
@@ -109,8 +111,8 @@ SELECT d.doc_id, CASE WHEN d.text = '' THEN 0.0 ELSE round(e, 3) END AS entropy
         "hashes": f"SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM {DOCS}",
         "defang_text": rf"SELECT doc_id, md5(regexp_replace(text, '\b(\d{{1,3}})\.(\d{{1,3}})\.(\d{{1,3}})\.(\d{{1,3}})\b', '\1[.]\2[.]\3[.]\4', 'g')) AS defanged FROM {DOCS}",
         "defang_hosts": rf"SELECT page_id, CASE WHEN regexp_full_match({host}, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') THEN replace({host}, '.', '[.]') ELSE regexp_replace({host}, '\.([^.]*)$', '[.]\1') END AS host, regexp_replace(coalesce(url, ''), '^http(s?)://', 'hxxp\1://')[:8] || '' || CASE WHEN url IS NULL THEN '' ELSE replace(regexp_extract(regexp_replace(url, '^http(s?)://', 'hxxp\1://')[9:], '^([^/:]*)', 1), '.', '[.]') || regexp_extract(regexp_replace(url, '^http(s?)://', 'hxxp\1://')[9:], '^[^/:]*(.*)$', 1) END AS url FROM pages",
-        "strings_runs": rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1)) AS v, generate_subscripts(regexp_extract_all(text, '([\x20-\x7e]{{6,}})', 1), 1) AS i FROM {DOCS}),
-d AS (SELECT doc_id, v, min(i) AS i FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM d) SELECT doc_id, v AS run FROM r WHERE k <= 400""",
+        "strings_runs": strings,
+        "strings_lateral": strings,
         # Documents as attachments named *.pdf: a signature, else a script by its content, else text; text families never mismatch.
         "triage_documents": rf"""WITH d AS (SELECT doc_id, text, text[:65536] AS head, lower(text[:4096]) AS low, {_magic(0, "text")} AS m, {_magic(1, "text")} AS ml FROM {DOCS}),
 f AS (SELECT *, m = 'unknown' AND length(head) > 0 AND NOT contains(head[:1024], chr(0)) AND {_BYTE_RATIO} > 0.9 AS textual, {_cases(scripts, 'NULL')} AS script FROM d)

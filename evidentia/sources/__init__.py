@@ -38,9 +38,12 @@ def trace_lines(spark: SparkSession, path: str, most: int = TRACE_LINES) -> Data
 
     Files are read by line, wherever they are split, and numbered in the order of their blocks.
     """
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # rising within a block
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("n") <= most)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    # A block is read by one task, in order, so its lines have neighbouring numbers; blocks are few.
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(blocks.withColumn("earlier", earlier), ["file", "block"]).withColumn("n", F.col("earlier") + F.col("at") - F.col("first") + 1).where(F.col("n") <= most)
     return numbered.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("job_id"), F.col("n").alias("line_no"), "line").where("line != ''")
 
 

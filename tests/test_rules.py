@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import report, rules, scoring
+from evidentia.plans import samples
 from evidentia.schemas import OBSERVATIONS
 
 SCHEMA = f"struct<job_id:string,{OBSERVATIONS}>"
@@ -86,3 +87,28 @@ def test_archived_observations_can_be_judged_again(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "obs"))
     one = report.build(again, [r for r in rules.registry if r.id == "FILE_EXT_MISMATCH"]).first()
     assert one.verdict.score == 45 and one.verdict.level == "suspicious"
+
+
+def test_conditions_agree_with_evidence(spark):
+    """A stated condition holds just where the rule has evidence: on observations that fire every rule, on none, and on halves of them."""
+    obs = spark.range(120).select(F.col("id").alias("k"), *samples.observations("id"))
+    hole = lambda c, n: F.when(F.col("k") % n != 0, F.col(c)).alias(c)
+    empty = [F.lit(None).cast(obs.schema[c].dataType).alias(c) for c in rules._COLUMNS]
+    every = obs.union(obs.select("k", hole("file", 2), hole("static", 3), hole("dynamic", 5), hole("network", 7), hole("iocs", 4))).union(obs.limit(1).select("k", *empty))
+    said = [rules._evidence(r).isNotNull().alias(f"e{i}") for i, r in enumerate(rules.registry)]
+    both = rules.conditions(every, rules.registry, "_on").select("_on", *said).collect()
+    assert len(rules.registry) == 51 and len(rules._stated) == 50
+    for i, r in enumerate(rules.registry):
+        assert [x["_on"][i] for x in both] == [x[f"e{i}"] for x in both], r.id
+        assert {x["_on"][i] for x in both} == {True, False}, r.id
+
+
+def test_fired_is_evaluate_without_texts(spark):
+    obs = spark.range(40).select(F.col("id").alias("k"), *samples.observations("id"))
+    loud = rules.python_rule("LOUD", "loud", 99, "d", lambda o: ["x"] if o.get("file") else None)
+    broken = rules.python_rule("BROKEN", "broken", 50, "d", lambda o: 1 // 0)
+    own = rules.Rule("FILE_EXT_MISMATCH", "n", 7, "d", lambda o: F.array(F.lit("always")))  # put in a built-in rule's place
+    for chosen in (None, [], [own], rules.registry[:3], [*rules.registry[:2], loud, broken]):
+        full = rules.evaluate(rules.fired(obs, chosen), chosen).collect()
+        assert all([(s.id, s.severity) for s in r.signatures] == [(s.id, s.severity) for s in r.fired] for r in full)
+    assert all(r.fired[0].id == "LOUD" and r.fired[-1].id == "RULE_ERROR" for r in full)
