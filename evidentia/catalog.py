@@ -256,7 +256,9 @@ def signature_topk(spark, sf):
 
 
 def rule_list(spark, sf):
-    return rules.catalogue(spark).select("id", "name", "severity", "description")
+    """All rules, and for how many orders' observations each fires."""
+    hits = _fired(spark, sf).select(F.explode("fired.id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("orders"))
+    return rules.catalogue(spark).join(hits, "id", "left").select("id", "name", "severity", "description", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 def observed(spark, sf, table="pages"):

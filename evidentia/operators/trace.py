@@ -7,7 +7,7 @@ patterns of the format say; the plain forms (``unlink``, ``chmod``, ``open``) ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -91,32 +91,65 @@ def summarize(lines: DataFrame, launchers: DataFrame | None = None) -> DataFrame
     tool = F.lower(F.regexp_extract(base_name(p["path"]), dims.LOLBIN, 0))
     events = events.withColumn("own", F.when(own, F.struct(p["path"].alias("path"), F.substring(F.array_join(F.transform(p["argv"], quoted), " "), 1, 800).alias("command")))).withColumn("tool", F.when(own & (tool != ""), tool))
 
-    def kept(name: str) -> Column:
-        """Values of a kind in the order of their lines."""
-        rows = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("line_no", F.col(name).alias("v")))))
-        return F.transform(rows, lambda r: r["v"]).alias(name)
-
-    g = events.groupBy("job_id").agg(F.max("line_no").alias("trace_lines"), *[kept(k) for k in ("own", "connect", "unix", "written", "deleted", "chmod", "renamed", "memfd")], F.array_sort(F.collect_set("tool")).alias("lolbins_invoked"))
-    first = lambda c, n: F.slice(F.array_distinct(F.col(c)), 1, n)
-    touched = F.array_sort(F.array_distinct(F.concat("written", F.transform("chmod", lambda c: c["path"]))))
-    persistent = F.filter(F.transform(touched, lambda x: F.struct(x.alias("path"), persistence_meaning(x).alias("meaning"))), lambda x: x["meaning"].isNotNull())
-    return g.select(
+    found = events.select("job_id", "line_no", F.explode(F.filter(F.array(*[_event(k, *v) for k, v in _KINDS.items()], _persistent("written"), _persistent("chmod.path")), lambda e: e["kind"].isNotNull())).alias("e")).select("job_id", "line_no", "e.*")
+    # Kinds that are listed without repeats keep a value's first line; the rest keep each line.
+    line = F.when(~F.col("kind").isin(*DISTINCT), F.col("line_no"))
+    firsts = found.groupBy("job_id", "kind", "v", line.alias("_line")).agg(F.min("line_no").alias("at"))
+    order = [F.when(F.col("kind") == "persistent", F.col("v.a")), F.col("at")]  # those by path, the others by line
+    ranked = firsts.withColumn("_k", F.row_number().over(Window.partitionBy("job_id", "kind").orderBy(*order))).where(F.col("_k") <= max(CAPS.values()))
+    ranked = ranked.where(F.col("_k") <= F.element_at(F.create_map(*[F.lit(x) for kv in CAPS.items() for x in kv]), F.col("kind")))
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("_k", "v")))), lambda r: r["v"]).alias(k)
+    lists = ranked.groupBy("job_id").agg(*map(of, CAPS))
+    totals = events.groupBy("job_id").agg(F.max("line_no").alias("trace_lines"), F.count("own").cast("int").alias("process_count"), F.array_sort(F.collect_set("tool")).alias("lolbins_invoked"))
+    rows = totals.join(lists, "job_id", "left")
+    listed = lambda k, **names: F.coalesce(F.transform(k, lambda v: F.struct(*[v[c].alias(n) for n, c in names.items()])), F.array()).alias(_FIELDS[k])
+    plain = lambda k: F.coalesce(F.transform(k, lambda v: v["a"]), F.array().cast("array<string>")).alias(_FIELDS[k])
+    return rows.select(
         "job_id",
         "trace_lines",
-        F.slice("own", 1, 120).alias("processes"),
-        F.size("own").alias("process_count"),
-        first("written", 200).alias("files_written"),
-        first("deleted", 100).alias("files_deleted"),
-        F.slice("renamed", 1, 60).alias("files_renamed"),
-        F.slice(F.filter("chmod", lambda c: c["makes_executable"]), 1, 60).alias("made_executable"),
-        F.slice("connect", 1, 120).alias("tcp_connects"),
-        first("unix", 40).alias("unix_sockets"),
-        first("memfd", 20).alias("anonymous_executables"),
-        F.slice(persistent, 1, 40).alias("persistence_paths"),
+        listed("own", path="a", command="b"),
+        "process_count",
+        plain("written"),
+        plain("deleted"),
+        listed("renamed", **{"from": "a", "to": "b"}),
+        listed("chmod", path="a", mode="b", makes_executable="f"),
+        listed("connect", ip="a", port="n", failed="f"),
+        plain("unix"),
+        plain("memfd"),
+        listed("persistent", path="a", meaning="b"),
         "lolbins_invoked",
     )
 
 
+#: How many of a kind a report lists; they are ranked and cut before they are gathered, so no row holds more.
+CAPS = {"own": 120, "written": 200, "deleted": 100, "renamed": 60, "chmod": 60, "connect": 120, "unix": 40, "memfd": 20, "persistent": 40}
+DISTINCT = ("written", "deleted", "unix", "memfd", "persistent")
+_FIELDS = {"own": "processes", "written": "files_written", "deleted": "files_deleted", "renamed": "files_renamed", "chmod": "made_executable", "connect": "tcp_connects", "unix": "unix_sockets", "memfd": "anonymous_executables", "persistent": "persistence_paths"}
+#: Of each kind: when there is one, and what its values are, as strings a and b, a number and a flag.
+_KINDS = {
+    "own": ("own IS NOT NULL", "own.path", "own.command", None, None),
+    "written": ("written IS NOT NULL", "written", None, None, None),
+    "deleted": ("deleted IS NOT NULL", "deleted", None, None, None),
+    "renamed": ("renamed IS NOT NULL", "renamed.from", "renamed.to", None, None),
+    "chmod": ("chmod.makes_executable", "chmod.path", "chmod.mode", None, "chmod.makes_executable"),
+    "connect": ("connect IS NOT NULL", "connect.ip", None, "connect.port", "connect.failed"),
+    "unix": ("unix IS NOT NULL", "unix", None, None, None),
+    "memfd": ("memfd IS NOT NULL", "memfd", None, None, None),
+}
+
+
+def _event(kind: str, when: str, a: str, b: str | None, n: str | None, f: str | None) -> Column:
+    values = [(F.col(c) if c else F.lit(None)).cast(t).alias(name) for name, c, t in (("a", a, "string"), ("b", b, "string"), ("n", n, "int"), ("f", f, "boolean"))]
+    return F.struct(F.when(F.expr(when), kind).alias("kind"), F.struct(*values).alias("v"))
+
+
+def _persistent(path: str) -> Column:
+    """A touched path by which something stays on a machine."""
+    meaning = persistence_meaning(F.col(path))
+    none = [F.lit(None).cast("int").alias("n"), F.lit(None).cast("boolean").alias("f")]
+    return F.struct(F.when(meaning.isNotNull(), "persistent").alias("kind"), F.struct(F.col(path).alias("a"), meaning.alias("b"), *none).alias("v"))
+
+
 def dynamic_reason(family: Column, detonate: Column) -> tuple[Column, Column]:
     """(engine, reason) of a script that wasn't executed."""
     needs = F.concat(family, F.lit(" needs a Windows host to execute meaningfully; this image deobfuscates and extracts indicators statically instead of pretending to detonate it"))

@@ -125,7 +125,7 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN textual THEN coal
         "rule_scores": f"WITH {SCORES} SELECT l_orderkey, score FROM v",
         "verdict_levels": f"WITH {SCORES} SELECT {LEVEL} AS level, count(*) AS n, min(score) AS low, max(score) AS high FROM v GROUP BY 1",
         "confidence": f"WITH {SCORES}, c(top, strong, confidence) AS (VALUES {conf}) SELECT l_orderkey, confidence FROM v JOIN c USING (top, strong)",
-        "rule_list": "SELECT * FROM (VALUES " + ", ".join(f"({_q(i)}, {_q(n)}, {s}, {_q(d)})" for i, n, s, d in RULES) + ") AS t(id, name, severity, description)",
+        "rule_list": f"WITH {JUDGED}, n AS (SELECT id, count(*) AS orders FROM s GROUP BY 1) SELECT id, name, severity, description, coalesce(orders, 0) AS orders FROM (VALUES " + ", ".join(f"({_q(i)}, {_q(n)}, {s}, {_q(d)})" for i, n, s, d in RULES) + ") AS t(id, name, severity, description) LEFT JOIN n USING (id)",
         "job_listing": "SELECT o_orderkey AS job_id, o_orderstatus AS status, o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 50",
         "job_retention": "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 24 HOURS GROUP BY 1",
         "child_rollup": "SELECT o_orderkey, CAST(coalesce(max(l_linenumber), 0) AS INTEGER) AS depth, coalesce(bool_or(l_returnflag = 'R' OR l_linestatus = 'O'), false) AS runs, coalesce(bool_or(l_linenumber >= 2 AND (l_returnflag = 'R' OR l_linestatus = 'O')), false) AS nested FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",

@@ -143,3 +143,81 @@ def make_ole(streams, seed=0, loop=False):
     head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIII", 0, fats, first["dir"], 0, 4096)
     head += struct.pack("<IIII", first["minifat"], -(-len(mini_fat) // 128), 0xFFFFFFFE, 0) + struct.pack("<109I", *tables, *[0xFFFFFFFF] * (109 - fats))
     return head + b"".join(sectors[i] for i in range(len(sectors)))
+
+
+def make_iso(files, joliet=False, loop=False):
+    """An ISO 9660 image of {path: bytes}; the last file lies in two pieces; with ``loop`` the first folder holds the root."""
+    coding = "utf-16-be" if joliet else "latin-1"
+    folders = {""} | {"/".join(p.split("/")[:i]) for p in files for i in range(1, p.count("/") + 1)}
+    spot, at = {}, 20
+    for f in sorted(folders):
+        spot[f], at = at, at + 2
+    for p, data in files.items():
+        spot[p], at = at, at + max(1, -(-len(data) // 2048)) + 1
+    body = bytearray(at * 2048)
+
+    def record(name, where, size, flags):
+        raw = name if isinstance(name, bytes) else name.encode(coding)
+        out = bytearray(33 + len(raw) + (len(raw) + 1) % 2)
+        out[0] = len(out)
+        struct.pack_into("<I", out, 2, where)
+        struct.pack_into("<I", out, 10, size)
+        out[25], out[32] = flags, len(raw)
+        out[33 : 33 + len(raw)] = raw
+        return bytes(out)
+
+    for f in folders:
+        inside = [record(b"\0", spot[f], 4096, 2), record(b"\1", spot[""], 4096, 2)]
+        for name in sorted(folders | set(files)):
+            if name and name.rpartition("/")[0] == f:
+                leaf = name.rpartition("/")[2]
+                if name in folders:
+                    inside.append(record(leaf, spot[name], 4096, 2))
+                elif name == list(files)[-1]:
+                    inside += [record(leaf + ";1", spot[name], 2048, 0x80), record(leaf + ";1", spot[name] + 1, len(files[name]) - 2048, 0)]
+                else:
+                    inside.append(record(leaf + ";1", spot[name], len(files[name]), 0))
+        if loop and f:
+            inside.append(record("again", spot[""], 4096, 2))
+        sector, used = bytearray(4096), 0
+        for r in inside:
+            used = used if used % 2048 + len(r) <= 2048 else 2048
+            sector[used : used + len(r)] = r
+            used += len(r)
+        body[spot[f] * 2048 : spot[f] * 2048 + 4096] = sector
+    for p, data in files.items():
+        body[spot[p] * 2048 : spot[p] * 2048 + len(data)] = data
+    for n, kind in enumerate([1, 2] if joliet else [1]):
+        head = bytearray(2048)
+        head[0], head[1:6] = kind, b"CD001"
+        if kind == 2:
+            head[88:91] = b"%/E"
+        if kind == 2 or not joliet:
+            head[156 : 156 + 34] = record(b"\0", spot[""], 4096, 2)
+        body[(16 + n) * 2048 : (17 + n) * 2048] = head
+    body[18 * 2048 : 18 * 2048 + 7] = b"\xffCD001\1"
+    return bytes(body)
+
+
+def make_cab(files, packed=True, spare=b""):
+    """A cabinet of {name: bytes} in one folder, in blocks of 32 KiB that share a window."""
+    plain, blocks, last = b"".join(files.values()), [], b""
+    for i in range(0, len(plain), 32768):
+        part = plain[i : i + 32768]
+        if packed:
+            z = zlib.compressobj(9, zlib.DEFLATED, -15, zdict=last) if last else zlib.compressobj(9, zlib.DEFLATED, -15)
+            raw = b"CK" + z.compress(part) + z.flush()
+        else:
+            raw = part
+        last = (last + part)[-32768:]
+        blocks.append(struct.pack("<IHH", 0, len(raw), len(part)) + spare + raw)
+    head = 36 + (4 + len(spare) if spare else 0)
+    rows, start = b"", 0
+    for name, data in files.items():
+        utf = not name.isascii()
+        rows += struct.pack("<IIHHHH", len(data), start, 0, 0, 0, 0x80 if utf else 0x20) + name.encode() + b"\0"
+        start += len(data)
+    first = head + 8 + len(spare)
+    out = b"MSCF" + struct.pack("<IIIIIBBHHHHH", 0, 0, 0, first, 0, 3, 1, 1, len(files), 4 if spare else 0, 1, 0)
+    out += struct.pack("<HBB", len(spare), len(spare), len(spare)) + spare if spare else b""
+    return out + struct.pack("<IHH", first + len(rows), len(blocks), int(packed)) + spare + rows + b"".join(blocks)

@@ -8,8 +8,8 @@ import pytest
 
 from evidentia.engine import Engine
 from evidentia.functions import binary as B
-from evidentia.functions import ole, pdf
-from tests.made_files import make_ole, make_pdf, pdf_text, vba_dir, vba_packed
+from evidentia.functions import images, ole, pdf
+from tests.made_files import make_cab, make_iso, make_ole, make_pdf, pdf_text, vba_dir, vba_packed
 
 ACTION = {"/S": "/Launch", "/F": b"tool (x).exe", "/Next": (8,)}
 OBJECTS = {
@@ -151,3 +151,30 @@ def test_formats_through_the_engine_with_gaps_as_data(spark, tmp_path):
     s = got["pdf"].static
     assert s.structure.pages == 3 and s.javascript_present and [f.name for f in s.structure.embedded_files] == ["a.exe", "ß.txt"] and "http://page.example/a" in s.file_iocs.urls
     assert [m.stream for m in got["doc"].static.vba.macros] == ["Macros/VBA/Mod1", "Macros/VBA/Big"] and got["doc"].static.vba.auto_exec
+
+
+BOX = {"setup.exe": b"MZ" + bytes(70_000), "docs/readme.txt": b"hello", "docs/deep/ünï.bin": bytes(range(256)) * 300, "empty": b"", "last.dat": b"0123456789" * 400}
+
+
+@pytest.mark.parametrize("joliet", [False, True])
+def test_disc_images_list_and_hold_what_was_put_in(joliet):
+    data = make_iso(BOX, joliet)
+    assert {e["name"]: e["size"] for e in B.image_entries(data)} == {k: len(v) for k, v in BOX.items()} | {"docs/": 0, "docs/deep/": 0}
+    assert {m["name"]: m["content"] for m in B.members(data)} == BOX
+    looped = B.image_entries(make_iso(BOX, joliet, loop=True))
+    assert len(looped) == 5 + 2 + 2
+    for cut in range(0, len(data), 5000):
+        B.members(data[:cut])
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("spare", [b"", b"reserved"])
+def test_cabinets_list_and_hold_what_was_put_in(packed, spare):
+    data = make_cab(BOX, packed, spare)
+    assert {e["name"]: e["size"] for e in B.image_entries(data)} == {k: len(v) for k, v in BOX.items()}
+    assert {m["name"]: m["content"] for m in B.members(data)} == BOX
+    with pytest.raises(images.Broken):
+        images.Cabinet(data).read(images.Cabinet(data).entries[0], 1000)  # beyond the budget
+    for cut in range(0, len(data), 3000):
+        B.members(data[:cut])
+    assert [n for n, _ in images.members(data, 2, 1 << 30)] == list(BOX)[:2]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia import sources
 from evidentia.functions import binary as B
 from evidentia.functions import tables
-from evidentia.operators import network
+from evidentia.operators import network, trace
 from tests.made_files import make_pdf
 
 
@@ -67,3 +67,21 @@ def test_table_functions_equal_the_dataframe_forms(spark):
     s = files.select("id", F.posexplode(B.pdf_facts(F.col("content"))["streams"])).collect()
     assert got("SELECT id, s.position, s.content FROM files_for_tables, LATERAL pdf_streams(content) AS s") == sorted((r.id, r.pos, r.col.encode("latin-1")) for r in s) and len(s) == 1
     assert [r for r in got("SELECT id, s.position, s.run FROM files_for_tables, LATERAL printable_strings(content, 9) AS s") if r[0] == 4] == [(4, 0, "plain text here"), (4, 1, "other text")]
+
+
+def test_reports_of_traces_are_cut_before_they_are_gathered(spark):
+    """Thousands of events of each kind: first lines of different values, in order, and no more than a report lists."""
+    lines = [f'openat(AT_FDCWD, "/home/u/f{i % 250}", O_WRONLY|O_CREAT, 0644) = 3' for i in range(1000)]
+    lines += [f'unlinkat(AT_FDCWD, "/home/u/d{i // 2}", 0) = 0' for i in range(400)] + [f'renameat(AT_FDCWD, "/home/u/a{i % 3}", AT_FDCWD, "/home/u/b") = 0' for i in range(90)]
+    lines += [f'fchmodat(AT_FDCWD, "/home/u/c{i}", 0{"755" if i % 2 else "644"}) = 0' for i in range(200)] + [f'memfd_create("m{i % 30}", 0) = 3' for i in range(60)]
+    lines += [f'execve("/bin/p{i % 7}", ["p", "{i}"], 0x0) = 0' for i in range(130)] + ['openat(AT_FDCWD, "/etc/cron.d/z", O_WRONLY) = 3', 'fchmodat(AT_FDCWD, "/etc/cron.d/a", 0644) = 0']
+    rows = [(j, i, x) for j in ("a", "b") for i, x in enumerate(lines, 1)]
+    got = trace.summarize(spark.createDataFrame(rows, "job_id string, line_no long, line string")).collect()
+    assert [r.job_id for r in sorted(got)] == ["a", "b"]
+    for r in got:
+        assert r.files_written == [f"/home/u/f{i}" for i in range(200)] and r.files_deleted == [f"/home/u/d{i}" for i in range(100)]
+        assert [(x["from"], x["to"]) for x in r.files_renamed] == [(f"/home/u/a{i % 3}", "/home/u/b") for i in range(60)]
+        assert [(x.path, x.makes_executable) for x in r.made_executable] == [(f"/home/u/c{i}", True) for i in range(1, 121, 2)]
+        assert r.anonymous_executables == [f"m{i}" for i in range(20)] and r.trace_lines == len(lines)
+        assert r.process_count == 130 and [p.path for p in r.processes] == [f"/bin/p{i % 7}" for i in range(120)]
+        assert [p.path for p in r.persistence_paths] == ["/etc/cron.d/a", "/etc/cron.d/z"] and r.tcp_connects == [] and r.unix_sockets == []
