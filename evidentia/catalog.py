@@ -216,7 +216,7 @@ def job_life(spark, sf):
     event = F.when(kind == "signup", life.QUEUED).when(kind == "view", life.STARTED).when(kind.isin("purchase", "error"), life.FINISHED)
     job = F.concat_ws("/", "user_id", F.to_date("ts"))
     columns = [job.alias("job_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), F.when(kind == "error", kind).alias("error"), F.lit(None).cast("string").alias("outcome")]
-    changes = stream.finish(life.stream(_streamed(spark, sf, columns).where("event IS NOT NULL"), LONGEST), places.fresh(spark, "job_life"))
+    changes = stream.finish(life.stream(_streamed(spark, sf, columns).where("event IS NOT NULL"), LONGEST), places.fresh(spark, "job_life"), stream.ROCKS)
     times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("queued_at", "started_at", "ended_at")]
     return life.latest(changes).select("job_id", "status", *times)
 

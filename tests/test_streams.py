@@ -15,7 +15,6 @@ from evidentia.streaming import life
 
 T0 = dt.datetime(2024, 1, 1)
 EVENTS = "job_id string, event string, at timestamp, error string, outcome string"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def at(seconds):
@@ -50,7 +49,7 @@ def test_job_life_in_any_order_equals_batch(spark, tmp_path, seed):
         time.sleep(0.02)
     events += last
     source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("at", "1 hour")
-    changes = stream.finish(life.stream(source), str(tmp_path))
+    changes = stream.finish(life.stream(source), str(tmp_path), stream.ROCKS)
     now = max(e[2] for e in events) - dt.timedelta(hours=1)
     want = life.batch(spark.createDataFrame(events, EVENTS), F.lit(now))
     got = life.latest(changes)
@@ -66,7 +65,7 @@ def test_a_timer_ends_a_job_that_says_no_more(spark, tmp_path):
         written(spark, rows, EVENTS, f"{tmp_path}/in")
         time.sleep(0.02)  # files are read in the order of their times
     source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("at", "1 minute")
-    changes = stream.finish(life.stream(source), str(tmp_path)).where("job_id = 'quiet'").orderBy("revision").collect()
+    changes = stream.finish(life.stream(source), str(tmp_path), stream.ROCKS).where("job_id = 'quiet'").orderBy("revision").collect()
     assert [r.status for r in changes] == ["running", "timeout"] and changes[1].ended_at == at(10 + life.LIMIT)
 
 
