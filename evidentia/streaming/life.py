@@ -16,8 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,13 +25,13 @@ LIMIT = 180 + 60
 QUEUED, STARTED, FINISHED = "queued", "started", "finished"
 ACTIVE = ("queued", "running")
 STATUS = "job_id string, status string, queued_at timestamp, started_at timestamp, ended_at timestamp, revision long"
-_STATE = "queued_at timestamp, started_at timestamp, finished_at timestamp, outcome string, status string, ended_at timestamp, revision long"
+_STATE = "queued_at long, started_at long, finished_at long, outcome string, status string, ended_at long, revision long"
 _FIELDS = [c.split()[0] for c in _STATE.split(", ")]
 _SHOWN = ("status", "queued_at", "started_at", "ended_at")
 
 
 def outcome(error: Column, told: Column) -> Column:
-    return F.when(F.coalesce(error, F.lit("")) != "", "failed").otherwise(F.coalesce(told, F.lit("completed")))
+    return F.when(F.coalesce(error, F.lit("")) != "", "failed").otherwise(F.coalesce(F.nullif(told, F.lit("")), F.lit("completed")))
 
 
 def batch(events: DataFrame, now: Column, limit: int = LIMIT) -> DataFrame:
@@ -48,63 +47,60 @@ def batch(events: DataFrame, now: Column, limit: int = LIMIT) -> DataFrame:
 
 
 class Life(StatefulProcessor):
-    """State of one job; see the module's text."""
+    """State of one job; see the module's text. Times are microseconds since 1970, so no machine's time zone enters."""
 
     def __init__(self, limit: int = LIMIT):
-        self.limit = pd.Timedelta(seconds=limit)
+        self.limit = limit * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("life", _STATE)
 
-    def _status(self, s: dict, now: pd.Timestamp | None) -> tuple[str, pd.Timestamp | None]:
+    def _status(self, s: dict, now: int) -> tuple[str, int | None]:
         deadline = None if s["started_at"] is None else s["started_at"] + self.limit
         if s["finished_at"] is not None and (deadline is None or s["finished_at"] <= deadline):
             return s["outcome"], s["finished_at"]
-        if deadline is not None and (s["finished_at"] is not None or (now is not None and deadline <= now)):
+        if deadline is not None and (s["finished_at"] is not None or deadline <= now):
             return "timeout", deadline
         return ("queued" if deadline is None else "running"), None
 
     def _known(self) -> dict:
-        values = self.state.get() if self.state.exists() else (None,) * (len(_FIELDS) - 1) + (0,)
-        return {k: None if v is None or v is pd.NaT else pd.Timestamp(v) if k.endswith("_at") else v for k, v in zip(_FIELDS, values)}
+        found = self.state.get()
+        return dict(zip(_FIELDS, (None,) * (len(_FIELDS) - 1) + (0,) if found is None else found))
 
-    def _told(self, key: tuple, s: dict, said: dict, now: pd.Timestamp) -> Iterator[pd.DataFrame]:
+    def _told(self, key: tuple, s: dict, said: dict, now: int) -> Iterator[Row]:
         """A row, if what would be shown has changed; the state is written in any case."""
         s["status"], s["ended_at"] = self._status(s, now)
         changed = any(s[k] != said[k] for k in _SHOWN)
         s["revision"] += changed
-        self.state.update(tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in (s[k] for k in _FIELDS)))
+        self.state.update(tuple(s[k] for k in _FIELDS))
         if changed:
-            row = pd.DataFrame({"job_id": [key[0]], **{k: [s[k]] for k in _SHOWN}, "revision": [s["revision"]]})
-            yield row.astype({k: "datetime64[us]" for k in _SHOWN[1:]})
+            yield Row(job_id=key[0], **{k: s[k] for k in _SHOWN}, revision=s["revision"])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         s = self._known()
         said = dict(s)
-        for found in rows:
-            for event, at, error, told in zip(found["event"], found["at"], found["error"], found["outcome"]):
-                at = pd.Timestamp(at)
-                if event in (QUEUED, STARTED):
-                    s[f"{event}_at"] = at if s[f"{event}_at"] is None else min(at, s[f"{event}_at"])
-                elif event == FINISHED:
-                    how = "failed" if isinstance(error, str) and error else told if isinstance(told, str) else "completed"
-                    if s["finished_at"] is None or (at, how) < (s["finished_at"], s["outcome"]):
-                        s["finished_at"], s["outcome"] = at, how
+        for r in rows:
+            if r.event in (QUEUED, STARTED):
+                s[f"{r.event}_at"] = r.us if s[f"{r.event}_at"] is None else min(r.us, s[f"{r.event}_at"])
+            elif r.event == FINISHED:
+                how = "failed" if r.error else r.outcome or "completed"
+                if s["finished_at"] is None or (r.us, how) < (s["finished_at"], s["outcome"]):
+                    s["finished_at"], s["outcome"] = r.us, how
         before, after = self._timer(said), self._timer(s)
         if before != after:
             if before is not None:
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(after)
-        yield from self._told(key, s, said, pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"))
+        yield from self._told(key, s, said, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def _timer(self, s: dict) -> int | None:
         """The deadline, in milliseconds; of a job that ended with no start, when its state may go."""
         at = s["started_at"] if s["started_at"] is not None else s["finished_at"]
-        return None if at is None else -(-(at + self.limit).value // 1_000_000)
+        return None if at is None else -(-(at + self.limit) // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = self._known()
-        yield from self._told(key, s, dict(s), pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))
+        yield from self._told(key, s, dict(s), expiredTimerInfo.getExpiryTimeInMs() * 1000)
         self.state.clear()
 
     def close(self) -> None:
@@ -113,7 +109,9 @@ class Life(StatefulProcessor):
 
 def stream(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Rows (:data:`STATUS`) of status changes of a stream of events that has a watermark on ``at``."""
-    return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=Life(limit), outputStructType=STATUS, outputMode="Append", timeMode="EventTime")
+    read = events.select("job_id", "event", "at", F.unix_micros("at").alias("us"), "error", "outcome")
+    told = read.groupBy("job_id").transformWithState(statefulProcessor=Life(limit), outputStructType=STATUS.replace("timestamp", "long"), outputMode="Append", timeMode="EventTime")
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("queued_at", "started_at", "ended_at")})
 
 
 def latest(changes: DataFrame) -> DataFrame:
