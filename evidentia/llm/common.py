@@ -60,6 +60,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, or with underscores in front until no column has it; column names don't tell case apart."""
     taken = {c.lower() for c in columns}

@@ -7,9 +7,10 @@ counts when at least ``MATCH_PERCENT`` of ``CONTEXT`` aligned words are equal (o
 document has fewer there, but not below ``SPAN``, or the whole item if it is shorter). Every overlap that counts is hit:
 see ``MASKS``. Words are lower-cased (A-Z) and lose punctuation at either end.
 
-Documents' windows are made, hashed and looked up in one pass where the documents lie: they are never shuffled or stored, and only
-the few that hit take words along. The benchmark's side is broadcast, after its rows are counted: a row has ``REACH`` words
-at most, and where there are more than ``BLOCK_HASHES`` rows they are dealt into blocks of about as many, each with a pass of its own.
+Documents' windows are made, hashed and looked up in one pass where the documents lie, however large the benchmark is. The benchmark's
+side is broadcast while it has ``BLOCK_HASHES`` rows at most (counted; a row has ``REACH`` words at most). Beyond that a bit map of its
+hashes is broadcast, of a size that doesn't grow, and the windows that pass it meet the benchmark's rows in a shuffle, where hashes
+with many rows on either side are split into a grid. Each document that says what many items say is given with each of them.
 
 Items of fewer than ``SPAN`` words are matched as a whole, by lighter masks if they have ``MIN_TOLERANT`` words, and word for
 word if they have fewer: every document that says a one-word item holds it. Null and empty texts match nothing. Rows of one id
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, let, lower_ascii, table, words
+from .common import LOWER, UPPER, cut, let, lower_ascii, numbered, table, unused, words
 
 SPAN = 12
 #: Kept positions of each mask, fixed so that both sides hash alike. Of 12 or 13 aligned words two may differ. Four blocks of
@@ -35,9 +36,11 @@ MIN_TOLERANT = 8
 WHOLE = tuple(tuple(range(n)) for n in range(1, MIN_TOLERANT))
 CONTEXT = 13
 MATCH_PERCENT = 80
-#: Words around a hit that are compared, and rows of the benchmark that are broadcast at once.
+#: Words around a hit that are compared, and rows of the benchmark that are broadcast at most.
 REACH = 3 * CONTEXT
 BLOCK_HASHES = 50_000
+#: Rows of one hash that a task of the shuffled join holds of either side, and bits of a hash that choose a row of the sieve.
+HOT_ROWS, SIEVE = 20_000, 20
 TRIM = ".,;:!?\"'()"
 
 
@@ -97,30 +100,61 @@ def _overlap(hit: Column) -> Column:
     return let(same, best)
 
 
-def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(doc, item, o) of the hits (doc, item, dw, iw, p, q) whose overlap counts."""
+    # Exploded, not filtered: a filter would move into the join, which then wouldn't be compiled together with the windows.
+    counts = lambda o: (o["aligned"] >= F.least(F.lit(SPAN), F.size("iw"))) & (100 * o["equal"] >= MATCH_PERCENT * o["aligned"])
+    return pairs.select("doc", "item", F.explode(F.filter(F.array(_overlap(F.struct("dw", "iw", "p", "q"))), counts)).alias("o"))
+
+
+def _sieved(windows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The windows whose hash may be one of ``hashes``: none that is gets lost. What is broadcast is a bit map of ``1 << SIEVE``
+    rows of 64 bits at most, however large the benchmark is."""
+    place, bit = F.shiftrightunsigned("hash", 64 - SIEVE), F.shiftrightunsigned("hash", 58 - SIEVE).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = cut(hashes.select(place.alias("place"), one.alias("one")).groupBy("place").agg(F.bit_or("one").alias("bits")))
+    return windows.withColumn("place", place).join(F.broadcast(bits), "place").where(F.bit_get("bits", bit) == 1).drop("place", "bits")
+
+
+def _dealt(seen: DataFrame, hashes: DataFrame, hot_rows: int) -> DataFrame:
+    """``seen`` joined with ``hashes`` by a shuffle. A hash with more than ``hot_rows`` rows on a side becomes a grid: each side is
+    dealt over its own parts and repeated along the other's, so each pair meets once and no task holds a hash's rows."""
+    seen = numbered(seen, "n")
+    rows_of = lambda t, name: t.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(name))
+    grid = cut(rows_of(hashes, "down").join(rows_of(seen, "across"), "hash").where("down > 1 OR across > 1"))
+    grid = F.broadcast(grid) if grid.count() <= BLOCK_HASHES else grid.hint("merge")
+
+    def placed(t: DataFrame, mine: str, other: str, by: Column) -> DataFrame:
+        own = F.pmod(by, F.coalesce(mine, F.lit(1))).cast("int")
+        along = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return t.join(grid, "hash", "left").withColumn(f"{mine}_at", own).withColumn(f"{other}_at", along).drop("down", "across")
+
+    left, right = placed(seen, "across", "down", F.xxhash64("n")), placed(hashes, "down", "across", F.xxhash64("item", "q", "iw"))
+    return left.hint("shuffle_hash").join(right, ["hash", "down_at", "across_at"])
+
+
+def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", block_hashes: int = BLOCK_HASHES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc, item_id, hits, equal, aligned): documents with the benchmark items that they hold, and the best overlap."""
     hashes, masks = item_hashes(items)
-    d = docs.select(F.col(doc).alias("doc"), hashed_words(F.col(text)).alias("w"))
-    blocks = max(1, -(-hashes.count() // block_hashes))
+    windows = _windows(docs.select(F.col(doc).alias("doc"), hashed_words(F.col(text)).alias("w")), masks or [0], "doc")
     start, words_there = _around("p")
-    found = None
-    for k in range(blocks):
-        block = hashes if blocks == 1 else hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)  # about block_hashes rows, as counted
-        seen = _windows(d, masks or [0], "doc").join(F.broadcast(block), "hash").select("doc", "item", "q", "iw", (F.col("p") - start).alias("p"), words_there.alias("dw"))
-        # Exploded, not filtered: a filter would move into the join, which then wouldn't be compiled together with the windows.
-        counts = lambda o: (o["aligned"] >= F.least(F.lit(SPAN), F.size("iw"))) & (100 * o["equal"] >= MATCH_PERCENT * o["aligned"])
-        part = seen.select("doc", "item", F.explode(F.filter(F.array(_overlap(F.struct("dw", "iw", "p", "q"))), counts)).alias("o"))
-        part = part if blocks == 1 else cut(part)
-        found = part if found is None else found.union(part)
+    around = [(F.col("p") - start).alias("p"), words_there.alias("dw")]
+    if hashes.count() <= block_hashes:
+        found = _verified(windows.join(F.broadcast(hashes), "hash").select("doc", "item", "q", "iw", *around))
+    else:
+        found = _verified(_dealt(_sieved(windows, hashes).select("doc", "hash", *around), hashes, hot_rows))
     best = F.max(F.struct("o.equal", "o.aligned"))
     return found.groupBy("doc", F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"), best.alias("o")).select("doc", "item_id", "hits", "o.equal", "o.aligned")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark passage, decided by their text, as ids may be null or repeat."""
-    said = lambda d: F.sha2(d[text].cast("binary"), 256)
-    bad = matches(docs.select(said(docs).alias("_bad"), F.col(text)), items, "_bad", text).select(F.col("doc").alias("_bad")).distinct()
-    return docs.join(bad, said(docs) == F.col("_bad"), "left_anti")
+    """Rows of ``docs`` that hold no benchmark passage, decided by their text, as ids may be null or repeat.
+
+    Other columns may have any names."""
+    said = F.sha2(F.col(text).cast("binary"), 256)
+    name = unused("said", docs.columns)
+    bad = matches(docs.select(said.alias("said"), F.col(text).alias("text")), items, "said").select(F.col("doc").alias(name)).distinct()
+    return docs.join(bad, said == F.col(name), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import named, table
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = 1
@@ -165,7 +165,7 @@ def _added(df: DataFrame, new: dict[str, str], run, *read: Column) -> DataFrame:
     keep = [c for c in df.columns if c.lower() not in new]
     ins = [c.alias(f"_{i}") for i, c in enumerate(read)]
     types = [pa.int64() if t == "long" else pa.string() for t in new.values()]
-    kept = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *ins)
+    kept = df.select(F.struct(*[named(c).alias(c) for c in keep]).alias("kept"), *ins)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, named, table
 
 UND = "und"
 SAMPLE_TEXTS, DICT_BYTES = 200, 64_000
@@ -94,7 +94,7 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score and rejected; columns of those names are replaced."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], "lang_pred string", "score double", "rejected boolean"])
+    schema = ", ".join([*["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in docs.select(*map(named, keep)).schema], "lang_pred string", "score double", "rejected boolean"])
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             extra = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*map(named, keep)).mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

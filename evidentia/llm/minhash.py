@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, numbered, table, unused
+from .common import cut, forget, named, numbered, table, unused
 
 SHINGLE, PERCENT = 5, 80
 PERMS, ROWS = 52, 4
@@ -260,7 +260,7 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     found = grouped(rows.select(F.col(row).alias("did"), F.col(doc).alias("doc"), F.col(text).alias("text")), width, percent)
     kept = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc", "did")).alias("first")).select(F.col("first.did").alias(row))
     bare = rows.join(found.where("n_shingles = 0").select(F.col("did").alias(row)), row, "left_semi").groupBy(doc, text).agg(F.min(row).alias(row))
-    return rows.join(kept.union(bare.select(row)), row, "left_semi").select(*docs.columns)
+    return rows.join(kept.union(bare.select(row)), row, "left_semi").select(*[named(c) for c in docs.columns])
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

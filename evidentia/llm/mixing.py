@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, named, table, words
 
 SEED = 17
 MAX_EPOCHS = 2
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, tokens: Column, domain: Column, percent: int = BUDGET_P
     fits = F.col("_before") + F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_at")) <= F.col("_rest")
     last = ranked.withColumn("_fits", fits).where("_fits").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
     table = cut(leaves.join(ends.drop("_before", "_rows"), list(LEVELS), "left").join(last, list(LEVELS), "left"))
-    rows = ordered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys), table)
+    rows = ordered(docs.select(F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"), *keys), table)
     more = F.col("_end").isNull() | (head(digits) < F.col("_end")) | ((head(digits) == F.col("_end")) & F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)))
     return rows.withColumn("mix_copies", F.col("epochs") + more.cast("long")).where("mix_copies > 0").select("row", *LEVELS, "tokens", "budget", "mix_copies")
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import named, table
 
 LENGTH, GRAM = 50, 20
 #: Bytes of documents in a chunk, of all documents for each range of triggers, and starts that are parsed at once.
@@ -389,7 +389,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     body = F.col(f"`{text}`")
     total = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
     chunks, ranges = total // chunk_bytes + 1, total // range_bytes + 1
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text and c.lower() not in NEW])
+    own = F.struct(*[named(c).alias(c) for c in df.columns if c != text and c.lower() not in NEW])
     digest = F.xxhash64(body)
     doc = F.col(f"`{key}`").cast("long")
     x = df.select(F.pmod(F.xxhash64(doc, digest), F.lit(chunks)).alias("_chunk"), doc.alias("_d"), digest.alias("_t"), body.cast("binary").alias("_text"), own.alias("_row")).groupBy("_chunk")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget, table
+from .common import cut, forget, named, table
 
 SHARDS = 24
 PROBES = 16
@@ -156,7 +156,7 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "d
     """``df`` plus ``shard`` and ``slot``; columns of ``df`` with those names are replaced."""
     made = keys_of(F.col(text), F.col(key))
     keys = cut(df.select(*made))
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
+    own = F.struct(*[named(c).alias(c) for c in df.columns if c.lower() not in ("shard", "slot")])
     out = placed(df.select(own.alias("row"), *made), keys, shards, cell_bytes).select("row.*", "shard", "slot")
     forget(keys)
     return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, named, table
 
 BITS, FACTORS = 18, 8
 TRAIN_ROWS = 20_000
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` plus ``score`` and ``predicted``; columns of those names are replaced."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], "score double", "predicted int"])
+    schema = ", ".join([*["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in docs.select(*map(named, keep)).schema], "score double", "predicted int"])
     held = docs.sparkSession.sparkContext.broadcast(machine)  # 2^BITS * (FACTORS + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
             s = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*map(named, keep)).mapInArrow(run, schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

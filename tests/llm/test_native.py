@@ -120,6 +120,37 @@ def test_leaks_survive_substitutions(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(empty_docs(spark), items).count() == 0
 
 
+def test_a_prompt_of_many_items_is_dealt_to_a_grid(spark):
+    """The shuffled join gives what the broadcast one gives, whatever share of either side one hash has."""
+    prompt = prose(13, 40)
+    items = spark.createDataFrame([(i, f"{prompt} {prose(12, 1000 + i)}") for i in range(60)] + [(60, None)], "item_id long, text string")
+    texts = [f"{prose(20, i)} {prompt} {prose(20, 500 + i)}" for i in range(40)] + [prose(60, 900 + i) for i in range(20)] + [None, ""]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    said = lambda **how: Counter(map(tuple, decontaminate.matches(docs, items, **how).collect()))
+    want = said()
+    assert len({x[:2] for x in want}) == len({i if i % 9 else None for i in range(40)}) * 60
+    assert said(block_hashes=10, hot_rows=7) == want == said(block_hashes=10, hot_rows=10_000)
+    hashes, masks = decontaminate.item_hashes(items)
+    assert all(decontaminate._sieved(hashes.select("hash"), hashes).count() == hashes.count() for _ in masks[:1])
+    others = spark.range(20_000).select(F.xxhash64("id").alias("hash"))
+    assert decontaminate._sieved(others, hashes).count() < 100
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    odd = ["_bad", "a.b", "row", "tokens", "Shard", "said", "doc", "item", "`x`", "_id", "domain", "n", "did"]
+    docs = odd_docs(spark).drop("shard", "score")
+    for k, c in enumerate(odd):
+        docs = docs.withColumn(c, F.lit(k))
+    save(spark.createDataFrame([(0, prose(40, 32))], "item_id long, text string"), tmp_path, "benchmark")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        rows = got.collect()
+        there = [c for c in odd if c != "Shard" or name != "shards"]  # which makes a column of that name
+        assert {*docs.drop("Shard").columns, *there} <= set(got.columns), name
+        if name != "quality_rules":  # which keeps none of these few
+            assert rows and all(r[c] == k for r in rows for k, c in enumerate(odd) if c in there), name
+
+
 def test_every_overlap_that_counts_is_hit(spark):
     """All placements of as many substitutions as verification accepts, in whole items of 8 to 13 words, and a long leaky copy."""
     rows, items = [], []
