@@ -203,23 +203,26 @@ class Gru:
             g["E"][:, k] = np.bincount(x, column, len(self.cls))
         return {k: v / n for k, v in g.items()}, last, float(lp.sum()), n
 
-    def train(self, docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 32, seed: int = 1) -> int:
-        """Passes over whole documents (symbol ids, each with its end); gives the tokens of one pass."""
-        total = sum(map(len, docs))
+    def train(self, docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 32, seed: int = 1, leads: list[int] | None = None) -> int:
+        """Passes over documents (symbol ids, each with its end) or pieces of them; gives the tokens of one pass."""
+        leads = leads or [0] * len(docs)
+        total = sum(map(len, docs)) - sum(leads)
         fit = Adam(self.weights, rate, max(1, epochs * total // (lanes * WINDOW)))
         for k in range(epochs if total else 0):
             order = np.random.default_rng(seed + k).permutation(len(docs))
-            self.learn([docs[i] for i in order], fit, lanes)
+            self.learn([docs[i] for i in order], fit, lanes, [leads[i] for i in order])
         return total
 
-    def learn(self, docs: list[np.ndarray], fit: "Adam", lanes: int) -> None:
-        """One pass over ``docs``."""
-        for x, fresh, y, live, h, *_ in self._windows(docs, lanes, carry := {}):
+    def learn(self, docs: list[np.ndarray], fit: "Adam", lanes: int, leads: list[int] | None = None) -> None:
+        """One pass over ``docs``. The first ``leads`` symbols of each only bring the state to where the rest begins."""
+        for x, fresh, y, live, h, *_ in self._windows(docs, lanes, carry := {}, leads):
             g, carry["h"], _, _ = self._step(x, fresh, y, live, h)
-            fit.step(np.concatenate([g[k].ravel() for k in NAMES]))
+            if live.any():
+                fit.step(np.concatenate([g[k].ravel() for k in NAMES]))
 
-    def _windows(self, docs, lanes, carry):
+    def _windows(self, docs, lanes, carry, leads=None):
         """Windows over packed lanes: inputs, fresh starts, targets, live cells, state, and the document of each cell."""
+        leads = leads or [0] * len(docs)
         heap = [(0, k, []) for k in range(max(1, min(lanes, len(docs))))]
         for i, d in enumerate(docs):
             n, k, own = heap[0]
@@ -229,6 +232,7 @@ class Gru:
         lens = np.array([x[0] for x in heap])
         ys = [np.concatenate([docs[i] for i in x[2]]) for x in heap]
         of = [np.repeat(x[2], [len(docs[i]) for i in x[2]]) for x in heap]
+        told = [np.concatenate([np.arange(len(docs[i])) >= leads[i] for i in x[2]]) for x in heap]
         carry["h"] = np.zeros((HIDDEN, len(heap)), np.float32)
         for start in range(0, int(lens[0]) if len(heap) else 0, SPAN):
             # Lanes are laid side by side for many windows at once; those that have ended drop out, as the longest come first.
@@ -239,12 +243,12 @@ class Gru:
                 a, z = max(start - 1, 0), min(start + rows, int(lens[k]))
                 at = 0 if start else 1
                 y[at : at + z - a, k], d[at : at + z - a, k] = ys[k][a:z], of[k][a:z]
-                live[: z - start, k] = True
+                live[: z - start, k] = told[k][start:z]
             fresh = d[1:] != d[:-1]
             x = np.where(fresh, self.end, y[:-1])
             for at in range(0, rows, WINDOW):
                 now, w = int((lens > start + at).sum()), slice(at, at + WINDOW)
-                yield x[w, :now], fresh[w, :now] & live[w, :now], y[1:][w, :now], live[w, :now], carry["h"][:, :now], d[1:][w, :now]
+                yield x[w, :now], fresh[w, :now] & (d[1:][w, :now] >= 0), y[1:][w, :now], live[w, :now], carry["h"][:, :now], d[1:][w, :now]
 
     def score(self, docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
         """Natural log-probability of each whole document."""

@@ -9,9 +9,10 @@ seen or not, is one of ``2 * SHAPES`` shapes, by its last bytes and whether punc
 shape times (count + 1) / (sum over the shape's words of (count + 1), plus 1 for words never seen). Hence the scores are of
 the whole text over the whole vocabulary, comparable with the base.
 
-Fitting. A bounded warm start on the driver (``WARM_DOCS`` training documents with the smallest seeded hash, at most
-``WARM_TOKENS`` tokens) is followed by a pass over every token of the corpus. Documents become pieces of ``PIECE`` symbols,
-which are dealt by seeded hashes into buckets of about ``BUCKET_TOKENS`` (more once there are ``BUCKETS`` of them). Each bucket
+Fitting. A bounded warm start on the driver (pieces drawn by seeded hashes from about ``WARM_DOCS`` training documents, at most
+``WARM_PIECES`` of them and ``WARM_TOKENS`` tokens) is followed by a pass over every token of the corpus. Documents become pieces of ``PIECE``
+symbols. A piece also takes along the ``LEAD`` symbols before it: they bring the state to where it begins and aren't learned again, so
+only a document's first word is learned as one. Pieces are dealt by seeded hashes into buckets of about ``BUCKET_TOKENS`` (more once there are ``BUCKETS`` of them). Each bucket
 learns from the same start, piece by piece in the order of their hashes and never held whole, and the weights are averaged
 by tokens. So what is learned depends on the corpus, not on how it is partitioned.
 
@@ -37,9 +38,9 @@ from .gru import WINDOW, Adam, Gru
 
 END = b"\n"  # no word holds one
 TOP, SYMBOLS, SHAPES = 150_000, 500, 64
-WARM_DOCS, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 150_000, 3, 6e-3
+WARM_DOCS, WARM_PIECES, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 1_000, 150_000, 3, 6e-3
 PASS_RATE, SEED = 6e-3, 23
-PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 500, 1_000_000, 4_096, 500_000, 256
+LEAD, PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 40, 500, 1_000_000, 4_096, 500_000, 256
 FOLDS, HELD_OUT = 7, 2
 SLICE_ROWS = 1_000
 LOG10 = math.log(10)
@@ -159,7 +160,7 @@ def _pieces(held: _Held):
                 for k in range(0, len(part), PIECE):
                     hs.append(h)
                     nums.append(k)
-                    out.append(part[k : k + PIECE].tobytes())
+                    out.append(part[max(0, k - LEAD) : k + PIECE].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(nums, pa.int32()), pa.array(out, pa.binary())], ["h", "at", "symbols"])
 
     return run
@@ -171,19 +172,19 @@ def _tune(held: _Held, tokens_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket is learned in chunks."""
         lexicon, start = _loaded(held)
-        bucket, model, fit, chunk, waiting, seen = None, None, None, [], 0, 0
+        bucket, model, fit, chunk, leads, waiting, seen = None, None, None, [], [], 0, 0
 
         def learn():
-            nonlocal chunk, waiting, seen
-            model.learn(chunk, fit, lanes)
-            chunk, waiting, seen = [], 0, seen + waiting
+            nonlocal chunk, leads, waiting, seen
+            model.learn(chunk, fit, lanes, leads)
+            chunk, leads, waiting, seen = [], [], 0, seen + waiting
 
         def out():
             flat = model.weights
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, np.int64))], ["k", "x", "n"])
 
         for b in batches:
-            for at, symbols in zip(b.column("bucket").to_pylist(), b.column("symbols")):
+            for at, k, symbols in zip(b.column("bucket").to_pylist(), b.column("at").to_pylist(), b.column("symbols")):
                 if at != bucket:
                     if bucket is not None:
                         learn()
@@ -192,7 +193,8 @@ def _tune(held: _Held, tokens_each: int):
                     model = Gru(lexicon.freq(), lexicon.end).load(start.weights)
                     fit = Adam(model.weights, PASS_RATE, max(1, tokens_each // (lanes * WINDOW)))
                 chunk.append(np.frombuffer(symbols.as_py(), np.int16))
-                waiting += len(chunk[-1])
+                leads.append(min(k, LEAD))
+                waiting += len(chunk[-1]) - leads[-1]
                 if waiting >= CHUNK_TOKENS:
                     learn()
         if bucket is not None:
@@ -263,14 +265,18 @@ def fit(train: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_
     count = rows.count()
     if not count:
         return model.flat()
+    context = train.sparkSession.sparkContext
+    # A sampled document's pieces are drawn from all of it, so a long text is not read by its beginning alone.
     part = min(1.0, 1.2 * WARM_DOCS / count)
-    sample = sorted(rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < part * (1 << 30)).select("h", F.substring("text", 1, 12 * WARM_TOKENS).alias("text")).collect(), key=lambda r: (r[0], r[1] or ""))
-    ready = Lexicon(lexicon.words, lexicon.counts, lexicon.masses, lexicon.total, lexicon.types).ready()
-    _, sym, starts, _, _ = ready.encode(pa.array([r["text"] for r in sample[:WARM_DOCS]], pa.string()))
-    docs = np.split(sym, starts[1:])
-    docs = docs[: 1 + int(np.searchsorted(np.cumsum([len(d) for d in docs]), WARM_TOKENS))]
-    model.train(docs, WARM_EPOCHS, WARM_RATE)
-    held = _Held(train.sparkSession.sparkContext.broadcast((lexicon, model.flat())))
+    first = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < part * (1 << 30)).mapInArrow(_pieces(_Held(context.broadcast((lexicon, model.flat())))), "h long, at int, symbols binary")
+    drawn = first.orderBy(F.xxhash64("h", "at"), "h", "at", "symbols").limit(WARM_PIECES).collect()
+    warm, taken = [], 0
+    for r in drawn:
+        if taken < WARM_TOKENS:
+            warm.append((np.frombuffer(r["symbols"], np.int16), min(r["at"], LEAD)))
+            taken += len(warm[-1][0]) - warm[-1][1]
+    model.train([w for w, _ in warm], WARM_EPOCHS, WARM_RATE, leads=[n for _, n in warm])
+    held = _Held(context.broadcast((lexicon, model.flat())))
     # Rows of one key and text, or of none, are pieces alike, so their order among themselves is no matter.
     buckets = max(1, min(BUCKETS, lexicon.total // BUCKET_TOKENS))
     pieces = train.select(F.xxhash64(F.lit(SEED), key, text).alias("h"), F.col(text).alias("text")).mapInArrow(_pieces(held), "h long, at int, symbols binary")

@@ -181,6 +181,43 @@ def test_lm_base_and_score(spark, tmp_path):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_pieces_make_no_false_starts():
+    """Each text begins with one word and then goes round nine others; most pieces begin elsewhere, on a word told by the one before."""
+    docs = [np.array([1, *[2 + (i + k) % 9 for k in range(1_200)], 0]) for i in range(20)]
+
+    def learned(lead):
+        parts = [(d[max(0, k - lead) : k + lm.PIECE], min(k, lead)) for d in docs for k in range(0, len(d), lm.PIECE)]
+        model = gru.Gru(np.ones(11), 0)
+        model.train([p for p, _ in parts], 12, 2e-2, leads=[n for _, n in parts])
+        return math.exp(model.score([np.array([1])])[0]), model.score([docs[3]])[0] / len(docs[3])
+
+    (first, whole), (false, _) = learned(lm.LEAD), learned(0)
+    assert first > 0.8 > 0.6 > false and whole > -0.1
+
+
+def test_pieces_hold_every_word_once_to_learn():
+    texts = [" ".join(f"w{(i + k) % 97}" for k in range(n)) for i, n in enumerate((0, 1, 499, 500, 1_203))]
+    lexicon = lm.Lexicon([b"w%d" % k for k in range(97)] + [lm.END], np.full(98, 9), np.zeros(2 * lm.SHAPES), 900, 98)
+    held = type("Held", (), {"id": "pieces", "value": (lexicon, gru.Gru(lexicon.freq(), lexicon.end).flat())})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], ["h", "text"])
+    rows = [r for out in lm._pieces(held)(iter([batch])) for r in out.to_pylist()]
+    for i, text in enumerate(texts):
+        mine = sorted((r["at"], np.frombuffer(r["symbols"], np.int16)) for r in rows if r["h"] == i)
+        want = [*[int(w[1:]) for w in text.split()], 97]
+        assert [int(x) for at, part in mine for x in part[min(at, lm.LEAD) :]] == want
+        assert all(list(part) == want[max(0, at - lm.LEAD) : at + lm.PIECE] for at, part in mine)
+
+
+def test_leads_are_not_learned_but_carry_the_state():
+    rng = np.random.default_rng(4)
+    doc = rng.integers(0, 30, 90)
+    g = gru.Gru(rng.random(30) * 9, 0)
+    cells = lambda docs, leads: [(int(b), tuple(c)) for x, _, y, live, _, d in g._windows(docs, 2, {}, leads) for b, *c in zip(d[live], x[live], y[live])]
+    want = [c for _, c in cells([doc], None)]
+    got = sorted(cells([doc[:50], doc[40:]], [0, 10]))
+    assert [c for _, c in got] and sorted(c for _, c in got) == sorted(want)
+
+
 def test_lm_learns_from_every_document(spark):
     """Two corpora of equal counts, apart only in documents beyond the warm start and beyond one in 64."""
     rows, at = 600, spark.range(600).select("id", F.xxhash64(F.lit(lm.SEED), "id").alias("h"))
