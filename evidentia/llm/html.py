@@ -7,16 +7,16 @@ merged, neighbours that repeat become repeated groups, elements that only one si
 without a period becomes a repeated group of optional elements. Partial wrappers are made where the pages lie, then merged by
 (host, salt) and by host, so no task collects a host's pages.
 
-A text slot keeps, of the host's sampled pages, which text stood there on which page, also inside repeated groups. Sampled are
-the ``MARKS`` pages with the smallest hashes of their free texts, whatever the partitioning; copies of one page count once. So
-a wrapper's size depends on the templates of the host, not on its pages.
+Which texts are a template's is counted before that, over all pages: a text is the same if it stands in its place on at least
+``SAME_PERCENT`` of the host's different pages (those of different free text, so copies of one page count once), of which there must be
+``SAME_PAGES``, and ``INSIDE_PAGES`` for a text within ``article`` or ``main``. The counts are keyed by host and text, so no task holds
+a host. A wrapper's size depends on the templates of the host, not on its pages.
 
-The wrapper then says which paths hold the article. Text that stands in its slot on nearly all pages is left out, and
-counts for nothing; so are parts that the meaning of their elements or roles gives away (menus, footers, forms). The article is
-``main`` or ``article`` if the wrapper has it, else the smallest element that holds most of the free text. Names (class and
-id) and shares of links break ties: outside an article either of them is enough to leave a part out, inside one it takes the name
-of an advert, a notice or comments, or both. A page is read by the paths of its host's wrapper, and by its own if none of
-them leads to text in it.
+The wrapper then says which paths hold the article. Texts that are the same are left out, and count for nothing; so are parts that the
+meaning of their elements or roles gives away (menus, footers, forms). The article is ``main`` or ``article`` if the wrapper has it,
+else the smallest element that holds most of the free text. Names (class and id) and shares of links break ties: outside an article
+either of them is enough to leave a part out, inside one it takes the name of an advert, a notice or comments, or both. A page is read
+by the paths of its host's wrapper, and by its own if none of them leads to text in it.
 
 Null html: empty text. A null or odd url belongs to the host ``""``. Repeated rows give one row each. Extra columns are
 left out. Unclosed and crossed tags are read as browsers do: a block start ends a paragraph, an end tag without a start
@@ -41,7 +41,7 @@ from .common import cut, table
 SALTS, FLUSH_HOSTS, DEEPEST = 32, 512, 150
 #: Rules of all hosts that are broadcast, in bytes; more of them are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-MARKS, SAME_PAGES, SAME_PERCENT = 16, 3, 80
+SAME_PAGES, INSIDE_PAGES, SAME_PERCENT = 3, 10, 95
 BLOCKS = frozenset("html body main article section div header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset legend hr center dialog menu noscript iframe select option button textarea label template svg video audio object canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text is never a page's own.
@@ -133,7 +133,12 @@ def _runs(node: list) -> list[tuple[str, int]]:
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _place(path: str, text: str, inside: bool) -> int:
+    """A text at its path; odd if that lies within an article."""
+    return _hash(f"{path}\n{text}") & ~1 | inside
 
 
 def _mark(node: list) -> int:
@@ -154,35 +159,28 @@ def _mark(node: list) -> int:
     return _hash(" ".join("".join(said).split()))
 
 
-# A wrapper: [key, times, pages, characters, of them in links, slot, wrappers of kids]; a repeated group has the key "()". A slot
-# holds (mark of a sampled page, hash of a text, its characters, of them in links).
-def wrap(node: list, mark: int | None) -> list:
-    """A page's element as a wrapper; without a mark the page isn't sampled, and slots stay empty."""
-    runs = _runs(node)
-    slot = [] if mark is None else [[mark, _hash(t), len(t), n] for t, n in runs]
-    return [node[0], "1", 1, sum(len(t) for t, _ in runs), sum(n for _, n in runs), slot, fold([wrap(k, mark) for k in node[1] if isinstance(k, list)])]
-
-
-def whole(node: list, held: list[int] | None = None) -> list:
-    """[marks, wrapper] of a page; ``held`` are the marks of what it will join, if there are any."""
-    mark = _mark(node)
-    out = held is not None and len(held) >= MARKS and mark > held[-1]
-    return [[] if out else [mark], wrap(node, None if out else mark)]
+def _inside(key: str) -> bool:
+    return _names(key)[0] in ("article", "main")
 
 
-def merge(a: list, b: list) -> list:
-    """[marks, wrapper] of all pages of both sides; the smallest marks stay."""
-    marks = sorted({*a[0], *b[0]})[:MARKS]
-    w = join(a[1], b[1])
-    if len({*a[0], *b[0]}) > MARKS:
-        _prune(w, set(marks))
-    return [marks, w]
+# A wrapper: [key, times, pages, free characters, of them in links, slot, wrappers of kids]; a repeated group has the key "()". A slot
+# holds the hashes of its texts, two of them at most: enough to tell one text from several.
+def wrap(node: list, same: frozenset[int] = frozenset(), path: str = "", inside: bool = False) -> list:
+    """A page's element as a wrapper; texts among ``same`` count for nothing."""
+    here, inside, runs = f"{path}/{node[0]}", inside or _inside(node[0]), _runs(node)
+    free = [(t, n) for t, n in runs if _place(here, t, inside) not in same] if same else runs
+    slot = sorted({_hash(t) for t, _ in runs})[:2]
+    return [node[0], "1", 1, sum(len(t) for t, _ in free), sum(n for _, n in free), slot, fold([wrap(k, same, here, inside) for k in node[1] if isinstance(k, list)])]
 
 
-def _prune(w: list, marks: set[int]) -> None:
-    w[5] = [x for x in w[5] if x[0] in marks]
-    for k in w[6]:
-        _prune(k, marks)
+def places(node: list, path: str = "", inside: bool = False) -> set[int]:
+    """The texts of a page where they stand."""
+    here, inside = f"{path}/{node[0]}", inside or _inside(node[0])
+    out = {_place(here, t, inside) for t, _ in _runs(node)}
+    for k in node[1]:
+        if isinstance(k, list):
+            out |= places(k, here, inside)
+    return out
 
 
 def _sign(w: list) -> str:
@@ -195,7 +193,7 @@ def _both(a: str, b: str) -> str:
 
 def join(a: list, b: list) -> list:
     """One wrapper for what two wrappers of one key stand for."""
-    return [a[0], _both(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], align(a[6], b[6])]
+    return [a[0], _both(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] + b[4], sorted({*a[5], *b[5]})[:2], align(a[6], b[6])]
 
 
 def _again(a: list, b: list) -> list:
@@ -290,7 +288,7 @@ def align(a: list, b: list) -> list:
 def expression(w: list) -> str:
     """The wrapper in the usual notation of regular expressions."""
     inner = " ".join(expression(k) for k in w[6])
-    text = "" if not w[3] else "#same" if len({x[1] for x in w[5]}) == 1 else "#text"
+    text = ("", "#same", "#text")[len(w[5])]
     body = " ".join(x for x in (text, inner) if x)
     times = "" if w[1] == "1" else w[1]
     return f"({body}){times}" if w[0] in ("", "()") else f"(<{w[0]}> {body} </>){times}" if body else f"<{w[0]}/>{times}"
@@ -320,40 +318,24 @@ def _out(key: str, inside: bool) -> bool:
     return _other(key) or not inside and (_named(key) or _names(key)[0] == "header")
 
 
-def _free(w: list, pages: int, inside: bool) -> tuple[float, float, list[int]]:
-    """Characters of a slot's free text, of them in links, and the texts that stand there on nearly all pages."""
-    if inside or pages < SAME_PAGES or not w[5]:
-        return w[3], w[4], []
-    on: dict[int, set[int]] = {}
-    for mark, text, _, _ in w[5]:
-        on.setdefault(text, set()).add(mark)
-    same = sorted(t for t, marks in on.items() if 100 * len(marks) >= SAME_PERCENT * pages)
-    share = sum(x[2] for x in w[5] if x[1] not in same) / sum(x[2] for x in w[5])
-    return w[3] * share, w[4] * share, same
-
-
-def _sums(w: list, path: str, out: list, inside: bool, pages: int) -> tuple[float, float]:
-    """Free characters and linked ones below; ``out`` gets (path, wrapper, characters, linked, inside an article, texts that are the same)."""
+def _sums(w: list, path: str, out: list, inside: bool) -> tuple[float, float]:
+    """Free characters and linked ones below; ``out`` gets (path, wrapper, characters, linked, inside an article)."""
     here = path if w[0] == "()" else f"{path}/{w[0]}"
-    inside = inside or _names(w[0])[0] in ("article", "main")
-    chars, links, same = _free(w, pages, inside)
+    inside = inside or _inside(w[0])
+    chars, links = w[3], w[4]
     for k in w[6]:
         if not _out(k[0], inside):
-            c, n = _sums(k, here, out, inside, pages)
+            c, n = _sums(k, here, out, inside)
             chars, links = chars + c, links + n
-    out.append((here, w, chars, links, inside, same))
+    out.append((here, w, chars, links, inside))
     return chars, links
 
 
-def rules(page: list) -> dict:
-    """Paths of the article's roots, of parts to leave out, and of texts to leave out there, as ``page`` [marks, wrapper] says."""
+def rules(wrapper: list) -> dict:
+    """Paths of the article's roots and of parts to leave out, as ``wrapper`` says."""
     found: list = []
-    _sums(page[1], "", found, False, len(page[0]))
-    gone = {p for p, x, c, n, inside, _ in found if x[0] not in ("", "()") and _names(x[0])[0] not in ("html", "body", "main", "article", "p") and c and n > 0.5 * c and (not inside or _named(x[0]))}
-    same: dict[str, list[int]] = {}
-    for p, x, _, _, _, texts in found:
-        if texts:
-            same[p] = sorted({*same.get(p, ()), *texts})
+    _sums(wrapper, "", found, False)
+    gone = {p for p, x, c, n, inside in found if x[0] not in ("", "()") and _names(x[0])[0] not in ("html", "body", "main", "article", "p") and c and n > 0.5 * c and (not inside or _named(x[0]))}
     free: dict[str, list] = {}
     for p, x, c, n, *_ in found:
         if x[0] != "()" and not any(p == g or p.startswith(g + "/") for g in gone):
@@ -374,19 +356,19 @@ def rules(page: list) -> dict:
         named = [p for p, (k, c) in free.items() if _names(k)[0] in ("div", "section", "td") and _names(k)[1] & BODIES and c >= 0.5 * total]
         big = named or [p for p, (k, c) in free.items() if c >= 0.7 * total and _names(k)[0] not in ("p", "li", "ul", "ol")]
         roots = [max(big, key=lambda p: (p.count("/"), p))] if big else top(list(free))
-    return {"roots": roots, "gone": sorted(gone), "same": same}
+    return {"roots": roots, "gone": sorted(gone)}
 
 
-def read(node: list, rule: dict) -> str:
+def read(node: list, rule: dict, same: frozenset[int] = frozenset()) -> str:
     """The article's blocks, one a line."""
-    roots, gone, same, blocks = set(rule["roots"]), set(rule["gone"]), rule["same"], []
+    roots, gone, blocks = set(rule["roots"]), set(rule["gone"]), []
 
     def walk(n: list, path: str, on: bool, inside: bool) -> None:
-        inside = inside or _names(n[0])[0] in ("article", "main")
+        inside = inside or _inside(n[0])
         said: list[str] = []
 
         def end() -> None:
-            if on and (text := " ".join("".join(said).split())) and not (path in same and _hash(text) in same[path]):
+            if on and (text := " ".join("".join(said).split())) and not (same and _place(path, text, inside) in same):
                 blocks.append(text)
             said.clear()
 
@@ -405,11 +387,30 @@ def read(node: list, rule: dict) -> str:
     return "\n".join(blocks)
 
 
-def main_text(page: str | None, rule: dict | None) -> str:
+def main_text(page: str | None, rule: dict | None, same: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     node = parse(page)
-    return (read(node, rule) if rule else "") or read(node, rules(whole(node)))
+    return (read(node, rule, same) if rule else "") or read(node, rules(wrap(node)))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        nodes = [parse(p) if p else ["", []] for p in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([_mark(n) for n in nodes], pa.int64()), pa.array([sorted(places(n)) for n in nodes], pa.list_(pa.int64()))], ["host", "mark", "places"])
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """(host, same): of each host that has any, the texts that are the same on its pages (host, html), by :func:`_place`.
+
+    No more of them than a page's texts over ``SAME_PERCENT``, whatever the host's pages."""
+    said = pages.where("html IS NOT NULL").mapInArrow(_places, "host string, mark long, places array<long>")
+    different = cut(said.groupBy("host", "mark").agg(F.min("places").alias("places")))
+    total = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= SAME_PAGES)
+    on = different.select("host", F.explode("places").alias("place")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_PAGES * SAME_PERCENT / 100)
+    need = F.when(F.col("place").bitwiseAND(F.lit(1)) == 1, INSIDE_PAGES).otherwise(SAME_PAGES)
+    same = on.join(total, "host").where((F.col("pages") >= need) & (100 * F.col("n") >= SAME_PERCENT * F.col("pages")))
+    return same.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("same"))
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,10 +422,10 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for b in batches:
-        for h, page in zip(b.column(0).to_pylist(), b.column(1)):
+        for h, page, same in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
             if page.is_valid:
-                node = parse(page.as_py())
-                held[h] = merge(held[h], whole(node, held[h][0])) if h in held else whole(node)
+                w = wrap(parse(page.as_py()), frozenset(same.as_py() or ()))
+                held[h] = join(held[h], w) if h in held else w
                 if len(held) > FLUSH_HOSTS:
                     yield out()
     if held:
@@ -444,16 +445,16 @@ def _merge(last: bool):
                 if h != host and held is not None:
                     yield out()
                     held = None
-                host, held = h, json.loads(w) if held is None else merge(held, json.loads(w))
+                host, held = h, json.loads(w) if held is None else join(held, json.loads(w))
         if held is not None:
             yield out()
 
     return run
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, rule) of every host: the wrapper and what it says of the article, both as JSON."""
-    parts = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(_infer, "host string, wrapper string")
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, rule) of every host of ``pages`` (host, html, same): the wrapper and what it says of the article, both as JSON."""
+    parts = pages.select("host", "html", "same").mapInArrow(_infer, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
     some = salted.select("host", "wrapper").mapInArrow(_merge(False), "host string, wrapper string")
     return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge(True), "host string, wrapper string, rule string")
@@ -466,17 +467,24 @@ def _rule(said: str) -> dict:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [main_text(p.as_py(), _rule(r) if r else None) for p, r in zip(b.column("html"), b.column("rule").to_pylist())]
+        got = [main_text(p.as_py(), _rule(r) if r else None, frozenset(s.as_py() or ())) for p, r, s in zip(b.column("html"), b.column("rule").to_pylist(), b.column("same"))]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _beside(pages: DataFrame, found: DataFrame, size: Column) -> DataFrame:
+    """``pages`` with what was ``found`` of their hosts. Pages stay where they lie while that is small; beyond ``BROADCAST_BYTES``
+    both are shuffled, and AQE splits a busy host's pages."""
+    total = found.agg(F.coalesce(F.sum(size + F.length("host")), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(found) if total <= BROADCAST_BYTES else found.hint("merge"), "host", "left")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of ``pages`` (page_id, url, html)."""
-    found = cut(infer_wrappers(pages).select(F.col("host").alias("_host"), "rule"))
-    size = found.agg(F.coalesce(F.sum(F.length("rule") + F.length("_host")), F.lit(0))).first()[0]
-    rows = pages.select("page_id", "url", "html").withColumn("_host", host_of(F.col("url")))
-    # Pages stay where they lie while the rules of all hosts are few; beyond that both are shuffled, and AQE splits a busy host's pages.
-    return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge"), "_host", "left").select("page_id", "url", "html", "rule").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    same = cut(template_texts(rows.select("host", "html")))
+    rows = _beside(rows, same, 8 * F.size("same"))
+    found = cut(infer_wrappers(rows).select("host", "rule"))
+    return _beside(rows, found, F.length("rule")).select("page_id", "url", "html", "rule", "same").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,9 +299,30 @@ def test_copies_and_few_pages_make_no_boilerplate(spark):
     assert all(got[60 + i] == [f"T{i}", prose(9, i), prose(9, 50 + i)] for i in range(40))
 
 
+def test_template_texts_are_counted_over_all_pages(spark):
+    """A sentence of 32 stories of 40 stays; a notice and an invitation on all pages go, within an article or ``main`` too."""
+    story = "<html><body><div class=x><p>{a}</p><p>{s}</p><p>{b}</p></div></body></html>"
+    most = [(i, "http://most.example/", story.format(a=prose(9, i), b=prose(9, 50 + i), s="Shares fell." if i < 32 else f"Shares rose {i}.")) for i in range(40)]
+    notice = [(100 + i, "http://notice.example/", f"<article><div class=zz>We use cookies.</div><p>{prose(9, i)}</p></article>") for i in range(20)]
+    letter = [(200 + i, "http://letter.example/", f"<main><p>{prose(9, i)}</p><div>Subscribe to our letter</div></main>") for i in range(20)]
+    few = [(300 + i, "http://few.example/", f"<article><h2>Summary</h2><p>{prose(9, i)}</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(most + notice + letter + few, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(got[i] == f"{prose(9, i)}\n{'Shares fell.' if i < 32 else f'Shares rose {i}.'}\n{prose(9, 50 + i)}" for i in range(40))
+    assert all(got[k + i] == prose(9, i) for k in (100, 200) for i in range(20))
+    assert all(got[300 + i] == f"Summary\n{prose(9, i)}" for i in range(4))
+    # Equal to counting by hand, a page's free text telling it from others.
+    for host, rows in (("most.example", most), ("notice.example", notice), ("few.example", few)):
+        by = {html._mark(n): html.places(n) for n in (html.parse(r[2]) for r in rows)}
+        often = Counter(x for p in by.values() for x in p)
+        want = sorted(x for x, n in often.items() if len(by) >= (html.INSIDE_PAGES if x & 1 else html.SAME_PAGES) and 100 * n >= html.SAME_PERCENT * len(by))
+        found = html.template_texts(pages.select(html.host_of(F.col("url")).alias("host"), "html")).where(F.col("host") == host).collect()
+        assert (found[0].same if found else []) == want
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = ["<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><h1>t</h1><p>x</p>"]
-    w = html.merge(*[html.whole(html.parse(p)) for p in pages])[1]
+    w = html.join(*[html.wrap(html.parse(p)) for p in pages])
     assert html.expression(w) == "((<ul> (<li> #text </>)+ </>) (<h1> #same </>)? (<p> #same </>))"
 
 
@@ -334,8 +355,8 @@ def test_alignment_equals_brute_force():
 
 def test_long_mixed_articles_and_odd_markup():
     body = "".join(r if k % 3 else f"<h2>h{k}</h2>" + r for k, r in enumerate(random.Random(1).choices(["<p>a b</p>", "<ul><li>c</ul>", "<blockquote>d</blockquote>"], k=120)))
-    one = html.whole(html.parse(f"<main>{body}</main>"))
-    assert len(html.align(one[1][6], html.whole(html.parse("<main><p>x</main>"))[1][6])) < 8
+    one = html.wrap(html.parse(f"<main>{body}</main>"))
+    assert len(html.align(one[6], html.wrap(html.parse("<main><p>x</main>"))[6])) < 8
     assert len(html.main_text(f"<main>{body}</main>", None).split("\n")) == 160
     assert html.main_text("<article><p class=it's>a</p><ul class=refs><li><a href=x>one</a><li><a>two</a></ul><section class='market share'>s</section><div id=social>t</div><div class=share><a>no</a></div><div class=comments>c</div></article>", None) == "a\none\ntwo\ns\nt"
 
