@@ -29,18 +29,17 @@ def classes_of(freq: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x):
-    """In place: numpy's exp is twice as fast as its tanh."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
+    """Of -x, in place: numpy's exp is twice as fast as its tanh. What overflows ends at 0."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
 def _tanh(x):
-    x *= 2
-    x = _sigmoid(x)
-    x *= 2
+    x *= -2
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
     x -= 1
     return x
 
@@ -96,22 +95,29 @@ class Gru:
         return self
 
     def _inputs(self) -> np.ndarray:
-        return self.p["Wx"].T @ self.p["E"].T + self.p["b"][:, None]
+        """What each symbol adds to the gates, those of :func:`_sigmoid` negated and with both biases."""
+        g = self.p["Wx"].T @ self.p["E"].T + self.p["b"][:, None]
+        g[: 2 * HIDDEN] += self.p["bu"][: 2 * HIDDEN, None]
+        np.negative(g[: 2 * HIDDEN], out=g[: 2 * HIDDEN])
+        return g
 
+    @np.errstate(over="ignore")
     def _run(self, x, fresh, h, keep=False):
         """States (H, T, B) of inputs x (T, B); where ``fresh``, the state starts at zero. Units come first, so what is done to a gate is done to whole rows."""
         p, shape = self.p, x.shape
         g = np.take(self._inputs() if keep else self.inputs, x, 1)
         hs = np.empty((HIDDEN, *shape), g.dtype)
         was, zr, cs, uc = (np.empty((w, *shape), g.dtype) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)) if keep else (None,) * 4
-        starts, left, bias = fresh.any(1), np.ascontiguousarray(p["U"].T), p["bu"][:, None]
+        starts, left, bias = fresh.any(1), p["U"].T.copy(), p["bu"][2 * HIDDEN :, None]
+        np.negative(left[: 2 * HIDDEN], out=left[: 2 * HIDDEN])
         for t in range(len(x)):
             if starts[t]:
                 h = np.where(fresh[t], g.dtype.type(0), h)
             u = left @ h
-            u += bias
-            a = _sigmoid(u[: 2 * HIDDEN] + g[: 2 * HIDDEN, t])
-            z, r, last = a[:HIDDEN], a[HIDDEN:], u[2 * HIDDEN :]
+            a, last = u[: 2 * HIDDEN], u[2 * HIDDEN :]
+            a += g[: 2 * HIDDEN, t]
+            last += bias
+            z, r = _sigmoid(a)[:HIDDEN], a[HIDDEN:]
             c = r * last
             c += g[2 * HIDDEN :, t]
             c = _tanh(c)
@@ -231,7 +237,7 @@ class Gru:
         heap = sorted((x for x in heap if x[0]), key=lambda x: (-x[0], x[1]))
         lens = np.array([x[0] for x in heap])
         ys = [np.concatenate([docs[i] for i in x[2]]) for x in heap]
-        of = [np.repeat(x[2], [len(docs[i]) for i in x[2]]) for x in heap]
+        of = [np.repeat(np.array(x[2], np.int32), [len(docs[i]) for i in x[2]]) for x in heap]
         told = [np.concatenate([np.arange(len(docs[i])) >= leads[i] for i in x[2]]) for x in heap]
         carry["h"] = np.zeros((HIDDEN, len(heap)), np.float32)
         for start in range(0, int(lens[0]) if len(heap) else 0, SPAN):
@@ -251,10 +257,13 @@ class Gru:
                 yield x[w, :now], fresh[w, :now] & (d[1:][w, :now] >= 0), y[1:][w, :now], live[w, :now], carry["h"][:, :now], d[1:][w, :now]
 
     def score(self, docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
-        """Natural log-probability of each whole document."""
-        out, self.inputs = np.zeros(len(docs)), self._inputs()
-        for x, fresh, y, live, h, d in self._windows(docs, lanes, carry := {}):
+        """Natural log-probability of each whole document. The longest are dealt first, so lanes end at about one time."""
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        found, self.inputs = np.zeros(len(docs)), self._inputs()
+        for x, fresh, y, live, h, d in self._windows([docs[i] for i in order], lanes, carry := {}):
             hs, carry["h"], _ = self._run(x, fresh, h)
             lp, _ = self._out(hs, y, live)
-            out += np.bincount(d[live], lp, len(docs))
+            found += np.bincount(d[live], lp, len(docs))
+        out = np.empty(len(docs))
+        out[order] = found
         return out

@@ -42,7 +42,7 @@ WARM_DOCS, WARM_PIECES, WARM_TOKENS, WARM_EPOCHS, WARM_RATE = 300, 1_000, 150_00
 PASS_RATE, SEED = 6e-3, 23
 LEAD, PIECE, BUCKET_TOKENS, BUCKETS, CHUNK_TOKENS, LANES = 40, 500, 1_000_000, 4_096, 500_000, 256
 FOLDS, HELD_OUT = 7, 2
-SLICE_ROWS = 1_000
+SLICE_ROWS, SCORE_TOKENS = 1_000, 2_000_000
 LOG10 = math.log(10)
 
 
@@ -208,19 +208,35 @@ def _score(held: _Held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = _loaded(held)
         unit = math.log10(lexicon.total + lexicon.types + 1)
+        docs, told, waiting = [], [], 0
+
+        def out():
+            """Texts of many slices are scored side by side, as those of one don't fill the lanes beside its longest."""
+            nonlocal docs, told, waiting
+            scores, at = model.score(docs) / LOG10, 0
+            for uid, n, known, base, within, rest in told:
+                yield pa.RecordBatch.from_arrays([uid, pa.array(n), pa.array(known), pa.array(base), pa.array(scores[at : at + len(n)] + within), rest], ["uid", "n_tokens", "known", "base", "score", "rest"])
+                at += len(n)
+            docs, told, waiting = [], [], 0
+
         for b in sliced(batches):
             at, sym, starts, others, of = lexicon.encode(b.column(1))
             n, logs = np.diff(np.append(starts, len(at))), lexicon.log1[at]
             base = np.add.reduceat(logs, starts) - n * unit
             within = np.where(sym >= lexicon.size - 2 * SHAPES, logs - lexicon.norm[sym], 0.0)
-            score = model.score(np.split(sym, starts[1:])) / LOG10 + np.add.reduceat(within, starts)
+            docs += np.split(sym.astype(np.int16), starts[1:])
             # Other words of each text, with how often it holds them.
             coded = others.dictionary_encode()
             types = max(1, len(coded.dictionary))
             keys, times = np.unique(of * types + coded.indices.to_numpy(), return_counts=True)
             pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys % types)), pa.array(times, pa.int64())], ["w", "k"])
             rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(keys // types, np.arange(b.num_rows + 1)), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.add.reduceat((at >= 0).astype(np.int64), starts)), pa.array(base), pa.array(score), rest], ["uid", "n_tokens", "known", "base", "score", "rest"])
+            told.append((b.column(0), n, np.add.reduceat((at >= 0).astype(np.int64), starts), base, np.add.reduceat(within, starts), rest))
+            waiting += len(at)
+            if waiting >= SCORE_TOKENS:
+                yield from out()
+        if told:
+            yield from out()
 
     return run
 

@@ -218,6 +218,23 @@ def test_leads_are_not_learned_but_carry_the_state():
     assert [c for _, c in got] and sorted(c for _, c in got) == sorted(want)
 
 
+def test_texts_of_many_slices_are_scored_side_by_side(monkeypatch):
+    """A long text in each slice: the lanes beside it are filled, so steps follow the tokens and not one long text for each slice."""
+    monkeypatch.setattr(lm, "SLICE_ROWS", 20)
+    texts = [" ".join(f"w{(i + k) % 97}" for k in range(4_000 if i % 20 == 19 else i % 7)) for i in range(160)]
+    lexicon = lm.Lexicon([b"w%d" % k for k in range(97)] + [lm.END], np.full(98, 9), np.zeros(2 * lm.SHAPES), 900, 98)
+    model = gru.Gru(lexicon.freq(), lexicon.end)
+    held = type("Held", (), {"id": "side by side", "value": (lexicon, model.flat())})
+    run, steps = gru.Gru._run, []
+    monkeypatch.setattr(gru.Gru, "_run", lambda self, x, *more, **known: steps.append(len(x)) or run(self, x, *more, **known))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 40), pa.int64()), pa.array(texts[k : k + 40])], ["uid", "text"]) for k in range(0, 160, 40)]
+    rows = [r for out in lm._score(held)(iter(batches)) for r in out.to_pylist()]
+    assert [r["uid"] for r in rows] == list(range(160)) and sum(steps) <= 4_001 + gru.WINDOW
+    lexicon.ready()
+    alone = [model.score([lexicon.encode(pa.array([t]))[1]])[0] / lm.LOG10 for t in texts]
+    assert np.allclose([r["score"] for r in rows], alone, rtol=1e-5) and [r["n_tokens"] for r in rows] == [len(t.split()) + 1 for t in texts]
+
+
 def test_lm_learns_from_every_document(spark):
     """Two corpora of equal counts, apart only in documents beyond the warm start and beyond one in 64."""
     rows, at = 600, spark.range(600).select("id", F.xxhash64(F.lit(lm.SEED), "id").alias("h"))
