@@ -69,6 +69,32 @@ def test_a_timer_ends_a_job_that_says_no_more(spark, tmp_path):
     assert [r.status for r in changes] == ["running", "timeout"] and changes[1].ended_at == at(10 + life.LIMIT)
 
 
+def test_jobs_of_a_bucket_share_their_state_and_timer(spark, tmp_path, monkeypatch):
+    """Calls to the state follow buckets, not jobs: 600 jobs register far fewer timers; jobs of one bucket end at their own deadlines."""
+    monkeypatch.setattr(life, "BUCKETS", 8, raising=False)
+    events = [(f"j{j}", e, at(j + d), None, None) for j in range(600) for e, d in ((life.STARTED, 0), (life.FINISHED, 20 + j % 300))]
+    events += [(None, life.STARTED, at(3), None, None), ("odd", "other", at(3), None, None), ("ended", life.FINISHED, at(9), "", "")]
+    ends = [("z", life.QUEUED, at(4_000 + t), None, None) for t in (300, 500, 9_000)]  # some deadlines pass, then more, then all
+    for rows in [events, *([e] for e in ends)]:
+        written(spark, rows, EVENTS, f"{tmp_path}/in")
+        time.sleep(0.02)
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("at", "1 hour")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stream.ROCKS)
+    try:
+        q = run(life.stream(source), tmp_path)
+    finally:
+        spark.conf.set(key, before)
+    timers = sum(o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 8 <= timers <= 8 * len(q.recentProgress)
+    changes = spark.read.schema(life.STATUS).parquet(f"{tmp_path}/out")
+    want = life.batch(spark.createDataFrame(events + ends, EVENTS), F.lit(at(13_000 - 3_600)))
+    assert sorted(map(tuple, life.latest(changes).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert changes.groupBy("job_id").agg((F.max("revision") - F.count(F.lit(1))).alias("x")).where("x <> 0").count() == 0
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16  # but for those never started, jobs are gone
+
+
 FLOWS, JOBS = "src string, at timestamp, n int", "job_id string, worker_ip string, started_at timestamp, finished_at timestamp"
 
 
