@@ -38,7 +38,7 @@ def script(df: DataFrame) -> DataFrame:
     df = df.withColumn("_t", _text(raw)).withColumn("_l", X.latin1(raw))
     t = F.col("_t")
     codes = F.transform(X.found(t, r"(?i)(?:String\.)?fromCharCode\s*\(([\d\s,]+)\)"), lambda r: F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)))
-    df = df.withColumn("_codes", B.from_codes(codes)).withColumn("_blobs", B.decoded_blobs(X.base64_blobs(t))).withColumn("_entropy", B.entropy(raw))
+    df = df.withColumn("_codes", B.from_codes(codes)).withColumn("_blobs", B.decoded_blobs(X.base64_blobs(t))).withColumn("_entropy", B.entropies(raw))
     cap = lambda c: X.distinct(c, 40)
     built = F.struct(cap(F.col("_codes")).alias("fromcharcode"), cap(X.hex_escapes(t)).alias("hex_escapes"), cap(X.reversed_literals(t)).alias("reversed"), cap(X.joined_literals(t, "+", 60, 6)).alias("concatenated"))
     df = df.withColumn("_built", built).withColumn("_longest", X.longest_line(t))

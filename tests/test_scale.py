@@ -2,8 +2,10 @@
 
 import io
 import random
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia import sources
@@ -69,6 +71,25 @@ def test_table_functions_equal_the_dataframe_forms(spark):
     assert [r for r in got("SELECT id, s.position, s.run FROM files_for_tables, LATERAL printable_strings(content, 9) AS s") if r[0] == 4] == [(4, 0, "plain text here"), (4, 1, "other text")]
 
 
+def test_triage_reads_bytes_where_their_batch_lies():
+    """Peak of Python's own memory over a batch of 60 MB: a file at a time, not the batch once more as objects."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "one")
+        z.writestr("é.txt", "two")
+    odd = [None, b"", b"aab", bytes(range(256)), packed.getvalue(), packed.getvalue()[:40]]
+    batch = pa.array(odd + [bytes([k % 256]) + bytes(65_535) for k in range(950)], pa.binary())
+    B.entropy.each(batch[:9]), B.zip_names.each(batch[:9])
+    for each in (B.entropy.each, B.zip_names.each):
+        tracemalloc.start()
+        each(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4e6
+    assert B.entropy.each(batch).to_pylist()[:6] == [B.entropy_of(x) for x in odd] and B.entropy_of(b"aab") == 0.918
+    assert B.zip_names.each(batch).to_pylist()[:6] == [None, None, None, None, ["a.txt", "é.txt"], None]
+
+
 def test_reports_of_traces_are_cut_before_they_are_gathered(spark):
     """Thousands of events of each kind: first lines of different values, in order, and no more than a report lists."""
     lines = [f'openat(AT_FDCWD, "/home/u/f{i % 250}", O_WRONLY|O_CREAT, 0644) = 3' for i in range(1000)]
